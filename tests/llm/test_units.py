@@ -1,0 +1,174 @@
+"""Pure-Python parts against plain versions of the same."""
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from folioflow.llm import align, classifier, decontam, neardup, quality_rules, tokens, url_rules
+from folioflow.llm.common import plain_words
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30), st.integers(0, 25))
+def test_banded_distance(a, b, limit):
+    d = plain_distance(a, b)
+    assert align.banded_distance(a, b, limit) == (d if d <= limit else None)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n", max_size=60))
+def test_repeated_words(text):
+    words = text.split()
+    hits = set()
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    for i, g in enumerate(grams):
+        if grams.count(g) > 1:
+            hits |= {i, i + 1, i + 2}
+    assert quality_rules.repeated_words(words) == len(hits)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab*?", max_size=6), min_size=1, max_size=30), st.lists(st.text(alphabet="abc", max_size=8), max_size=8))
+def test_glob_automaton(globs, texts):
+    import re
+
+    machine = url_rules.GlobAutomaton.build(globs)
+    got = machine.matches([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        for k, g in enumerate(globs):
+            pattern = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in g)
+            assert got[i, k] == bool(re.fullmatch(pattern, t, re.S))
+
+
+def test_order_sketch_is_the_smallest_kmers_in_text_order():
+    p = neardup.NearDupParams(sketches=5)
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    h = neardup.kmer_hashes(words, p.k)
+    assert len(set(h.tolist())) == len(h) == 196
+    keys = neardup.order_sketches(h, p)
+    shuffled = neardup.order_sketches(h[::-1].copy(), p)
+    assert (keys != shuffled).all()  # the order of the k-mers counts
+    cells = neardup._CELLS
+    try:
+        neardup._CELLS = 64  # long texts are sketched in parts
+        assert (neardup.order_sketches(h, p) == keys).all()
+    finally:
+        neardup._CELLS = cells
+
+
+def test_repeated_kmers_get_occurrence_numbers():
+    words = np.array([1, 2] * 20, np.uint64)
+    h = neardup.kmer_hashes(words, 2)
+    assert len(set(h.tolist())) == len(h)
+
+
+TEXTS = ["", " ", "\n\n  x", "It's  a test\twith   spaces \n", "naïve café — “quotes” … 100%", "日本語 text", "a" * 5000, "emoji 😀 here", "end <|endoftext|> more", "x y", "\x1cfile\x85", "don't can't WE'LL 's", "1234 5678abc", "___ -- *** ###"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_token_table_equals_the_library(text):
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path()
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokens.piece_table(path, False).ids(text), "<u4").tolist() == want
+    assert tokens.piece_table(path, True).count(text) == len(want)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=80))
+def test_token_table_on_any_text(text):
+    table = tokens.piece_table(tokens.tokenizer_path(), False)
+    assert np.frombuffer(table.ids(text), "<u4").tolist() == table.whole(text)
+
+
+def test_token_table_keeps_its_bound(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 50)
+    table = tokens.PieceTable(tokens.tokenizer_path(), True)
+    rng = random.Random(4)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 80]))) for _ in range(30))
+        assert table.count(text) == len(table.whole(text))
+        assert len(table.table) <= 50
+
+
+def _edited(words, rate, rng, pool):
+    out = []
+    for w in words:
+        if rng.random() < rate:
+            out += rng.choice([[rng.choice(pool)], [], [w, rng.choice(pool)]])
+        else:
+            out.append(w)
+    return out
+
+
+def test_decontamination_recall_against_brute_force():
+    rng = random.Random(9)
+    pool = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(12, 50)))) for i in range(60)]
+    p = decontam.DecontamParams()
+    index = decontam.ItemIndex(items, p)
+    found = wanted = 0
+    for i, text in items:
+        words = text.split()
+        doc = [rng.choice(pool) for _ in range(80)] + _edited(words, 0.05, rng, pool) + [rng.choice(pool) for _ in range(80)]
+        n = len(words)
+        limit = align.edit_limit(n, p.similarity)
+        best = min(plain_distance(doc[s : s + n], words) for s in range(70, 90))
+        hits = index.search([" ".join(doc), None, ""])
+        assert hits[1] == hits[2] == {}
+        for item, (d, start, size, full) in hits[0].items():
+            target = items[item][1].split()
+            assert d == plain_distance(doc[start : start + size], target) <= align.edit_limit(full, p.similarity)
+        if best <= limit:
+            wanted += 1
+            found += i in hits[0]
+    assert wanted > 50 and found >= 0.95 * wanted
+
+
+def test_exact_passages_are_always_found():
+    rng = random.Random(2)
+    pool = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(8, 60)))) for i in range(40)]
+    index = decontam.ItemIndex(items, decontam.DecontamParams())
+    texts = [f"{' '.join(rng.choice(pool) for _ in range(k))} {t.upper()}!" for k, (_, t) in enumerate(items)]
+    got = index.search(texts)
+    assert [got[i][i][:2] for i in range(40)] == [(0, i) for i in range(40)]
+    assert index.search([" ".join(rng.choice(pool) for _ in range(3000))]) == [{}]
+
+
+def test_classifier_learns_and_ignores_empty_texts():
+    good = ["the calm river went on and on through the old green valley today"] * 20
+    bad = ["BUY!! NOW!! CHEAP!! PILLS!! HERE!!"] * 20
+    p = classifier.FtrlParams(bits=12)
+    rows = [(*classifier.features(t, p.bits), y) for pair in zip(good, bad) for t, y in zip(pair, (1, 0))]
+    w = classifier.train_ftrl(rows, p)
+    assert classifier.score("a calm green valley and an old river", w, 12) > 0.7 > 0.5 > classifier.score("WIN!! MONEY!!", w, 12)
+    assert 0 < classifier.score(None, w, 12) == classifier.score("", w, 12) < 1
+
+
+def test_plain_words():
+    assert plain_words("A b, C-d!") == ["a", "b", "c", "d"]
+    assert plain_words("!!! ???") == ["!!!", "???"]
+    assert plain_words("  ") == []
+
+
+def test_line_rules():
+    r = quality_rules.judge("Good line of text here.\n" + "menu | home | about | contact | more |\n" + "A B C!! D!! E!! F!! G!!\nAccept our cookie policy.\n")
+    assert r["n_failed_lines"] == 3 and r["base_failed"]
+    assert quality_rules.clean_text("ok.\nhome | a | b | c\n") == "ok.\n"
+    assert quality_rules.judge(None) == quality_rules.judge("") and not quality_rules.judge("")["kept"]
