@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,11 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, slices
 
-#: Pre-tokens kept per worker; beyond it the table is emptied and fills again.
-CACHE_ENTRIES = 400_000
+#: Pre-tokens kept per worker and generation.
+CACHE_ENTRIES = 350_000
 #: Longer pre-tokens are encoded each time and not kept.
 CACHE_PIECE_CHARS = 64
-#: Word n-token rows of a text are cut for encoding never: a text is one row.
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
 # The byte-level BPE splitting pattern, written for the blocks named in _OUTSIDE.
@@ -42,71 +42,63 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceTable:
-    """Encodings of distinct pre-tokens; ``counts_only`` keeps their lengths instead of their ids."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable, else one from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class PieceTable(dict):
+    """Pre-token -> its ids as little-endian unsigned 32-bit integers, or with ``counts_only`` how many they are.
+
+    A pre-token that is met for the first time is encoded by the library's model, which is what a lookup does that finds
+    nothing. Two generations of at most ``CACHE_ENTRIES`` entries are held: what was not used since the last change goes.
+    """
 
     def __init__(self, path: str, counts_only: bool):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.letters = _byte_letters()
         self.counts_only = counts_only
-        self.table: dict[str, object] = {}
+        self.older: dict[str, object] = {}
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
+    def __missing__(self, piece: str):
+        value = self.older.get(piece)
+        if value is None:
+            found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            value = len(found) if self.counts_only else struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            if len(piece) > CACHE_PIECE_CHARS:
+                return value
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = value
+        return value
+
     def whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def fast(self, text: str) -> bool:
         return _OUTSIDE.search(text) is None and not (self.added and self.added.search(text))
 
-    def _learn(self, missing: list[str]) -> dict[str, object]:
-        fresh = {}
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for piece, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                fresh[piece] = len(enc.ids) if self.counts_only else np.asarray(enc.ids, dtype="<u4").tobytes()
-        return fresh
-
-    def lookup(self, pieces) -> dict[str, object]:
-        """A table that covers ``pieces``: distinct ones that are new are encoded once."""
-        missing = [p for p in set(pieces) if p not in self.table]
-        fresh = self._learn(missing)
-        long = {p: v for p, v in fresh.items() if len(p) > CACHE_PIECE_CHARS}
-        if len(self.table) + len(fresh) > CACHE_ENTRIES:
-            kept = {p: self.table[p] for p in set(pieces) if p in self.table}
-            self.table = kept if len(kept) + len(fresh) <= CACHE_ENTRIES else {}
-            if not self.table and kept:
-                return kept | fresh
-        self.table.update((p, v) for p, v in fresh.items() if p not in long)
-        return {**self.table, **long} if long and len(self.table) < 1000 else _Both(self.table, long) if long else self.table
-
     def count(self, text: str) -> int:
         """Tokens of a text from its pre-token frequencies; no ids are made."""
         if not self.fast(text):
             return len(self.whole(text))
-        freq = Counter(_SPLIT.findall(text))
-        sizes = self.lookup(freq)
-        return sum(n * sizes[p] for p, n in freq.items())
+        return sum(n * self[p] for p, n in Counter(_SPLIT.findall(text)).items())
 
     def ids(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not self.fast(text):
             return np.asarray(self.whole(text), dtype="<u4").tobytes()
-        pieces = _SPLIT.findall(text)
-        return b"".join(map(self.lookup(pieces).__getitem__, pieces))
-
-
-class _Both(dict):
-    """Two tables read as one, without copying the large one."""
-
-    def __init__(self, table, more):
-        super().__init__(more)
-        self._table = table
-
-    def __missing__(self, piece):
-        return self._table[piece]
+        return b"".join(map(self.__getitem__, _SPLIT.findall(text)))
 
 
 _TABLES: dict[tuple[str, bool], PieceTable] = {}
@@ -181,16 +173,24 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = DEFAULT_TO
     ordered.mapInArrow(run, schema).write.options(**options).mode("overwrite").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with ``start``: how many ids stand before the row in all parts. Only metadata columns are read for it."""
-    rows = spark.read.parquet(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("part_total"))  # one row per file
-    before = totals.select("part", (F.sum("part_total").over(Window.orderBy("part")) - F.col("part_total")).alias("part_base"))
-    return rows.join(before, "part").withColumn("start", F.col("part_base") + F.col("part_start")).drop("part_base", "part_start")
+def part_bases(spark: SparkSession, path: str) -> DataFrame:
+    """(part, part_base): how many ids stand before each file's range. Only metadata columns are read.
+
+    One row for each file; written beside the files, so that its size is known when a join with it is planned.
+    """
+    totals = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("part_total"))
+    bases = totals.select("part", (F.sum("part_total").over(Window.orderBy("part")) - F.col("part_total")).alias("part_base"))
+    bases.coalesce(1).write.mode("overwrite").parquet(f"{path}-parts")
+    return spark.read.schema(bases.schema).parquet(f"{path}-parts")
+
+
+def with_start(rows: DataFrame, bases: DataFrame) -> DataFrame:
+    return rows.join(bases, "part").withColumn("start", F.col("part_base") + F.col("part_start")).drop("part_base", "part_start")
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files' own ids."""
+    names = ["doc_id", "part", "part_start", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,10 +198,20 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
             values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
             n = pa.array(np.diff(offsets).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), n, pa.array(crc, pa.int64())], names=names)
+
+    rows = spark.read.parquet(path).select("doc_id", "part", "part_start", "tokens")
+    digests = rows.mapInArrow(run, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    return with_start(digests, part_bases(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
-    rows = read_token_files(spark, path).select("doc_id", "start", "part", "tokens")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files' rows with ``start``: how many ids stand before the row in all parts.
+
+    One row for each file is joined to the rows; Spark broadcasts it while it is under its threshold.
+    """
+    rows = spark.read.parquet(path)
+    return with_start(rows, part_bases(spark, path))
 
 
 def encode_to_files(spark: SparkSession, docs: DataFrame, **options) -> str:

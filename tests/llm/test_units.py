@@ -103,7 +103,7 @@ def test_token_table_keeps_its_bound(monkeypatch):
     for _ in range(60):
         text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 80]))) for _ in range(30))
         assert table.count(text) == len(table.whole(text))
-        assert len(table.table) <= 50
+        assert len(table) <= 50 and len(table.older) <= 50
 
 
 def _edited(words, rate, rng, pool):
