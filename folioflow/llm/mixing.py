@@ -80,5 +80,7 @@ def mix(docs: DataFrame, weights: dict[str, float], *, seed: int = 7, rows: int
     counted = docs.select(*[F.col(f"`{c}`") for c in names], (chain if chain is not None else count).alias("n_copies")).filter("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     place = "__place"
-    placed = copies.withColumn(place, F.xxhash64(F.lit(seed), "doc_id", "copy", F.monotonically_increasing_id()))
+    while place in docs.columns:
+        place += "_"
+    placed = copies.withColumn(place, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"), F.monotonically_increasing_id()))
     return placed.repartition(F.col(place)).sortWithinPartitions(F.xxhash64(F.lit(seed + 1), place)).drop(place).select(*names, "copy", "n_copies")
