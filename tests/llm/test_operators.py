@@ -1,0 +1,359 @@
+"""The operators on small frames: edge cases, and brute-force versions of what SQL cannot say."""
+
+import itertools
+import os
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from folioflow.llm import align, classifier, decontam, licenses, mixing, neardup, quality_rules, queries, sharding, tokens, url_rules
+from folioflow.llm.common import Scratch, plain_words
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [
+    (1, "alpha beta", "en", "a", 10), (1, "alpha beta", "en", "a", 10), (1, "other text", None, "a", None), (None, "no id here", "en", None, 1), (2, None, None, None, None), (None, None, None, None, None),
+    (3, "", "en", "b", 0), (4, "", "en", "b", 0), (5, " \n\t ", "en", "b", 4), (6, "!!! ###", "en", "zz", 7), (7, "word " * 40000, "en", "a", 200000), (8, "x" * 300000, "en", "a", 300000), (9, "日本語 テキスト", "ja", "a", 8),
+]
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows with columns whose names the operators use inside."""
+    df = frame(spark, ODD)
+    for c in ("digest", "keys", "rid", "part", "tie", "copy", "n_copies", "shard", "bucket", "label", "score", "__place", "path", "key"):
+        df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [], DOCS)
+
+
+def random_docs(seed, n=60):
+    rng = random.Random(seed)
+    pool = [f"w{i}" for i in range(900)]
+    passage = [rng.choice(pool) for _ in range(60)]
+    out = []
+    for i in range(n):
+        words = [rng.choice(pool) for _ in range(rng.randint(40, 160))]
+        if i % 3 == 0:
+            at = rng.randrange(len(words))
+            words[at:at] = passage
+        out.append(words)
+    for i in range(0, n, 4):
+        for rate in (0.02, 0.06):
+            out.append([rng.choice(pool) if rng.random() < rate else w for w in out[i]])
+    out += [list(out[2]) for _ in range(5)]
+    rng.shuffle(out)
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def brute_classes(docs, similarity=0.8):
+    words = {i: plain_words(t) for i, t in docs}
+    parent = {i: i for i, _ in docs}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (a, ta), (b, tb) in itertools.combinations(docs, 2):
+        near = ta == tb or align.banded_distance(words[a], words[b], align.edit_limit(max(len(words[a]), len(words[b])), similarity)) is not None
+        if near:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in parent}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """No false link; of the documents that brute force links, at similarities from 0.8 on, nearly all are in their class."""
+    docs = random_docs(5)
+    want = brute_classes(docs)
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in neardup.near_duplicate_classes(frame(spark, docs, "doc_id long, text string")).collect()}
+    assert all(want[i] == want[c] for i, (c, _) in got.items())
+    linked = [i for i in want if Counter(want.values())[want[i]] > 1]
+    assert len(linked) > 40 and sum(got[i][0] == want[i] for i in linked) >= 0.95 * len(linked)
+    sizes = Counter(c for c, _ in got.values())
+    assert all(n == sizes[c] for c, n in got.values())
+    kept = neardup.keep_one_per_class(frame(spark, docs, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(sizes)
+
+
+def test_large_open_buckets_are_divided(spark):
+    rng = random.Random(3)
+    pool = [f"v{i}" for i in range(3000)]
+    passage = [rng.choice(pool) for _ in range(80)]
+    docs = [passage + [rng.choice(pool) for _ in range(60)] for _ in range(50)]
+    docs += [[rng.choice(pool) if rng.random() < 0.03 else w for w in d] for d in docs[:10]]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = neardup.near_duplicate_classes(frame(spark, rows, "doc_id long, text string"), neardup.NearDupParams(bucket=4)).collect()
+    want = brute_classes(rows)
+    assert sum(r["class_id"] != want[r["doc_id"]] for r in got) <= 1
+
+
+def test_near_duplicates_odd_rows(spark, odd, empty):
+    got = neardup.near_duplicate_classes(odd).collect()
+    assert len(got) == len(ODD)
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append((r["class_id"], r["class_size"]))
+    assert sorted(by[1]) == [(1, 1), (1, 2), (1, 2)] and by[2] == [(2, 1)] and by[3] == by[4] == [(3, 2)] and sorted(by[None], key=str) == [(None, 1), (None, 1)]
+    kept = neardup.keep_one_per_class(odd)
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - 2
+    assert neardup.near_duplicate_classes(empty).count() == 0 == neardup.keep_one_per_class(empty).count()
+
+
+def test_sharding(spark, odd, empty):
+    path = sharding.shard_to_files(spark, odd, bucket_bytes=50_000)
+    rows = sharding.shard_report(spark, path).collect()
+    assert len(rows) == len(ODD)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in rows) == sorted((i is None, i or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in ODD)
+    shards = defaultdict(list)
+    for r in rows:
+        shards[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 16) and r["law"] == "key"
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values())
+    assert len({r["shard"] for r in rows if r["doc_id"] == 1}) == 1
+    assert sharding.shard_report(spark, sharding.shard_to_files(spark, empty)).count() == 0
+
+
+def test_sharding_shuffles_and_moves_few(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    rows = sharding.shard_report(spark, sharding.shard_to_files(spark, docs, bucket_bytes=2000)).collect()
+    moved = sum(r["grown_shard"] == 16 for r in rows)
+    assert 140 < moved < 340
+    one = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"])) if r["shard"] == 3]
+    assert 180 < len(one) < 320 and abs(np.corrcoef(np.arange(len(one)), one)[0, 1]) < 0.25
+    again = sharding.shard_report(spark, sharding.shard_to_files(spark, docs, bucket_bytes=2000)).collect()
+    assert {(r["doc_id"], r["shard"]) for r in rows} == {(r["doc_id"], r["shard"]) for r in again}
+
+
+def test_poisson_counts_follow_their_mean(spark):
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
+    got = mixing.mix(docs, {"a": 3.0, "b": 1.0}, seed=3)
+    counts = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert abs(counts["a"] / 15000 - 1) < 0.05 and abs(counts["b"] / 5000 - 1) < 0.06
+    per = Counter(r["n_copies"] for r in got.filter("source = 'a' and copy = 0").collect())
+    p = [np.exp(-3)]
+    for k in range(1, 8):
+        p.append(p[-1] * 3 / k)
+    assert all(abs(per[k] - 5000 * p[k]) < 5 * np.sqrt(5000 * p[k]) for k in range(1, 8))
+    assert mixing.poisson_steps(0.0)[0] == 1.0 and abs(mixing.poisson_steps(40.0)[-1] - 1) < 1e-9
+
+
+def test_mixing_odd_rows(spark, odd, empty):
+    got = mixing.mix(odd, {"a": 1.0, "*": 1.0}, seed=3)
+    assert got.columns == [c for c in odd.columns if c not in ("copy", "n_copies")] + ["copy", "n_copies"]
+    rows = got.collect()
+    assert {r["n_copies"] for r in rows if r["doc_id"] == 1} <= {max((r["n_copies"] for r in rows if r["doc_id"] == 1), default=0)}
+    assert mixing.mix(odd, {"a": 1.0}).filter("source <> 'a' or source is null").count() == 0
+    assert mixing.mix(empty, {"a": 1.0}).count() == 0 == mixing.mix(odd, {"q": 1.0}).count()
+
+
+def test_token_files_round_trip(spark, odd, empty):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokens.tokenizer_path())
+    path = tokens.encode_to_files(spark, odd, keep=("source",))
+    rows = tokens.read_token_files(spark, path).orderBy("start").collect()
+    at = 0
+    ids = [r["doc_id"] for r in rows]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and len(rows) == len(ODD)
+    want = Counter((i, tuple(tok.encode(t or "", add_special_tokens=False).ids + [2])) for i, t, *_ in ODD)
+    assert Counter((r["doc_id"], tuple(r["tokens"])) for r in rows) == want
+    for r in rows:
+        assert r["start"] == at and r["n_tokens"] == len(r["tokens"])
+        at += r["n_tokens"]
+    digest = {(r["start"], r["ids_crc32"]) for r in tokens.token_digest(spark, path).collect()}
+    assert digest == {(r["start"], zlib.crc32(np.array(r["tokens"], "<u4").tobytes())) for r in rows}
+    none = tokens.encode_to_files(spark, empty)
+    assert tokens.token_digest(spark, none).count() == 0
+
+
+def test_token_file_format(spark):
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = tokens.encode_to_files(spark, docs, row_group_bytes=1 << 16, page_bytes=1 << 12).removeprefix("file://")
+    name = next(f for f in os.listdir(path) if f.endswith(".parquet"))
+    meta = pq.ParquetFile(f"{path}/{name}").metadata
+    column = next(meta.row_group(0).column(i) for i in range(meta.num_columns) if meta.row_group(0).column(i).path_in_schema.startswith("tokens"))
+    assert column.has_offset_index and column.has_column_index and {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(column.encodings)
+
+
+def test_token_counts(spark, odd, empty):
+    rows = tokens.count_tokens(odd, limit=10).collect()
+    table = tokens.piece_table(tokens.tokenizer_path(), True)
+    want = Counter((i, len((t or "").encode()), len(table.whole(t or ""))) for i, t, *_ in ODD)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in rows) == want
+    assert all(r["over_limit"] == (r["n_tokens"] > 10) for r in rows) and tokens.count_tokens(empty).count() == 0
+
+
+def test_decontamination_odd_rows(spark, odd, empty):
+    item = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(1, item), (1, item), (None, "eleven " + item), (3, None), (4, ""), (5, "short one")], "item_id long, text string")
+    docs = odd.unionByName(odd.limit(1).withColumn("text", F.lit(f"before {item.upper()} after")))
+    hits = decontam.contamination_hits(docs, items).collect()
+    assert {r["item_id"] for r in hits} >= {1} and len({r["doc_id"] for r in hits}) == 1
+    assert next(r for r in hits if r["item_id"] == 1)["distance"] == 0
+    clean = decontam.drop_contaminated(docs, items)
+    assert clean.columns == docs.columns and clean.count() == docs.count() - 1
+    assert decontam.contamination_hits(empty, items).count() == 0 == decontam.contamination_hits(docs, items.limit(0)).count()
+    tiny = decontam.DecontamParams(block_bytes=40)
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contamination_hits(docs, items, tiny).collect()} == {(r["doc_id"], r["item_id"]) for r in hits}
+
+
+def test_decontamination_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contamination_hits(docs, items).collect()}
+    want = set()
+    probes = [(r["item_id"], plain_words(r["text"])) for r in items.collect()]
+    for r in docs.collect():
+        words = plain_words(r["text"])
+        have = Counter(zip(words, words[1:]))
+        for item_id, target in probes:
+            n, limit = len(target), align.edit_limit(len(target), 0.8)
+            if sum(min(have[p], 1) for p in set(zip(target, target[1:]))) < n - 1 - 2 * limit - 5:
+                continue
+            if any(align.banded_distance(words[s : s + n], target, limit) is not None for s in range(max(1, len(words) - n + 1))):
+                want.add((r["doc_id"], item_id))
+    assert got == want and want
+
+
+def test_url_filter(spark):
+    urls = ["https://A.Example.ORG/es/x?q#f", "http://example.org/en/12", "http://example.org/en/2", "http://notexample.org/es/", "ftp://x.com/de/", "http://com/fr/a", "http://spam-farm.net/fr/", "no url", None, "", "http://", "http://h", "http://org?x=/", "http://u:p@x.org:80/y", "HTTP://X.COM/FR/"]
+    rows = url_rules.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit(1))).orderBy("page_id").collect()
+    got = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in rows]
+    assert got[:9] == [
+        ("a.example.org", "/es/x", "example.org/es/", "block"), ("example.org", "/en/12", "example.org/en/1", "block"), ("example.org", "/en/2", "org/", "allow"), ("notexample.org", "/es/", "org/", "allow"),
+        ("x.com", "/de/", "com/de/", "block"), ("com", "/fr/a", "com/fr/", "allow"), ("spam-farm.net", "/fr/", None, "block"), ("", "", None, "allow"), ("", "", None, "allow"),
+    ]
+    assert got[10] == ("", "", None, "allow") and got[11] == ("h", "", None, "allow") and got[12] == ("org", "", None, "allow") and got[14] == ("x.com", "/FR/", None, "allow")
+    assert url_rules.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_quality_odd_rows(spark, odd, empty):
+    rows = quality_rules.quality_report(odd).collect()
+    assert len(rows) == len(ODD) and all(r["base_failed"] and not r["kept"] for r in rows if r["doc_id"] in (2, 3, 5, 6, 7, 8))
+    good = frame(spark, [(1, "A line of many words that ends well. " * 1 + " ".join(f"t{i}" for i in range(60)) + ".", "en", "a", 1)])
+    kept = quality_rules.keep_good(odd.select(good.columns).unionByName(good))
+    assert [r["doc_id"] for r in kept.collect()] == [1] and kept.columns == good.columns
+    assert quality_rules.quality_report(empty).count() == 0 == quality_rules.keep_good(empty).count()
+
+
+def test_classifier_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    scores = classifier.score_quality(docs, classifier.train(docs, labels)).join(labels, "doc_id").filter("held_out").collect()
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in scores)
+    good, bad = ([r["score"] for r in scores if r["quality"] == q] for q in (1, 0))
+    auc = np.mean([[(g > b) + 0.5 * (g == b) for b in bad] for g in good])
+    assert auc > 0.97 and np.mean([r["predicted"] == r["quality"] for r in scores]) > 0.93
+
+
+def test_classifier_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, 0), (7, None, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    w = classifier.train(odd, labels)
+    rows = classifier.score_quality(odd, w).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    assert (classifier.train(odd, labels.limit(0)) == 0).all() and classifier.score_quality(empty, w).count() == 0
+
+
+FILES = [
+    (1, "p/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.\nMore words here."),
+    (2, "p/src/a.py", "code with no statement"), (3, "p/src/b.py", "# SPDX-License-Identifier: Apache-2.0\ncode of some more words follows here"), (4, "p/src/deep/x/c.py", ""), (5, "q/d.py", "nothing"), (6, None, "Released under the MIT License."), (7, None, None),
+    (8, "p/src/deep/COPYING", "This work is licensed under the GNU General Public License, version 3."), (9, "top.txt", "text. Licensed under CC BY-NC 4.0. " + "filler " * 300), (1, "p/z.py", "x"), (None, "p/z.py", "x"), (10, "p/w.py", "a license of some other kind " * 50),
+]
+
+
+def test_licenses(spark):
+    df = spark.createDataFrame(FILES, "doc_id long, path string, text string").withColumn("uid", F.lit(1)).withColumn("term", F.lit("x"))
+    rows = licenses.scan_licenses(df).collect()
+    assert len(rows) == len(FILES)
+    got = {(r["doc_id"], r["path"]): (r["license"], r["origin"], r["from_dir"]) for r in rows}
+    assert got[1, "p/LICENSE"][:2] == ("MIT", "file") and got[2, "p/src/a.py"] == ("MIT", "inherited", "p") and got[3, "p/src/b.py"] == ("Apache-2.0", "header", None)
+    assert got[4, "p/src/deep/x/c.py"] == ("GPL-3.0", "inherited", "p/src/deep") and got[5, "q/d.py"] == (None, None, None) and got[6, None][0] == "MIT" and got[7, None] == (None, None, None)
+    assert got[9, "top.txt"][:2] == ("CC-BY-NC-4.0", "header") and got[None, "p/z.py"] == ("MIT", "inherited", "p") and got[10, "p/w.py"][1] == "inherited"
+    assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+
+
+def test_license_cosine_equals_brute_force(spark):
+    import math
+
+    df = spark.createDataFrame(FILES, "doc_id long, path string, text string")
+    p = licenses.LicenseParams()
+    units = {}
+    import re
+
+    for i, (_, path, text) in enumerate(FILES):
+        for s in re.split(r"\n|(?<=[.!?;])\s+", text or ""):
+            if re.search(p.trigger, s):
+                w = licenses._py_terms(s)
+                parts = [w] if len(w) <= p.window else [w[k : k + p.window] for k in range(0, len(w) - p.window // 2, p.window // 2)]
+                units.setdefault(i, []).extend(parts)
+    every = [u for us in units.values() for u in us] + [licenses._py_terms(t) for _, t in p.templates]
+    df_count = Counter(t for u in every for t in set(u))
+    idf = {t: math.log((1 + len(every)) / (1 + n)) + 1 for t, n in df_count.items()}
+
+    def vector(words):
+        v = {t: n * idf[t] for t, n in Counter(words).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    shapes = [(lic, vector(licenses._py_terms(t))) for lic, t in p.templates]
+    want = {}
+    for i, us in units.items():
+        best = max((round(sum(x * s.get(t, 0) for t, x in vector(u).items()), 6), lic) for u in us for lic, s in shapes)
+        want[FILES[i][0], FILES[i][1]] = best if best[0] >= p.min_cosine else None
+    for r in licenses.scan_licenses(df).filter("origin in ('file', 'header')").collect():
+        cosine, lic = want.pop((r["doc_id"], r["path"]))
+        assert r["license"] == lic and abs(r["cosine"] - cosine) < 2e-6
+    assert not any(want.values())
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    kept = [d for d in docs if quality_rules.judge(d[1])["kept"]]
+    classes = brute_classes([(d[0], d[1]) for d in kept])
+    kept = [d for d in kept if classes[d[0]] == d[0]]
+    index = decontam.ItemIndex(items, decontam.DecontamParams())
+    kept = [d for d in kept if not index.search([d[1]])[0]]
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert got and {r["doc_id"] for r in got} <= {d[0] for d in kept}
+    assert len(kept) > 50
+    import hashlib
+
+    counts = Counter(d[3] for d in kept)
+    scale = sum(w for s, w in queries.WEIGHTS.items() if counts.get(s))
+    want = Counter()
+    for d in kept:
+        mean = queries.WEIGHTS[d[3]] / scale * len(kept) / counts[d[3]]
+        u = (int(hashlib.md5(f"{queries.MIX_SEED}:{d[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        want[d[0]] = sum(u >= x for x in mixing.poisson_steps(mean))
+    assert Counter(r["doc_id"] for r in got) == +want
+    table = tokens.piece_table(tokens.tokenizer_path(), False)
+    texts = {d[0]: d[1] for d in kept}
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["tokens"] == table.whole(texts[r["doc_id"]]) + [2] and r["start"] == at
+        at += len(r["tokens"])
+
+
+def test_scratch_tables_go_to_the_shared_folder(spark):
+    t = Scratch(spark, "x")
+    df = t.save(spark.range(3), "a")
+    assert df.count() == 3 and spark.sparkContext.getConf().get("spark.checkpoint.dir") in t.root
+    t.drop(df)
