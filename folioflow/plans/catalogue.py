@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as M
 from ..functions import scalars as S
 from ..operators import clean, grids, layout, packing, refs, render, trees
-from ..sources.files import blocks_of, extract
+from ..sources.files import blocks_of, extract, spread
 from .convert import convert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pages_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("html").alias("format"), F.col("html").alias("content"))
-    return extract(pages)
+    return extract(spread(pages))
 
 
 # ---- sources ----
@@ -484,4 +484,4 @@ def convert_pages_markdown(spark, sf):
 @query()
 def convert_documents_markdown(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.lit("markdown").alias("format"), F.col("text").alias("content"))
-    return convert(extract(docs)).select("doc_id", "markdown")
+    return convert(extract(spread(docs))).select("doc_id", "markdown")

@@ -24,6 +24,9 @@ Captioner = Callable[[DataFrame], DataFrame]
 Renderer = Callable[[DataFrame], DataFrame]
 
 
+INFO = "struct<format:string,title:string,meta:map<string,string>,warnings:array<string>,scans:array<int>>"
+
+
 @dataclass(frozen=True)
 class ConvertOptions:
     """What a conversion does. Without a captioner or renderer everything is deterministic and offline."""
@@ -68,7 +71,7 @@ def _caption_maps(docs: DataFrame, captioner: Captioner) -> DataFrame:
 def rendered_blocks(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, ord, pos, md, item, tokens, images, info): every block's Markdown. All within a document's row, without a shuffle.
 
-    ``info`` (format, title, meta, warnings, scans) comes with a document's first row only.
+    ``info`` (JSON of ``INFO``) comes with a document's first row only.
     """
     fmt = F.col("format")
     out = docs.withColumn("b", clean_array(F.coalesce("blocks", F.array().cast(docs.schema["blocks"].dataType)), fmt))
@@ -92,28 +95,28 @@ def rendered_blocks(docs: DataFrame) -> DataFrame:
         F.exists(pdf, lambda x: (x["unit_index"] == u) & x["image"].isNotNull()).alias("has_image")))
     info = F.struct("format", "title", "meta", "warnings", F.when(fmt == "pdf", scan_pages(F.col("meta")["is_scanned"] == "true", pages)).alias("scans"))
     out = out.select("doc_id", info.alias("info"), F.posexplode_outer(F.transform("b", row)).alias("i", "x"))
-    return out.select("doc_id", F.coalesce("x.ord", F.lit(0)).alias("ord"), "x.pos", "x.md", "x.item", "x.tokens", "x.images", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("info")).alias("info"))
+    return out.select("doc_id", F.coalesce("x.ord", F.lit(0)).alias("ord"), "x.pos", "x.md", "x.item", "x.tokens", "x.images", F.when(F.coalesce("i", F.lit(0)) == 0, F.to_json("info")).alias("info"))
 
 
 def pack_and_join(rows: DataFrame, max_tokens: int, max_images: int) -> DataFrame:
-    """Chunks (doc_id, chunk_index, markdown, truncated, images) of rows (doc_id, ord, pos, md, item, tokens, images).
+    """Chunks (doc_id, chunk_index, markdown, truncated, images, info) of rows (doc_id, ord, pos, md, item, tokens, images, info).
 
     Rows are dealt by doc_id and sorted; a task folds them as a stream and holds one unit and one open chunk. Blocks are
     joined by a blank line, items of one list by a line end.
     """
-    dealt = rows.select("doc_id", "ord", F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("md", F.lit("")).alias("md"), F.coalesce("item", F.lit(False)).alias("item"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("images", F.lit(0)).alias("images"))
+    dealt = rows.select("doc_id", "info", "ord", F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("md", F.lit("")).alias("md"), F.coalesce("item", F.lit(False)).alias("item"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("images", F.lit(0)).alias("images"))
     dealt = dealt.repartition("doc_id").sortWithinPartitions("doc_id", "ord")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "chunk_index", "markdown", "truncated", "images"]
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int32()]
-        doc, unit, packer, chunk, done, held = object(), None, None, None, [], 0
+        names = ["doc_id", "chunk_index", "markdown", "truncated", "images", "info"]
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.string()]
+        doc, about, unit, packer, chunk, done, held = object(), None, None, None, None, [], 0
 
         def close_chunk():
             nonlocal chunk, held
             if chunk is not None:
                 text = "".join(chunk["parts"])
-                done.append((doc, chunk["index"], text, chunk["big"], chunk["images"]))
+                done.append((doc, chunk["index"], text, chunk["big"], chunk["images"], about))
                 held += len(text)
             chunk = None
 
@@ -134,11 +137,11 @@ def pack_and_join(rows: DataFrame, max_tokens: int, max_images: int) -> DataFram
             unit = None
 
         for batch in batches:
-            for d, pos, md, item, t, i in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6))):
+            for d, info, pos, md, item, t, i in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6, 7))):
                 if packer is None or d != doc:
                     close_unit()
                     close_chunk()
-                    doc, packer = d, Packer(max_tokens, max_images)
+                    doc, about, packer = d, info, Packer(max_tokens, max_images)
                 if unit is not None and unit["pos"] != pos:
                     close_unit()
                 if unit is None:
@@ -155,7 +158,7 @@ def pack_and_join(rows: DataFrame, max_tokens: int, max_images: int) -> DataFram
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
 
-    return dealt.mapInArrow(run, "doc_id long, chunk_index int, markdown string, truncated boolean, images int")
+    return dealt.mapInArrow(run, "doc_id long, chunk_index int, markdown string, truncated boolean, images int, info string")
 
 
 def convert(docs: DataFrame, options: ConvertOptions = ConvertOptions()) -> DataFrame:
@@ -173,10 +176,9 @@ def convert(docs: DataFrame, options: ConvertOptions = ConvertOptions()) -> Data
     narrow = docs.drop("images", "cells", "merged", "extents", "points", "edges")
     rows = rendered_blocks(narrow)
     chunks = pack_and_join(rows, options.max_chunk_tokens, options.max_chunk_images)
-    infos = rows.filter("info is not null").select("doc_id", "info")
     if options.renderer:
-        chunks = options.renderer(previous_tail(chunks)).select("doc_id", "chunk_index", "markdown", "truncated", "images")
-    whole = chunks.join(infos, "doc_id")
+        chunks = options.renderer(previous_tail(chunks)).select("doc_id", "chunk_index", "markdown", "truncated", "images", "info")
+    whole = chunks.withColumn("info", F.from_json("info", INFO))
     if not options.keep_image_markers:
         whole = postprocess(whole, "markdown", F.col("info.scans"))
     parts = F.transform(F.array_sort(F.collect_list(F.when(F.trim("markdown") != "", F.struct("chunk_index", "markdown")))), lambda p: p["markdown"])

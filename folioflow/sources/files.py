@@ -71,6 +71,12 @@ def _fill(schema: pa.DataType, value):
     return value
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Deal rows out anew where they come in fewer partitions than there are cores: parsing costs more than moving a few files."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
+
+
 def extract(files: DataFrame, *, key: str = "doc_id", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
     """Parse documents: one row each with the columns of ``model.DOCUMENT``, the key and ``keep``.
 
