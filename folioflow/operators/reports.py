@@ -44,3 +44,22 @@ def repeated_edges(lines: DataFrame, key: str, unit: str, order: str, text: str,
     w = Window.partitionBy(key, unit)
     edge = lines.withColumn("lo", F.min(order).over(w)).withColumn("hi", F.max(order).over(w)).filter(f"{order} = lo or {order} = hi")
     return edge.groupBy(key, text).agg(F.countDistinct(unit).alias("n_units")).filter(F.col("n_units") >= least)
+
+
+def audit(blocks: DataFrame, raw: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Counts of a source (n_headings, n_images, n_tables, n_chars) against its blocks', with what differs."""
+    text = F.coalesce(F.array_join(F.transform("runs", lambda r: r["text"]), ""), F.lit(""))
+    have = blocks.groupBy(key).agg(
+        F.count_if(F.col("type") == "heading").alias("ir_headings"), F.count_if(F.col("image").isNotNull()).alias("ir_images"), F.count_if(F.col("type") == "table").alias("ir_tables"), F.sum(F.length(text)).alias("ir_chars")
+    )
+    both = raw.join(have, key, "left").na.fill(0)
+    pct = F.when(F.col("n_chars") == 0, 0.0).otherwise(F.round(100.0 * F.col("ir_chars") / F.col("n_chars"), 1))
+    differs = [F.when(F.col("ir_chars") * 2 < F.col("n_chars"), "text under-capture"), F.when(F.col("ir_images") != F.col("n_images"), "img diff"), F.when(F.col("ir_tables") != F.col("n_tables"), "table diff")]
+    return both.withColumn("coverage_pct", pct).withColumn("notes", F.coalesce(F.nullif(F.concat_ws(", ", *differs), F.lit("")), F.lit("OK")))
+
+
+def audit_markdown(report: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The audit as one Markdown table."""
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col(key).cast("string"), F.col("coverage_pct").cast("string"), "notes"), F.lit(" |"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), row.alias("r")))), lambda x: x["r"]), "\n")
+    return report.agg(F.concat(F.lit(f"| {key} | coverage % | notes |\n| --- | --- | --- |\n"), lines).alias("markdown"))

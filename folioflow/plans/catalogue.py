@@ -476,6 +476,41 @@ def union_refs(spark, sf):
     return refs.union_refs(a, table(spark, sf, "pages").select(F.col("page_id").alias("ref"), F.lit("page").alias("kind")))
 
 
+@query("SELECT lang, left(text, 12) AS line, count(DISTINCT source) AS n_units FROM documents GROUP BY lang, left(text, 12) HAVING count(DISTINCT source) >= 2")
+def repeated_edges(spark, sf):
+    from ..operators.reports import repeated_edges as f
+
+    rows = table(spark, sf, "documents").select("lang", "source", F.col("doc_id").alias("n"), F.substring("text", 1, 12).alias("line"))
+    # The first words of every document stand in for its edge; a source is the unit.
+    edges = f(rows.withColumn("n", F.lit(0)), "lang", "source", "n", "line")
+    return edges.select("lang", "line", "n_units")
+
+
+@query(f"""SELECT page_id, CASE WHEN t = '' THEN b ELSE '# ' || t || chr(10) || chr(10) || b END AS md FROM (SELECT page_id, trim({_sql_unescape("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS t, 'body ' || page_id AS b FROM pages)""")
+def title_added(spark, sf):
+    from ..operators.polish import with_title
+
+    return pages_parsed(spark, sf).select(F.col("doc_id").alias("page_id"), with_title(F.concat(F.lit("body "), F.col("doc_id")), F.col("title")).alias("md"))
+
+
+@query("""WITH m AS (SELECT doc_id, doc_id % 3 AS k FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN 'is a data tool' WHEN 1 THEN 'an open base' ELSE 'the engine works' END AS md FROM m""")
+def fluff_removed(spark, sf):
+    from ..operators.polish import without_fluff
+
+    k = F.col("doc_id") % 3
+    text = F.when(k == 0, "is a powerful data tool").when(k == 1, "a robust, innovative open base").otherwise("the seamless engine works")
+    return table(spark, sf, "documents").select("doc_id", without_fluff(text).alias("md"))
+
+
+@query(f"""SELECT page_id, 0 AS n_images, 0 AS n_markers, 0 AS repeated_markers, 0 AS skipped_levels, TRUE AS complete FROM pages""")
+def review_pages(spark, sf):
+    from ..operators.reports import review
+
+    parsed = pages_parsed(spark, sf)
+    return review(blocks_of(parsed), convert(parsed)).withColumnRenamed("doc_id", "page_id")
+
+
 @query()
 def convert_pages_markdown(spark, sf):
     return convert(pages_parsed(spark, sf)).select(F.col("doc_id").alias("page_id"), "title", "markdown")

@@ -1,0 +1,135 @@
+"""Captioning and rendering by models: protocols, pacing, retries and fallbacks. Without a model everything stays offline."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from typing import Protocol
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from ..operators.refs import NO_CAPTION
+
+#: What stands for an image whose bytes are missing, and for a drawing no vision model reads.
+NOT_FOUND, NO_SVG = "[Image: not found]", "[SVG diagram: caption unavailable]"
+
+
+class CaptionModel(Protocol):
+    def caption(self, context: str, content: bytes) -> str: ...
+
+
+class RenderModel(Protocol):
+    def render(self, markdown: str, previous_tail: str) -> str: ...
+
+
+@dataclass(frozen=True)
+class ModelOptions:
+    """How a model is called. ``make`` builds it on a worker, once; nothing of it is sent from the driver."""
+
+    make: Callable[[], object]
+    requests_per_minute: int | None = None
+    tasks: int = 4
+    attempts: int = 3
+    caption_language: str = "auto"
+    primary_language: str = "vi"
+    review: bool = True
+    clean: bool = True
+
+    def paced(self, shortcut: int | None) -> ModelOptions:
+        """The same with a common rate, if the model has none of its own."""
+        return replace(self, requests_per_minute=shortcut) if self.requests_per_minute is None else self
+
+
+class Pacer:
+    """Lets one call pass every ``60 / rate`` seconds; the tasks of a job share the rate evenly."""
+
+    def __init__(self, per_minute: int | None, tasks: int, clock=time.monotonic, sleep=time.sleep):
+        self.step = 60.0 / max(per_minute, 1) * max(tasks, 1) if per_minute else 0.0
+        self.next, self.clock, self.sleep = 0.0, clock, sleep
+
+    def wait(self) -> None:
+        now = self.clock()
+        if self.next > now:
+            self.sleep(self.next - now)
+        self.next = max(now, self.next) + self.step
+
+
+def with_retries(call: Callable[[], str], attempts: int, fallback: str, sleep=time.sleep) -> str:
+    """The call's result, or the fallback after ``attempts`` failures, with growing pauses."""
+    for k in range(attempts):
+        try:
+            return call()
+        except Exception:  # a model may fail in any way; a document must not be lost for it
+            sleep(2**k)
+    return fallback
+
+
+def join_content(content) -> str:
+    """The text of a model's message: a string, or a list of strings and text parts."""
+    if isinstance(content, str):
+        return content
+    parts = (p if isinstance(p, str) else p.get("text", "") if p.get("type") == "text" else None for p in content)
+    return " ".join(p for p in parts if p is not None)
+
+
+def context_of(ref: dict, options: ModelOptions) -> str:
+    """What a captioner is told about an image."""
+    lines = [f"Container: {ref.get('container_kind') or '?'} #{ref.get('container_index')}"]
+    lines += [f"{name}: {ref[key]}" for name, key in (("Label", "label"), ("Alt text", "alt_text"), ("Surrounding text", "context_text")) if ref.get(key)]
+    language = options.caption_language if options.caption_language != "auto" else f"the document's, else {options.primary_language}"
+    return "\n".join([*lines, f"Language of generated words: {language}"])
+
+
+_WORKER: dict[int, object] = {}
+
+
+def _model(options: ModelOptions):
+    key = hash((options.make.__module__, options.make.__qualname__))
+    if key not in _WORKER:
+        _WORKER[key] = options.make()
+    return _WORKER[key]
+
+
+def captioner(options: ModelOptions) -> Callable[[DataFrame], DataFrame]:
+    """A captioner for ``ConvertOptions``: each image once, ``tasks`` at a time.
+
+    Images without bytes and SVG drawings never reach the model; an image whose calls all fail shows its alt text, else
+    the placeholder.
+    """
+    from ..sources.model import is_svg
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pacer = Pacer(options.requests_per_minute, options.tasks)
+        for batch in batches:
+            said = []
+            for ref in batch.to_pylist():
+                alt, blob = ref.get("alt_text"), ref["content"]
+                if blob is None:
+                    said.append(alt or NOT_FOUND)
+                elif is_svg(blob):
+                    said.append(alt or NO_SVG)
+                else:
+                    pacer.wait()
+                    said.append(with_retries(lambda r=ref, b=blob: join_content(_model(options).caption(context_of(r, options), b)).strip(), options.attempts, alt or NO_CAPTION))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string())], names=["doc_id", "image_id", "caption"])
+
+    wanted = ["doc_id", "image_id", "container_kind", "container_index", "label", "alt_text", "context_text", "content"]
+    return lambda refs: refs.select(*wanted).repartition(options.tasks).mapInArrow(run, "doc_id long, image_id string, caption string")
+
+
+def renderer(options: ModelOptions) -> Callable[[DataFrame], DataFrame]:
+    """A renderer for ``ConvertOptions``: rewrites each chunk, knowing the end of the one before; a chunk that fails stays as it was."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pacer = Pacer(options.requests_per_minute, options.tasks)
+        for batch in batches:
+            at = batch.schema.get_field_index("markdown")
+            out = []
+            for row in batch.select(["markdown", "previous_tail"]).to_pylist():
+                pacer.wait()
+                out.append(with_retries(lambda r=row: _model(options).render(r["markdown"], r["previous_tail"] or ""), options.attempts, row["markdown"]))
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.string()))
+
+    return lambda chunks: chunks.repartition(options.tasks).mapInArrow(run, chunks.schema)

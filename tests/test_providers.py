@@ -1,0 +1,63 @@
+from pyspark.sql import functions as F
+
+from folioflow.operators import polish, reports
+from folioflow.plans.providers import ModelOptions, Pacer, captioner, context_of, join_content, renderer, with_retries
+from folioflow.sources import sinks
+from folioflow.sources.files import blocks_of, extract
+
+
+class Echo:
+    def caption(self, context, content):
+        if content == b"bad":
+            raise ValueError("no")
+        return [{"type": "text", "text": f" {len(content)} "}, "x", {"type": "other"}]
+
+    def render(self, markdown, tail):
+        return f"{markdown}|{tail}"
+
+
+def test_pacer_and_retries():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    p = Pacer(60, 2, clock=lambda: now[0], sleep=sleep)
+    for _ in range(3):
+        p.wait()
+    assert slept == [2.0, 2.0]
+    assert with_retries(lambda: 1 / 0, 3, "f", sleep=slept.append) == "f" and slept[2:] == [1, 2, 4]
+    assert ModelOptions(Echo).paced(9).requests_per_minute == 9 and ModelOptions(Echo, requests_per_minute=3).paced(9).requests_per_minute == 3
+    assert join_content("a") == "a" and "Label: L" in context_of({"container_kind": "k", "container_index": 1, "label": "L"}, ModelOptions(Echo))
+
+
+def test_captioner(spark):
+    rows = [(1, "a", b"123", None), (1, "b", None, "alt"), (1, "c", b"<svg/>", None), (2, "d", b"bad", "fall"), (2, "e", None, None)]
+    refs = spark.createDataFrame([(d, i, "k", 1, None, alt, None, bytearray(c) if c is not None else None) for d, i, c, alt in rows], "doc_id long, image_id string, container_kind string, container_index int, label string, alt_text string, context_text string, content binary")
+    got = {r["image_id"]: r["caption"] for r in captioner(ModelOptions(Echo, attempts=1, tasks=2))(refs).collect()}
+    assert got == {"a": "3  x", "b": "alt", "c": "[SVG diagram: caption unavailable]", "d": "fall", "e": "[Image: not found]"}
+
+
+def test_renderer(spark):
+    chunks = spark.createDataFrame([(1, 0, "m", None), (1, 1, "n", "m")], "doc_id long, chunk_index int, markdown string, previous_tail string")
+    assert [r["markdown"] for r in renderer(ModelOptions(Echo))(chunks).orderBy("chunk_index").collect()] == ["m|", "n|m"]
+
+
+def test_polish(spark):
+    df = spark.createDataFrame([("x\nPage 1 of 4\ny\nPage 2 of 4",)], "t string")
+    assert df.select(polish.without_lines(F.col("t"), F.array(F.lit("Page 7 of 4")))).first()[0] == "x\ny"
+    assert df.select(polish.with_title(F.lit("# T\nx"), F.lit("Q"))).first()[0] == "# T\nx"
+    assert df.select(polish.without_fluff(F.lit("is a powerful data tool, a rich API"))).first()[0] == "is a data tool, an API"
+
+
+def test_sinks_and_audit(spark, tmp_path):
+    docs = extract(spark.createDataFrame([(1, "html", "<h1>a</h1><p>bcd</p>"), (2, "markdown", "")], "doc_id long, format string, content string"))
+    sinks.write_dump(docs, f"{tmp_path}/d")
+    assert spark.read.parquet(f"{tmp_path}/d/blocks").count() == 2 and spark.read.parquet(f"{tmp_path}/d/warnings").count() == 1
+    sinks.write_markdown(spark.createDataFrame([(1, "a\nb")], "doc_id long, markdown string"), f"{tmp_path}/m")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/m/doc_id=1").collect()] == ["a", "b"]
+    raw = spark.createDataFrame([(1, 1, 1, 0, 4), (2, 0, 0, 0, 0)], "doc_id long, n_headings int, n_images int, n_tables int, n_chars int")
+    report = reports.audit(blocks_of(docs), raw)
+    assert {r["doc_id"]: (r["coverage_pct"], r["notes"]) for r in report.collect()} == {1: (100.0, "img diff"), 2: (0.0, "OK")}
+    assert reports.audit_markdown(report).first()[0].endswith("| 1 | 100.0 | img diff |\n| 2 | 0.0 | OK |")
