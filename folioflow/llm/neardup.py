@@ -4,9 +4,10 @@ A sketch of a text takes the ``order`` k-mers with the smallest hashes, each lab
 keeps them in text order; texts with one equal sketch are candidates. Links are pairs of different texts whose word
 edit similarity (1 - distance / longer length) is ``similarity`` or more; classes are their connected components.
 
-Candidates are met without emitting all pairs of a group: each bucket's members are first aligned with its smallest
-member, and links found so put most of a bucket into one component. Only members of different components are compared
-with each other after that, directly in small buckets and, in large ones, after the bucket is divided by further sketches.
+Candidates are met without emitting all pairs of a group. Each bucket's members are aligned with its smallest member, and
+the links found so put most buckets into one component. A bucket that still holds several components is open: a small one
+compares its members across components; a large one (texts that share a passage) is divided by the next sketch, and its
+parts are treated in the same way, until no large bucket is open. Every level is linear in the members.
 """
 
 from __future__ import annotations
@@ -27,14 +28,13 @@ from .common import Scratch, plain_words, slices
 
 @dataclass(frozen=True)
 class NearDupParams:
-    """``sketches`` sketches of ``order`` k-mers of ``k`` words; buckets over ``bucket`` members are divided by ``refine`` further sketches."""
+    """``sketches`` sketches of ``order`` k-mers of ``k`` words; open buckets over ``bucket`` members are divided by further sketches."""
 
     k: int = 5
     order: int = 2
-    sketches: int = 36
+    sketches: int = 56
     similarity: float = 0.8
-    bucket: int = 24
-    refine: int = 12
+    bucket: int = 16
     seed: int = 97
 
 
@@ -136,10 +136,10 @@ class _Run:
         self.spark, self.p, self.tables = spark, p, Scratch(spark, "neardup")
 
     def verified(self, pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) whose texts align. A frequent b meets its text first, while the rows are narrow."""
-        first = texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
-        second = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
-        both = pairs.join(first, "b").join(second, "a").select("a", "b", "text_a", "text_b")
+        """The pairs (a, b) whose texts align. A hub a meets its text first, while the rows are narrow."""
+        first = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
+        second = texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
+        both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
         return self.tables.save(both.mapInArrow(_verify_batches(self.p), "a long, b long"), name)
 
     def components(self, edges: DataFrame) -> DataFrame:
@@ -152,8 +152,9 @@ class _Run:
         both = self.tables.save(edges.select(F.col("a").alias("rid"), F.col("b").alias("other")).unionByName(back).distinct(), "edges")
         labels = self.tables.save(both.groupBy("rid").agg(F.min("other").alias("low")).select("rid", F.least("rid", "low").alias("label")), "labels")
         while True:
-            near = both.join(labels.select(F.col("rid").alias("other"), F.col("label").alias("theirs")), "other").groupBy("rid").agg(F.min("theirs").alias("theirs"))
-            low = labels.join(near, "rid").select("rid", F.col("label").alias("was"), F.least("label", "theirs").alias("label"))
+            near = both.join(labels.select(F.col("rid").alias("other"), "label"), "other").select("rid", "label", F.lit(None).cast("long").alias("was"))
+            own = labels.select("rid", "label", F.col("label").alias("was"))
+            low = near.unionByName(own).groupBy("rid").agg(F.min("label").alias("label"), F.max("was").alias("was"))
             up = labels.select(F.col("rid").alias("label"), F.col("label").alias("above"))
             step = low.join(up, "label", "left").select("rid", "was", F.least("label", F.coalesce("above", "label")).alias("label"))
             after = self.tables.save(step, "labels")
@@ -164,11 +165,31 @@ class _Run:
                 self.tables.drop(both)
                 return labels.select("rid", "label")
 
+    def joined(self, labels: DataFrame | None, found: DataFrame) -> DataFrame:
+        """Labels after further links: only those between different components are followed, each component as one point."""
+        if labels is None:
+            return self.components(found)
+        known = lambda side: labels.select(F.col("rid").alias(side), F.col("label").alias(f"l{side}"))
+        named = found.join(known("a"), "a", "left").join(known("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+        bridges = self.tables.save(named.filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "bridges")
+        if bridges.isEmpty():
+            return labels
+        moved = self.components(bridges).select(F.col("rid").alias("label"), F.col("label").alias("to"))
+        fresh = found.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(labels, "rid", "left_anti").select("rid", F.col("rid").alias("label"))
+        out = labels.unionByName(fresh).join(moved, "label", "left").select("rid", F.coalesce("to", "label").alias("label"))
+        return self.tables.save(out, "joined").select("rid", "label")
+
     def members(self, keyed: DataFrame, name: str) -> DataFrame:
         """Rows of buckets with two texts or more, with the bucket's size and its smallest text."""
         sizes = keyed.groupBy("key").agg(F.count("*").alias("held"), F.min("rid").alias("hub"), F.min_by("n_words", "rid").alias("hub_words")).filter("held > 1")
         return self.tables.save(keyed.join(sizes, "key"), name)
 
+    def star(self, members: DataFrame, tested: DataFrame | None) -> DataFrame:
+        """Pairs (a, b) of each member b and its bucket's smallest text a, as far as lengths fit and they are new."""
+        fits = _ratio_ok("n_words", "hub_words", self.p.similarity)
+        pairs = members.filter("rid <> hub").where(fits).select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
+        return self.tables.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "star")
+
     def open_buckets(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of buckets that hold more than one component, with their component."""
         named = members.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
@@ -195,24 +216,31 @@ class _Run:
         found = rows.join(wanted.withColumnRenamed("doc_id", "its_id"), F.col("doc_id").eqNullSafe(F.col("its_id")) & (rows["digest"] == wanted["digest"]))
         texts = tables.save(found.select("rid", "text").dropDuplicates(["rid"]), "texts")
 
-        fits = _ratio_ok("n_words", "hub_words", p.similarity)
-        star = tables.save(members.filter("rid <> hub").where(fits).select(F.col("rid").alias("b"), F.col("hub").alias("a")).distinct().select("a", "b"), "star")
-        links = self.verified(star.select(F.col("b").alias("a"), F.col("a").alias("b")), texts, "star-links")
-        labels = self.components(links)
-
-        rest = tables.save(self.open_buckets(members.drop("hub", "hub_words"), labels), "open")
-        small = self.across(rest.filter(F.col("held") <= p.bucket))
-        # A large bucket is divided: its members meet again where one of the next sketches agrees too.
-        large = rest.filter(F.col("held") > p.bucket).join(one.select("rid", "keys"), "rid")
-        inner = F.transform(F.sequence(F.lit(1), F.lit(p.refine)), lambda t: F.xxhash64(t, "key", F.get("keys", F.pmod(F.col("idx") + t, F.lit(p.sketches)))))
-        divided = self.members(large.select("rid", "n_words", F.explode(inner).alias("key")), "divided")
-        again = self.across(self.open_buckets(divided.select("key", "rid", "n_words"), labels))
-        pairs = tables.save(small.unionByName(again).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            more = self.verified(pairs, texts, "more-links")
-            if not more.isEmpty():
-                labels = self.components(links.unionByName(more))
-        tables.drop(texts, members, rest, divided)
+        # Level by level: what is left of a large bucket is divided by the sketch that follows, and each part has a star of its own.
+        tested, labels, small, level, last = None, None, None, 1, members
+        while True:
+            star = self.star(last, tested)
+            found = self.verified(star, texts, f"links-{level}")
+            tested = star if tested is None else tested.unionByName(star)
+            labels = self.joined(labels, found)
+            rest = tables.save(self.open_buckets(last.drop("hub", "hub_words"), labels), f"open-{level}")
+            pairs = self.across(rest.filter(F.col("held") <= p.bucket))
+            small = pairs if small is None else small.unionByName(pairs)
+            large = rest.filter(F.col("held") > p.bucket)
+            if level == p.sketches or large.isEmpty():
+                break
+            more = F.get("keys", F.pmod(F.col("idx") + level, F.lit(p.sketches)))
+            divided = large.select("rid", "n_words", "idx", "key").join(one.select("rid", "keys"), "rid").select("rid", "n_words", "idx", F.xxhash64("key", more).alias("key"))
+            if level == 1:
+                # Texts whose lengths rule a link out are parted: each stands in its band of lengths and the next, so any two that fit share one.
+                band = F.floor(F.log("n_words") / F.log(F.lit(1 / p.similarity))).cast("int")
+                divided = divided.select("rid", "n_words", "idx", "key", F.explode(F.array(band, band + 1)).alias("band")).select("rid", "n_words", "idx", F.xxhash64("key", "band").alias("key"))
+            level += 1
+            last = self.members(divided, f"members-{level}")
+        small = tables.save(small.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not small.isEmpty():
+            labels = self.joined(labels, self.verified(small, texts, "more-links"))
+        tables.drop(texts, members)
         return one.select("digest", "doc_id", "rid").join(labels, "rid", "left").select("digest", "doc_id", F.coalesce("label", "rid").alias("label"))
 
 
