@@ -45,13 +45,22 @@ def write_shards(docs: DataFrame, path: str, *, shards: int = 16, seed: int = 20
     out.write.option("compression", "zstd").parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The written rows with ``slot``, their gapless place in the shard: buckets stand one after the other."""
-    rows = spark.read.parquet(path)
-    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("held"))  # one row per bucket
+def bucket_bases(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, bucket, base): where a bucket begins in its shard. One row per bucket, written beside the rows, so that its size is known."""
+    counts = spark.read.parquet(path).groupBy("shard", "bucket").agg(F.count("*").alias("held"))
     before = F.sum("held").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
-    return rows.join(bases, ["shard", "bucket"]).withColumn("slot", F.col("base") + F.col("at")).drop("base")
+    bases.write.mode("overwrite").parquet(f"{path}-buckets")
+    return spark.read.schema(bases.schema).parquet(f"{path}-buckets")
+
+
+def with_slot(rows: DataFrame, bases: DataFrame) -> DataFrame:
+    return rows.join(bases, ["shard", "bucket"]).withColumn("slot", F.col("base") + F.col("at")).drop("base", "bucket", "at")
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The written rows with ``slot``, their gapless place in the shard: buckets stand one after the other."""
+    return with_slot(spark.read.parquet(path), bucket_bases(spark, path))
 
 
 def shard_to_files(spark: SparkSession, docs: DataFrame, **options) -> str:
@@ -63,6 +72,8 @@ def shard_to_files(spark: SparkSession, docs: DataFrame, **options) -> str:
 
 def shard_report(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every written row."""
-    rows = read_shards(spark, path)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    return rows.select("doc_id", size.alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    # The texts end here: what is joined to the buckets is narrow.
+    digests = spark.read.parquet(path).select("doc_id", size.alias("size"), crc.alias("text_crc32"), "shard", "bucket", "at", "grown_shard")
+    return with_slot(digests, bucket_bases(spark, path)).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
