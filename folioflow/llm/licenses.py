@@ -83,8 +83,8 @@ def scan_licenses(files: DataFrame, params: LicenseParams = LicenseParams()) ->
     statements = F.filter(F.split(text, r"\n|(?<=[.!?;])\s+"), lambda s: s.rlike(p.trigger))
     word_lists = F.flatten(F.transform(statements, lambda s: _windows(_terms(s), p.window)))
     rows = files.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.length(F.regexp_replace(text, r"\S+\s*", "x")).alias("n_words"),
-        F.aggregate(statements, F.lit(0), lambda n, s: n + F.length(F.regexp_replace(s, r"\S+\s*", "x"))).alias("said"), word_lists.alias("windows"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.regexp_count(text, F.lit(r"\S+")).alias("n_words"),
+        F.aggregate(statements, F.lit(0), lambda n, s: n + F.regexp_count(s, F.lit(r"\S+"))).alias("said"), word_lists.alias("windows"),
     )
     # Few rows hold windows; written once with a number of its own, a row is known by that from here on.
     rows = tables.save(rows.withColumn("uid", F.monotonically_increasing_id()), "rows")
