@@ -26,7 +26,7 @@ class FtrlParams:
     beta: float = 1.0
     l1: float = 0.02
     l2: float = 0.2
-    epochs: int = 5
+    epochs: int = 10
     max_rows: int = 12_000
     threshold: float = 0.7
     seed: int = 5
