@@ -6,8 +6,9 @@ edit similarity (1 - distance / longer length) is ``similarity`` or more; classe
 
 Candidates are met without emitting all pairs of a group. Each bucket's members are aligned with its smallest member, and
 the links found so put most buckets into one component. A bucket that still holds several components is open: a small one
-compares its members across components; a large one (texts that share a passage) is divided by the next sketch, and its
-parts are treated in the same way, until no large bucket is open. Every level is linear in the members.
+compares its members across components; the members of large ones (texts that share a passage) are compared whole: all
+that stand in different components and have fitting lengths meet in salted blocks, where the words they share rule most
+pairs out before any alignment. Nothing is dropped there; the cost grows with the square of such texts of like length.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import Scratch, plain_words, slices
 
 @dataclass(frozen=True)
 class NearDupParams:
-    """``sketches`` sketches of ``order`` k-mers of ``k`` words; open buckets over ``bucket`` members are divided by further sketches."""
+    """``sketches`` sketches of ``order`` k-mers of ``k`` words; open buckets over ``bucket`` members are compared in blocks."""
 
     k: int = 5
     order: int = 2
@@ -41,6 +42,8 @@ class NearDupParams:
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Elements of the matrix of sketch hashes held at once.
 _CELLS = 1 << 21
+#: A block of texts compared with another one: so many words at most, and so many texts.
+_BLOCK_WORDS, _BLOCK_TEXTS = 1 << 19, 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,7 +66,8 @@ def kmer_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if same.any():
         at = np.arange(len(s))
         first = np.maximum.accumulate(np.where(same, 0, at))
-        h[order] = _mix(s + (at - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        # A first occurrence keeps its hash, so texts with and without repeats agree in it.
+        h[order] = np.where(at > first, _mix(s + (at - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), s)
     return h
 
 
@@ -123,6 +127,91 @@ def _verify_batches(p: NearDupParams):
     return run
 
 
+def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, words): the hashes of each text's words, in order."""
+    for batch in slices(batches):
+        lists = [plain_words(t) for t in batch.column(1).to_pylist()]
+        flat = pd.util.hash_array(np.array(list(itertools.chain.from_iterable(lists)), dtype=object), categorize=True).view(np.int64)
+        ends = np.cumsum([len(x) for x in lists])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[e - len(x) : e] for x, e in zip(lists, ends)], pa.list_(pa.int64()))], names=["rid", "words"])
+
+
+def shared_words(bags: list[np.ndarray], first: slice, second: slice) -> np.ndarray:
+    """How many words each text of ``first`` shares with each of ``second``; bags hold every occurrence once."""
+    sizes = [len(b) for b in bags]
+    names, ids, held = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+    texts = np.repeat(np.arange(len(bags)), sizes)
+    rank = np.cumsum(held > 1) - 1
+    often = held[ids] > 1
+    ids, texts = rank[ids[often]], texts[often]
+    order = np.argsort(ids, kind="stable")
+    ids, texts = ids[order], texts[order]
+    out = np.zeros((first.stop - first.start, second.stop - second.start), np.float32)
+    width = 4096
+    for at in range(0, int(ids[-1]) + 1 if len(ids) else 0, width):
+        lo, hi = np.searchsorted(ids, [at, at + width])
+        cells = np.zeros((len(bags), width), np.float32)
+        cells[texts[lo:hi], ids[lo:hi] - at] = 1
+        out += cells[first] @ cells[second].T
+    return out
+
+
+def block_links(rids: list[int], labels: list[int], words: list[np.ndarray], split: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that join all components which links between texts before ``split`` and texts from it on join; within one block if it is 0.
+
+    A pair within the edit limit shares all words of the longer text but as many as the limit. Pairs of one component
+    are not aligned again.
+    """
+    first, second = (slice(0, split), slice(split, len(rids))) if split else (slice(0, len(rids)), slice(0, len(rids)))
+    if min(labels) == max(labels):
+        return []
+    sizes = np.array([len(w) for w in words])
+    bags = [kmer_hashes(w.view(np.uint64), 1) for w in words]
+    longer = np.maximum(sizes[first, None], sizes[None, second])
+    limit = np.floor((1 - similarity) * longer + 1e-9)
+    same = np.array(labels)
+    ok = (shared_words(bags, first, second) >= longer - limit) & (same[first, None] != same[None, second])
+    if not split:
+        ok = np.triu(ok, 1)
+    parent = {x: x for x in labels}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out, lists = [], {}
+    for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
+        j += second.start
+        a, b = root(labels[i]), root(labels[j])
+        if a == b:
+            continue
+        x, y = (lists[t] if t in lists else lists.setdefault(t, words[t].tolist()) for t in (i, j))
+        if banded_distance(x, y, edit_limit(max(len(x), len(y)), similarity)) is not None:
+            parent[max(a, b)] = min(a, b)
+            out.append((rids[i], rids[j]))
+    return out
+
+
+def _block_batches(p: NearDupParams):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            # One row is one pair of blocks: its texts, those of the first block before those of the second.
+            texts = batch.column(0)[0].values
+            side = texts.field("side").to_numpy(zero_copy_only=False)
+            order = np.argsort(side, kind="stable")
+            rids, labels, words = texts.field("rid").to_pylist(), texts.field("label").to_pylist(), texts.field("words")
+            mixed = side.min() != side.max()
+            if batch.column(1)[0].as_py() and not mixed:
+                continue
+            split = int((side == 0).sum()) if mixed else 0
+            found = block_links([rids[t] for t in order], [labels[t] for t in order], [words[int(t)].values.to_numpy(zero_copy_only=False) for t in order], split, p.similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _ratio_ok(a: str, b: str, similarity: float):
     """What the lengths alone allow: the longer text differs by its surplus at least."""
     longer, shorter = F.greatest(a, b), F.least(a, b)
@@ -203,6 +292,20 @@ class _Run:
         fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _ratio_ok("na", "nb", self.p.similarity)
         return x.join(y, "key").where(fits).select("a", "b").distinct()
 
+    def compared(self, groups: DataFrame, worded: DataFrame, name: str) -> DataFrame:
+        """Links (a, b) between the members of every group of ``groups`` (key, rid, n_words, label), as far as they join components.
+
+        A group is dealt into blocks by a hash of rid, and each two blocks meet in a row of their own.
+        """
+        sizes = groups.groupBy("key").agg(F.count("*").alias("held"), F.max("n_words").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        block = F.greatest(F.lit(8), F.least(F.lit(_BLOCK_TEXTS), F.floor(F.lit(_BLOCK_WORDS) / F.col("most")).cast("int")))
+        n = F.ceil(F.col("held") / block).cast("int")
+        mine = groups.join(sizes.select("key", n.alias("n")), "key").withColumn("at", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int"))
+        dealt = mine.select("key", "rid", "label", "at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+        dealt = dealt.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "rid", "label", (F.col("at") > F.col("other")).cast("int").alias("side"))
+        rows = dealt.join(worded, "rid").groupBy("key", "i", "j").agg(F.collect_list(F.struct("rid", "label", "side", "words")).alias("texts"))
+        return self.tables.save(rows.select("texts", (F.col("i") < F.col("j")).alias("two")).mapInArrow(_block_batches(self.p), "a long, b long"), name)
+
     def classes(self, docs: DataFrame) -> DataFrame:
         """(digest, doc_id, label) of every different text that has a word; equal labels are one class."""
         p, tables = self.p, self.tables
@@ -216,30 +319,19 @@ class _Run:
         found = rows.join(wanted.withColumnRenamed("doc_id", "its_id"), F.col("doc_id").eqNullSafe(F.col("its_id")) & (rows["digest"] == wanted["digest"]))
         texts = tables.save(found.select("rid", "text").dropDuplicates(["rid"]), "texts")
 
-        # Level by level: what is left of a large bucket is divided by the sketch that follows, and each part has a star of its own.
-        tested, labels, small, level, last = None, None, None, 1, members
-        while True:
-            star = self.star(last, tested)
-            found = self.verified(star, texts, f"links-{level}")
-            tested = star if tested is None else tested.unionByName(star)
-            labels = self.joined(labels, found)
-            rest = tables.save(self.open_buckets(last.drop("hub", "hub_words"), labels), f"open-{level}")
-            pairs = self.across(rest.filter(F.col("held") <= p.bucket))
-            small = pairs if small is None else small.unionByName(pairs)
-            large = rest.filter(F.col("held") > p.bucket)
-            if level == p.sketches or large.isEmpty():
-                break
-            more = F.get("keys", F.pmod(F.col("idx") + level, F.lit(p.sketches)))
-            divided = large.select("rid", "n_words", "idx", "key").join(one.select("rid", "keys"), "rid").select("rid", "n_words", "idx", F.xxhash64("key", more).alias("key"))
-            if level == 1:
-                # Texts whose lengths rule a link out are parted: each stands in its band of lengths and the next, so any two that fit share one.
-                band = F.floor(F.log("n_words") / F.log(F.lit(1 / p.similarity))).cast("int")
-                divided = divided.select("rid", "n_words", "idx", "key", F.explode(F.array(band, band + 1)).alias("band")).select("rid", "n_words", "idx", F.xxhash64("key", "band").alias("key"))
-            level += 1
-            last = self.members(divided, f"members-{level}")
-        small = tables.save(small.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        star = self.star(members, None)
+        labels = self.joined(None, self.verified(star, texts, "links"))
+        rest = tables.save(self.open_buckets(members.drop("hub", "hub_words"), labels), "open")
+        small = tables.save(self.across(rest.filter(F.col("held") <= p.bucket)).join(star, ["a", "b"], "left_anti"), "pairs")
         if not small.isEmpty():
             labels = self.joined(labels, self.verified(small, texts, "more-links"))
+        large = rest.filter(F.col("held") > p.bucket).select("rid", "n_words").distinct()
+        if not large.isEmpty():
+            worded = tables.save(texts.join(large.select("rid"), "rid").mapInArrow(_word_batches, "rid long, words array<long>"), "words")
+            # Each text stands in its band of lengths and the next, so any two whose lengths fit share one.
+            band = F.floor(F.log("n_words") / F.log(F.lit(1 / p.similarity)) + 1e-9).cast("long")
+            banded = large.join(labels, "rid", "left").select(F.explode(F.array(band, band + 1)).alias("key"), "rid", "n_words", F.coalesce("label", "rid").alias("label"))
+            labels = self.joined(labels, self.compared(banded, worded, "block-links"))
         tables.drop(texts, members)
         return one.select("digest", "doc_id", "rid").join(labels, "rid", "left").select("digest", "doc_id", F.coalesce("label", "rid").alias("label"))
 

@@ -100,6 +100,44 @@ def test_large_open_buckets_are_divided(spark):
     assert sum(r["class_id"] != want[r["doc_id"]] for r in got) <= 1
 
 
+def test_texts_with_a_shared_passage_are_all_linked(spark):
+    """Sixty texts of one long passage and a near copy of each, at similarities 0.9 and 0.85: each pair is found."""
+    rng = random.Random(11)
+    pool = [f"u{i}" for i in range(20000)]
+    passage = [rng.choice(pool) for _ in range(150)]
+    docs = [passage + [rng.choice(pool) for _ in range(50)] for _ in range(60)]
+    for i, d in enumerate(docs[:60]):
+        at = set(rng.sample(range(200), (20, 30)[i % 2]))
+        docs.append([f"e{i}x{k}" if k in at else w for k, w in enumerate(d)])
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    want = brute_classes(rows)
+    assert len(set(want.values())) < 61
+    got = neardup.near_duplicate_classes(frame(spark, rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
+def test_block_links_lose_nothing():
+    """Blocks of one group, met two by two, join the same texts as all pairs do."""
+    rng = random.Random(2)
+    pool = [f"b{i}" for i in range(60)]
+    docs = [[rng.choice(pool) for _ in range(rng.randint(1, 24))] for _ in range(60)]
+    docs += [[rng.choice(pool) if rng.random() < 0.1 else w for w in d] for d in docs]
+    names = {w: i for i, w in enumerate(pool)}
+    words = [np.array([names[w] for w in d], np.int64) for d in docs]
+    for split in (0, 60):
+        links = neardup.block_links(list(range(120)), list(range(120)), words, split, 0.8)
+        parent = list(range(120))
+        for a, b in [*links, *(p for p in itertools.combinations(range(120), 2) if not split or p[0] < split <= p[1])]:
+            near = align.banded_distance(docs[a], docs[b], align.edit_limit(max(len(docs[a]), len(docs[b])), 0.8)) is not None
+            if (a, b) in links:
+                assert near
+                old, new = max(parent[a], parent[b]), min(parent[a], parent[b])
+                parent = [new if x == old else x for x in parent]
+            else:
+                assert not near or parent[a] == parent[b]
+        assert links
+
+
 def test_near_duplicates_odd_rows(spark, odd, empty):
     got = neardup.near_duplicate_classes(odd).collect()
     assert len(got) == len(ODD)
