@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the uniform number drawn from a row's hash.
 UNIFORM_BITS = 52
+#: The largest mean of one draw; a larger one is the sum of several.
+MOST_AT_ONCE = 500
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -20,8 +22,8 @@ def uniform(seed: int, *keys: Column) -> Column:
 
 def poisson_steps(mean: float) -> list[float]:
     """The cumulative probabilities of 0, 1, 2 ... up to 1 as far as a double goes."""
-    if not 0 <= mean <= 500:
-        raise ValueError("a mean repetition rate is from 0 to 500")
+    if not 0 <= mean <= MOST_AT_ONCE:
+        raise ValueError(f"the mean of one draw is from 0 to {MOST_AT_ONCE}")
     p = math.exp(-mean)
     steps, total, k = [], p, 0
     while True:
@@ -38,6 +40,16 @@ def poisson_count(u: Column, mean: float) -> Column:
     return F.aggregate(F.array(*[F.lit(x) for x in poisson_steps(mean)]), F.lit(0), lambda n, x: n + (u >= x).cast("int"))
 
 
+def poisson_draw(seed: int, key: Column, mean: float) -> Column:
+    """A Poisson count of any mean for a key: up to ``MOST_AT_ONCE`` from one uniform number, else the sum of equal draws, each with its own number."""
+    if not 0 <= mean < math.inf:
+        raise ValueError("a mean repetition rate is a number from 0 on")
+    parts = math.ceil(mean / MOST_AT_ONCE)
+    if parts <= 1:
+        return poisson_count(uniform(seed, key), mean)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(parts)), F.lit(0), lambda n, part: n + poisson_count(uniform(seed, key, part), mean / parts))
+
+
 def mean_rates(docs: DataFrame, weights: dict[str, float], *, rows: int | None = None) -> dict[str, float]:
     """Copies per document and source: the source's share of ``rows`` (as many as there are, by default) over its rows.
 
@@ -56,23 +68,23 @@ def mean_rates(docs: DataFrame, weights: dict[str, float], *, rows: int | None =
 def mix(docs: DataFrame, weights: dict[str, float], *, seed: int = 7, rows: int | None = None, rates: dict[str, float] | None = None) -> DataFrame:
     """Repeat each document by a Poisson count and shuffle all copies.
 
-    The count inverts the Poisson distribution of the source's mean rate at a number hashed from seed and doc_id; the
-    same document always gets the same count, and rows that repeat a doc_id get the same one (so do all null ids).
+    The count inverts the Poisson distribution of the source's mean rate at a number hashed from seed and doc_id (over
+    a mean of ``MOST_AT_ONCE``, it is the sum of several such draws, so a rare source may have any rate); the same
+    document always gets the same count, and rows that repeat a doc_id get the same one (so do all null ids).
     Columns of ``docs`` stay and two come on: ``copy`` (0 up) and ``n_copies``; a column of either name is replaced.
     A document with count 0 has no row: that is the method's way to weigh a source down. Rows of a source that
     ``weights`` lacks count under ``*``. An empty table gives no rows. Copies are dealt out by a seeded hash of doc_id, copy
     and position and sorted by another within each task, which neither a large source nor a repeated document can skew.
     """
     rates = mean_rates(docs, weights, rows=rows) if rates is None else rates
-    u = uniform(seed, F.col("doc_id"))
     count = F.lit(0)
     if "*" in rates:
-        count = poisson_count(u, rates["*"])
+        count = poisson_draw(seed, F.col("doc_id"), rates["*"])
     chain = None
     for source, mean in rates.items():
         if source != "*":
-            hit = F.col("source") == F.lit(source)
-            chain = chain.when(hit, poisson_count(u, mean)) if chain is not None else F.when(hit, poisson_count(u, mean))
+            hit, drawn = F.col("source") == F.lit(source), poisson_draw(seed, F.col("doc_id"), mean)
+            chain = chain.when(hit, drawn) if chain is not None else F.when(hit, drawn)
     if chain is not None:
         unnamed = ~F.coalesce(F.col("source").isin([s for s in weights if s != "*"]), F.lit(False))
         chain = chain.when(unnamed, count).otherwise(F.lit(0))

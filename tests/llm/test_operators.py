@@ -188,6 +188,15 @@ def test_poisson_counts_follow_their_mean(spark):
     assert mixing.poisson_steps(0.0)[0] == 1.0 and abs(mixing.poisson_steps(40.0)[-1] - 1) < 1e-9
 
 
+def test_rare_sources_are_replicated_at_any_rate(spark):
+    docs = spark.range(40001).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, "a").alias("source"))
+    rows = mixing.mix(docs, {"a": 1.0, "*": 1.0}, seed=3).filter("source is null").collect()
+    assert {r["n_copies"] for r in rows} == {len(rows)} and abs(len(rows) - 20000) < 5 * np.sqrt(20000)
+    assert sorted(r["copy"] for r in rows) == list(range(len(rows)))
+    drawn = np.array([r["n"] for r in spark.range(4000).select(mixing.poisson_draw(3, F.col("id"), 1200.0).alias("n")).collect()])
+    assert abs(drawn.mean() - 1200) < 5 * np.sqrt(1200 / 4000) and 0.88 < drawn.var() / 1200 < 1.12
+
+
 def test_mixing_odd_rows(spark, odd, empty):
     got = mixing.mix(odd, {"a": 1.0, "*": 1.0}, seed=3)
     assert got.columns == [c for c in odd.columns if c not in ("copy", "n_copies")] + ["copy", "n_copies"]
