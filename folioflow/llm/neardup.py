@@ -9,6 +9,7 @@ the links found so put most buckets into one component. A bucket that still hold
 compares its members across components; the members of large ones (texts that share a passage) are compared whole: all
 that stand in different components and have fitting lengths meet in salted blocks, where the words they share rule most
 pairs out before any alignment. Nothing is dropped there; the cost grows with the square of such texts of like length.
+Texts of up to ``short`` words also meet by their rarest words, an exact way that leaves no pair of theirs out.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ class NearDupParams:
     similarity: float = 0.8
     bucket: int = 16
     seed: int = 97
+    #: Texts of up to so many words have exact candidate keys beside the sketches.
+    short: int = 30
 
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -136,6 +139,31 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[e - len(x) : e] for x, e in zip(lists, ends)], pa.list_(pa.int64()))], names=["rid", "words"])
 
 
+def prefix_size(n: int, similarity: float) -> int:
+    """Of a text of ``n`` words, how many of its rarest words must hold one that any text within the edit limit has among its own."""
+    return edit_limit(n, similarity) + 1
+
+
+def _prefix_batches(p: NearDupParams):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sizes, words = batch.column(2).to_pylist(), batch.column(3)
+            bags = [sorted(zip(c, w)) for c, w in zip(batch.column(1).to_pylist(), words.to_pylist())]
+            keys = [[w for _, w in bag[: prefix_size(n, p.similarity)]] for n, bag in zip(sizes, bags)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["rid", "n_words", "keys"])
+
+    return run
+
+
+def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, word): every occurrence of a word once, hashed with its number."""
+    for batch in slices(batches):
+        bags = [kmer_hashes(w.values.to_numpy(zero_copy_only=False).view(np.uint64), 1).view(np.int64) for w in batch.column(1)]
+        rids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(b) for b in bags])
+        flat = np.concatenate(bags) if bags else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(flat, pa.int64())], names=["rid", "word"])
+
+
 def shared_words(bags: list[np.ndarray], first: slice, second: slice) -> np.ndarray:
     """How many words each text of ``first`` shares with each of ``second``; bags hold every occurrence once."""
     sizes = [len(b) for b in bags]
@@ -306,6 +334,18 @@ class _Run:
         rows = dealt.join(worded, "rid").groupBy("key", "i", "j").agg(F.collect_list(F.struct("rid", "label", "side", "words")).alias("texts"))
         return self.tables.save(rows.select("texts", (F.col("i") < F.col("j")).alias("two")).mapInArrow(_block_batches(self.p), "a long, b long"), name)
 
+    def short_groups(self, short: DataFrame, worded: DataFrame) -> DataFrame:
+        """(key, rid, n_words): the rarest words of each short text, as many as the edit limit and one.
+
+        Texts within the limit share all words of the longer one but as many as the limit, so in any common order of
+        words their first ones meet (prefix filter); nothing within the limit is lost. Each word's key stands for itself.
+        """
+        words = self.tables.save(worded.mapInArrow(_bag_batches, "rid long, word long"), "short-words")
+        counts = words.groupBy("word").agg(F.count("*").alias("texts"))
+        bags = words.join(counts, "word").groupBy("rid").agg(F.collect_list(F.struct("texts", "word")).alias("bag"))
+        rows = bags.join(short, "rid").select("rid", F.col("bag.texts").alias("counts"), "n_words", F.col("bag.word").alias("words"))
+        return rows.mapInArrow(_prefix_batches(self.p), "rid long, n_words int, keys array<long>").select(F.explode("keys").alias("key"), "rid", "n_words")
+
     def classes(self, docs: DataFrame) -> DataFrame:
         """(digest, doc_id, label) of every different text that has a word; equal labels are one class."""
         p, tables = self.p, self.tables
@@ -314,7 +354,8 @@ class _Run:
         one = tables.save(sketched.filter("n_words > 0").dropDuplicates(["digest"]).withColumn("rid", F.monotonically_increasing_id()), "texts-once")
         keyed = one.select("rid", "n_words", F.posexplode("keys").alias("idx", "key"))
         members = self.members(keyed, "members")
-        wanted = members.select("rid").distinct().join(one.select("rid", "doc_id", "digest"), "rid")
+        brief = one.filter(F.col("n_words") <= int(p.short / p.similarity)).select("rid", "n_words")
+        wanted = members.select("rid").unionByName(brief.select("rid")).distinct().join(one.select("rid", "doc_id", "digest"), "rid")
         # A text with many copies is fetched from the row that stands for it, so equal texts do not meet in one task.
         found = rows.join(wanted.withColumnRenamed("doc_id", "its_id"), F.col("doc_id").eqNullSafe(F.col("its_id")) & (rows["digest"] == wanted["digest"]))
         texts = tables.save(found.select("rid", "text").dropDuplicates(["rid"]), "texts")
@@ -332,6 +373,12 @@ class _Run:
             band = F.floor(F.log("n_words") / F.log(F.lit(1 / p.similarity)) + 1e-9).cast("long")
             banded = large.join(labels, "rid", "left").select(F.explode(F.array(band, band + 1)).alias("key"), "rid", "n_words", F.coalesce("label", "rid").alias("label"))
             labels = self.joined(labels, self.compared(banded, worded, "block-links"))
+        # Short texts seldom share a sketch of unbroken k-mers; a short one meets all whose lengths fit by their rarest words.
+        if not brief.isEmpty():
+            worded = tables.save(texts.join(brief.select("rid"), "rid").mapInArrow(_word_batches, "rid long, words array<long>"), "short-texts")
+            keyed = tables.save(self.short_groups(brief, worded), "short-keys")
+            labelled = keyed.join(labels, "rid", "left").select("key", "rid", "n_words", F.coalesce("label", "rid").alias("label"))
+            labels = self.joined(labels, self.compared(labelled, worded, "short-links"))
         tables.drop(texts, members)
         return one.select("digest", "doc_id", "rid").join(labels, "rid", "left").select("digest", "doc_id", F.coalesce("label", "rid").alias("label"))
 

@@ -116,6 +116,22 @@ def test_texts_with_a_shared_passage_are_all_linked(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == want
 
 
+def test_short_texts_are_all_linked(spark):
+    """Near copies of 5 to 30 words, edited in any place as often as the similarity allows: classes are those of all pairs."""
+    rng = random.Random(4)
+    pool = [f"s{i}" for i in range(2000)]
+    docs = [[rng.choice(pool) for _ in range(n)] for n in range(5, 26) for _ in range(4)]
+    for i, d in enumerate(docs[:]):
+        c, most = list(d), align.edit_limit(len(d), 0.8)
+        for k in range(most):
+            at = rng.randrange(len(c))
+            c[at : at + (i + k) % 2] = [f"t{i}x{k}"]
+        docs.append(c)
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = neardup.near_duplicate_classes(frame(spark, rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(rows)
+
+
 def test_block_links_lose_nothing():
     """Blocks of one group, met two by two, join the same texts as all pairs do."""
     rng = random.Random(2)
