@@ -1,9 +1,8 @@
 """Token counts and token-id files with a byte-level BPE vocabulary of the tokenizers library.
 
-A byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in order. Each worker
-encodes every distinct pre-token once with the library and looks the rest up in a table of bounded size.
-Texts that hold an added token's string, or characters outside the blocks where the splitting pattern below is
-known to agree with the library's, go to the library whole.
+A byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in order. Texts of plain
+characters are cut by the pattern below, which agrees with the library's on them; other texts by the library's own
+pre-tokenizer. Texts that hold an added token's string go to the library whole.
 """
 
 from __future__ import annotations
@@ -17,23 +16,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices
 
-#: Pre-tokens kept per worker and generation.
-CACHE_ENTRIES = 350_000
-#: Longer pre-tokens are encoded each time and not kept.
+#: Bytes of pre-tokens and ids kept per worker and generation, and what an entry takes besides its strings.
+CACHE_BYTES, ENTRY_BYTES = 40 << 20, 160
+#: Longer pre-tokens are encoded each time and not kept; nor are they broadcast.
 CACHE_PIECE_CHARS = 64
+#: The pre-tokens that most texts hold, so many at most, meet the frequencies by broadcast; the others by shuffle.
+HEAD_PIECES = 100_000
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
 # The byte-level BPE splitting pattern, written for the blocks named in _OUTSIDE.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_SPLIT = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Anything but tab, line feed, carriage return, printable ASCII, Latin letters to U+024F without
 #: superscripts and fractions, and common dashes and quotes.
-_OUTSIDE = re.compile("[^\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ƺƼ-ƿǄ-ɏ–—‘-„•…€]")
+_OUTSIDE = "[^\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ƺƼ-ƿǄ-ɏ–—‘-„•…€]"
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -49,89 +51,160 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class PieceTable(dict):
-    """Pre-token -> its ids as little-endian unsigned 32-bit integers, or with ``counts_only`` how many they are.
-
-    A pre-token that is met for the first time is encoded by the library's model, which is what a lookup does that finds
-    nothing. Two generations of at most ``CACHE_ENTRIES`` entries are held: what was not used since the last change goes.
-    """
+class Splitter:
+    """Cuts texts into pre-tokens, and a pre-token into the vocabulary's tokens."""
 
-    def __init__(self, path: str, counts_only: bool):
-        super().__init__()
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
         self.letters = _byte_letters()
-        self.counts_only = counts_only
-        self.older: dict[str, object] = {}
+        self.bytes_of = {ord(c): b for b, c in self.letters.items()}
+        self.space = self.letters[ord(" ")]
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
-    def __missing__(self, piece: str):
+    def tokens(self, piece: str) -> list:
+        """The tokens of one pre-token, by the library's model."""
+        if piece.isascii() and piece[1:].isalpha():
+            return self.model.tokenize(self.space + piece[1:] if piece[0] == " " else piece)
+        return self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+
+    def whole(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def cut(self, texts: pa.Array) -> Iterator[tuple[str, list[str] | None]]:
+        """Each text with its pre-tokens in order; None for one with an added token's string, which only the library reads right. Nulls are empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _OUTSIDE).to_pylist()
+        for text, other in zip(texts.to_pylist(), odd):
+            if self.added and self.added.search(text):
+                yield text, None
+            elif other:
+                pieces = self.tok.pre_tokenizer.pre_tokenize_str(text)
+                yield text, [p.translate(self.bytes_of).encode("latin-1").decode() for p, _ in pieces]
+            else:
+                yield text, _SPLIT.findall(text)
+
+
+_SPLITTERS: dict[str, Splitter] = {}
+
+
+def splitter(path: str) -> Splitter:
+    """The worker's own splitter; it outlives a task because workers are reused."""
+    if path not in _SPLITTERS:
+        _SPLITTERS[path] = Splitter(path)
+    return _SPLITTERS[path]
+
+
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(CACHE_PIECE_CHARS)]
+
+
+class PieceTable(dict):
+    """Pre-token -> its ids as little-endian unsigned 32-bit integers, encoded when it is met for the first time.
+
+    Two generations of at most ``CACHE_BYTES`` are held: what was not used since the last change goes.
+    """
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.splitter = splitter(path)
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def __missing__(self, piece: str) -> bytes:
         value = self.older.get(piece)
         if value is None:
-            found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            value = len(found) if self.counts_only else struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            if len(piece) > CACHE_PIECE_CHARS:
+            ids = [t.id for t in self.splitter.tokens(piece)]
+            value = _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
+            # A run of white space is not kept: ``chunks`` looks for a line end with a space before it, which is no such run.
+            if len(piece) > CACHE_PIECE_CHARS or (len(piece) > 1 and piece.isspace()):
                 return value
-        if len(self) >= CACHE_ENTRIES:
+        if self.held >= CACHE_BYTES:
             self.older = dict(self)
             self.clear()
+            self.held = 0
         self[piece] = value
+        self.held += ENTRY_BYTES + len(piece) + len(value)
         return value
 
-    def whole(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
-
-    def fast(self, text: str) -> bool:
-        return _OUTSIDE.search(text) is None and not (self.added and self.added.search(text))
-
-    def count(self, text: str) -> int:
-        """Tokens of a text from its pre-token frequencies; no ids are made."""
-        if not self.fast(text):
-            return len(self.whole(text))
-        return sum(n * self[p] for p, n in Counter(_SPLIT.findall(text)).items())
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of every text as little-endian unsigned 32-bit integers."""
+        get = self.__getitem__
+        return [b"".join(map(get, pieces)) if pieces is not None else np.asarray(self.splitter.whole(text), "<u4").tobytes() for text, pieces in self.splitter.cut(texts)]
 
-    def ids(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not self.fast(text):
-            return np.asarray(self.whole(text), dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, _SPLIT.findall(text)))
 
+_TABLES: dict[str, PieceTable] = {}
 
-_TABLES: dict[tuple[str, bool], PieceTable] = {}
 
+def piece_table(path: str) -> PieceTable:
+    """The worker's own table."""
+    if path not in _TABLES:
+        _TABLES[path] = PieceTable(path)
+    return _TABLES[path]
 
-def piece_table(path: str, counts_only: bool) -> PieceTable:
-    """The worker's own table; it outlives a task because workers are reused."""
-    key = (path, counts_only)
-    if key not in _TABLES:
-        _TABLES[key] = PieceTable(path, counts_only)
-    return _TABLES[key]
 
+def pretoken_frequencies(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, its distinct pre-tokens (``pieces``) and how often each stands in it (``counts``).
 
-def count_tokens(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, limit: int = 1024) -> DataFrame:
-    """Tokens of every whole text, counted once per distinct pre-token and summed by frequency.
-
-    One row per input row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit). A null text counts as empty:
-    0 bytes, 0 tokens. Null and repeated doc_ids stay as they are; other columns of ``docs`` are not read; an empty
-    table gives no rows. Nothing is shuffled: the frequencies of a text and the piece sizes meet inside its task.
+    ``special`` counts the tokens of a text with an added token's string; it has no pieces.
     """
+    names = ["doc_id", "n_bytes", "special", "pieces", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = piece_table(tokenizer_path(tokenizer), True)
+        own = splitter(tokenizer_path(tokenizer))
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = [table.count(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+            special, found, sizes = [], [], []
+            for text, pieces in own.cut(batch.column(1)):
+                special.append(0 if pieces is not None else len(own.whole(text)))
+                found.append(Counter(pieces or ()))
+                sizes.append(len(text.encode()))
+            cols = [pa.array(sizes, pa.int64()), pa.array(special, pa.int64()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, special long, pieces array<string>, counts array<int>")
+
+
+def piece_sizes(pieces: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+    """(piece, held, size): ``size`` is how many tokens the pre-token ``piece`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = splitter(tokenizer_path(tokenizer))
+        for batch in slices(batches, 4096):
+            sizes = [len(own.tokens(p)) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["piece", "held", "size"])
+
+    return pieces.select("piece", "held").mapInArrow(run, "piece string, held long, size long")
+
+
+def count_tokens(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, limit: int = 1024, head: int = HEAD_PIECES) -> DataFrame:
+    """Tokens of every whole text: the sizes of all distinct pre-tokens, each counted once, joined to the texts' frequencies and summed.
+
+    One row per input row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit). A null text counts as empty:
+    0 bytes, 0 tokens. Null and repeated doc_ids stay as they are; other columns of ``docs`` are not read; an empty
+    table gives no rows. Texts with an added token's string are counted by the library whole.
+
+    The frequencies are written once to the shared folder. Their distinct pre-tokens are gathered by partial aggregation,
+    so a common one is shuffled once per task. The ``head`` pre-tokens that most texts hold (of bounded number and length)
+    are broadcast to the frequencies; only rows of rarer ones are shuffled, and each of those stands in few texts.
+    """
+    tables = Scratch(docs.sparkSession, "token-counts")
+    texts = tables.save(pretoken_frequencies(docs, tokenizer=tokenizer).withColumn("rid", F.monotonically_increasing_id()), "frequencies", compression="zstd")
+    held = texts.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("held"))
+    sizes = tables.save(piece_sizes(held, tokenizer=tokenizer), "sizes")
+    common = sizes.filter(F.length("piece") <= CACHE_PIECE_CHARS).orderBy(F.desc("held"), "piece").limit(head).select("piece", "size")
+    common = tables.save(common, "common")
+    pairs = texts.select("rid", F.explode(F.arrays_zip("pieces", "counts")).alias("p")).select("rid", F.col("p.pieces").alias("piece"), F.col("p.counts").alias("n"))
+    near = pairs.join(F.broadcast(common), "piece")
+    rare = pairs.join(F.broadcast(common.select("piece")), "piece", "left_anti").join(sizes.join(F.broadcast(common.select("piece")), "piece", "left_anti"), "piece")
+    totals = [x.groupBy("rid").agg(F.sum(F.col("n") * F.col("size")).alias("n")) for x in (near, rare)]
+    summed = totals[0].unionByName(totals[1]).groupBy("rid").agg(F.sum("n").alias("n"))
+    counted = texts.select("rid", "doc_id", "n_bytes", "special").join(summed, "rid", "left")
+    n = F.col("special") + F.coalesce("n", F.lit(0))
+    return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
 def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = 2, row_group_bytes: int = 16 << 20, page_bytes: int = 1 << 20, keep: tuple[str, ...] = ()) -> None:
@@ -155,11 +228,10 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = DEFAULT_TO
         from pyspark import TaskContext
 
         part, start = TaskContext.get().partitionId(), 0
-        table = piece_table(tokenizer_path(tokenizer), False)
+        table = piece_table(tokenizer_path(tokenizer))
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
-            blobs = [table.ids(t or "") + end for t in texts]
+            blobs = [b + end for b in table.encode(batch.column(1))]
             sizes = np.fromiter((len(b) >> 2 for b in blobs), np.int64, len(blobs))
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             values = pa.array(np.frombuffer(b"".join(blobs), dtype="<i4"), pa.int32())

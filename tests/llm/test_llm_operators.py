@@ -255,12 +255,22 @@ def test_token_file_format(spark):
 
 def test_token_counts(spark, odd, empty):
     rows = tokens.count_tokens(odd, limit=10).collect()
-    table = tokens.piece_table(tokens.tokenizer_path(), True)
-    want = Counter((i, len((t or "").encode()), len(table.whole(t or ""))) for i, t, *_ in ODD)
+    own = tokens.splitter(tokens.tokenizer_path())
+    want = Counter((i, len((t or "").encode()), len(own.whole(t or ""))) for i, t, *_ in ODD)
+    few = tokens.count_tokens(odd, limit=10, head=2).collect()  # nearly all pre-tokens meet by shuffle
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in few) == want
     assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in rows) == want
     assert all(r["over_limit"] == (r["n_tokens"] > 10) for r in rows) and tokens.count_tokens(empty).count() == 0
 
 
+def test_token_counts_of_a_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    own = tokens.splitter(tokens.tokenizer_path())
+    want = Counter((r["doc_id"], len(own.whole(r["text"] or ""))) for r in docs.collect())
+    for head in (50, tokens.HEAD_PIECES):
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in tokens.count_tokens(docs, head=head).collect()) == want
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     item = "one two three four five six seven eight nine ten"
     items = spark.createDataFrame([(1, item), (1, item), (None, "eleven " + item), (3, None), (4, ""), (5, "short one")], "item_id long, text string")
@@ -407,7 +417,7 @@ def test_pipeline_against_brute_force(spark):
         u = (int(hashlib.md5(f"{queries.MIX_SEED}:{d[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         want[d[0]] = sum(u >= x for x in mixing.poisson_steps(mean))
     assert Counter(r["doc_id"] for r in got) == +want
-    table = tokens.piece_table(tokens.tokenizer_path(), False)
+    table = tokens.splitter(tokens.tokenizer_path())
     texts = {d[0]: d[1] for d in kept}
     at = 0
     for r in sorted(got, key=lambda r: r["start"]):

@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-import pytest
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -76,34 +76,47 @@ def test_repeated_kmers_get_occurrence_numbers():
     assert len(set(h.tolist())) == len(h)
 
 
-TEXTS = ["", " ", "\n\n  x", "It's  a test\twith   spaces \n", "naïve café — “quotes” … 100%", "日本語 text", "a" * 5000, "emoji 😀 here", "end <|endoftext|> more", "x y", "\x1cfile\x85", "don't can't WE'LL 's", "1234 5678abc", "___ -- *** ###"]
+TEXTS = ["", " ", "\n\n  x", "It's  a test\twith   spaces \n", "naïve café — “quotes” … 100%", "日本語 text", "a" * 5000, "emoji 😀 here", "end <|endoftext|> more", "x y", "\x1cfile\x85", "don't can't WE'LL 's", "1234 5678abc", "___ -- *** ###", "\n", "a\n\nb", "a\n\n\nb", "a\n b", "a \nb", "\na", "3.14, ok... (a) --", None, "tab\there"]
 
 
-@pytest.mark.parametrize("text", TEXTS)
-def test_token_table_equals_the_library(text):
-    from tokenizers import Tokenizer
+def encoded(texts):
+    return [np.frombuffer(b, "<u4").tolist() for b in tokens.piece_table(tokens.tokenizer_path()).encode(pa.array(texts, pa.string()))]
 
-    path = tokens.tokenizer_path()
-    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(tokens.piece_table(path, False).ids(text), "<u4").tolist() == want
-    assert tokens.piece_table(path, True).count(text) == len(want)
 
+def library(text):
+    return tokens.splitter(tokens.tokenizer_path()).whole(text or "")
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=80))
-def test_token_table_on_any_text(text):
-    table = tokens.piece_table(tokens.tokenizer_path(), False)
-    assert np.frombuffer(table.ids(text), "<u4").tolist() == table.whole(text)
+
+def test_token_table_equals_the_library():
+    """One batch of all kinds of texts, in any order, and each alone."""
+    assert encoded(TEXTS) == [library(t) for t in TEXTS]
+    assert encoded(TEXTS[::-1]) == [library(t) for t in TEXTS[::-1]]
+    assert all(encoded([t]) == [library(t)] for t in TEXTS) and encoded([]) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=60), st.text(alphabet="ab'1 \n.,-\tÄ", max_size=40)), max_size=6))
+def test_token_table_on_any_texts(texts):
+    assert encoded(texts) == [library(t) for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="ab'1 \n.,-\tÄ", max_size=40)))
+def test_pretokens_have_the_sizes_of_the_library(text):
+    own = tokens.splitter(tokens.tokenizer_path())
+    for t, pieces in own.cut(pa.array([text])):
+        if pieces is not None:
+            assert "".join(pieces) == t == text and sum(len(own.tokens(p)) for p in pieces) == len(library(text))
 
 
 def test_token_table_keeps_its_bound(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 50)
-    table = tokens.PieceTable(tokens.tokenizer_path(), True)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 10_000)
+    table = tokens.PieceTable(tokens.tokenizer_path())
     rng = random.Random(4)
     for _ in range(60):
         text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 80]))) for _ in range(30))
-        assert table.count(text) == len(table.whole(text))
-        assert len(table) <= 50 and len(table.older) <= 50
+        assert np.frombuffer(table.encode(pa.array([text]))[0], "<u4").tolist() == library(text)
+        assert len(table) <= 70 and len(table.older) <= 70
 
 
 def _edited(words, rate, rng, pool):
