@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of Python objects held at once inside a worker, whatever the Arrow batch size is.
@@ -21,9 +23,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. A session on one machine that lacks it gets a temporary one; a cluster has to name it."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.folioflow.scratch.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         base = tempfile.mkdtemp(prefix="folioflow-")
         spark.conf.set("spark.folioflow.scratch.dir", base)
     return base.rstrip("/")
@@ -66,6 +71,29 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def text_slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 2048, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows whose texts have ``size`` bytes in all, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start, base = 0, 0
+        while start < batch.num_rows:
+            stop = min(max(start + 1, int(np.searchsorted(ends, base + size, "right"))), start + rows, batch.num_rows)
+            yield batch.slice(start, stop - start)
+            start, base = stop, int(ends[stop - 1])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def plain_words(text: str) -> list[str]:
     """Lower-case alphanumeric words; where there are none, what white space separates."""
     low = text.lower()

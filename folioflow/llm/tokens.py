@@ -7,6 +7,7 @@ pre-tokenizer. Texts that hold an added token's string go to the library whole.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import struct
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, free_names, slices, text_slices
 
 #: Bytes of pre-tokens and ids kept per worker and generation, and what an entry takes besides its strings.
 CACHE_BYTES, ENTRY_BYTES = 40 << 20, 160
@@ -37,6 +38,9 @@ _SPLIT = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+
 #: superscripts and fractions, and common dashes and quotes.
 _OUTSIDE = "[^\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ƺƼ-ƿǄ-ɏ–—‘-„•…€]"
 
+#: White space of other kinds than single spaces and line ends, in runs, or at an end; and empty texts.
+_RUNS = r"\n\n[\n ]|\n\n\z|  | \n|\A | \z|[\t\r]|\A\z"
+
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     import public_tokenizers
@@ -65,6 +69,8 @@ class Splitter:
         self.space = self.letters[ord(" ")]
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        #: What a cut at single spaces and line ends may get wrong.
+        self.uneven = "|".join([_OUTSIDE, _RUNS, *(re.sub(r"([^\w ])", r"\\\1", x) for x in added)])
 
     def tokens(self, piece: str) -> list:
         """The tokens of one pre-token, by the library's model."""
@@ -130,10 +136,68 @@ class PieceTable(dict):
         self.held += ENTRY_BYTES + len(piece) + len(value)
         return value
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of every text as little-endian unsigned 32-bit integers."""
-        get = self.__getitem__
-        return [b"".join(map(get, pieces)) if pieces is not None else np.asarray(self.splitter.whole(text), "<u4").tobytes() for text, pieces in self.splitter.cut(texts)]
+    def chunk(self, text: str) -> bytes:
+        """The ids of a run of characters between two cuts."""
+        return b"".join(map(self.__getitem__, _SPLIT.findall(text)))
+
+    def chunks(self, names: list[str]) -> list[bytes]:
+        """The ids of chunks that have lost the space before them, but for those that begin with a line end."""
+        found = list(map(self.get, map(" ".__add__, names)))
+        for k, value in enumerate(found):
+            if value is None:
+                name = names[k]
+                if not name:
+                    found[k] = b""
+                elif name.isalpha():
+                    found[k] = self[" " + name]
+                elif name[-1] in ",." and name[:-1].isalpha():
+                    found[k] = self[" " + name[:-1]] + self[name[-1]]
+                else:
+                    found[k] = self.chunk(name if name[0] == "\n" else " " + name)
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin (and the end).
+
+        A pre-token begins at every single space between two other characters, and at line ends and after them, so most
+        texts are cut there by Arrow; each distinct chunk of the batch is encoded once and its ids are laid out by number.
+        """
+        own = self.splitter
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, own.uneven)
+        lists = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), " ")
+        begins = lists.offsets.to_numpy().astype(np.int64)
+        chunks = lists.values.slice(begins[0], begins[-1] - begins[0]).dictionary_encode()
+        begins -= begins[0]
+        codes = chunks.indices.to_numpy().astype(np.int64)
+        held = chunks.dictionary
+        names = pc.binary_join(pa.array([held], pa.list_(held.type)), "\0")[0].as_py().split("\0") if len(held) else []
+        firsts = begins[:-1]
+        heads = [names[c] for c in codes[firsts].tolist()]
+        codes[firsts] = np.arange(len(heads)) + len(names)
+        blobs = self.chunks(names) + list(map(self.chunk, heads))
+        ids, bounds = spread(np.frombuffer(b"".join(blobs), "<u4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2, codes)
+        bounds = bounds[begins]
+        if not (rest := np.flatnonzero(odd.to_numpy(zero_copy_only=False))).size:
+            return ids, bounds
+        parts = iter([ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])])
+        others = own.cut(texts.take(pa.array(rest)))
+        laid = []
+        for other in odd.to_pylist():
+            if other:
+                text, pieces = next(others)
+                laid.append(np.asarray(own.whole(text), "<u4") if pieces is None else np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<u4"))
+            else:
+                laid.append(next(parts))
+        return np.concatenate(laid), np.concatenate([[0], np.cumsum([len(x) for x in laid])])
+
+
+def spread(values: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists laid end to end in ``values``, picked by number: the picked lists end to end, and where each begins (and the end)."""
+    starts = np.cumsum(sizes) - sizes
+    held = sizes[codes]
+    bounds = np.concatenate([[0], np.cumsum(held)])
+    return values[np.repeat(starts[codes] - bounds[:-1], held) + np.arange(bounds[-1])], bounds
 
 
 _TABLES: dict[str, PieceTable] = {}
@@ -207,7 +271,7 @@ def count_tokens(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, limit:
     return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
-def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = 2, row_group_bytes: int = 16 << 20, page_bytes: int = 1 << 20, keep: tuple[str, ...] = ()) -> None:
+def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = 2, row_group_bytes: int = 16 << 20, page_bytes: int = 1 << 20, keep: tuple[str, ...] = (), part_bytes: int = 32 << 20, total_bytes: int | None = None) -> None:
     """Write every text's token ids, ``end_id`` appended, as Parquet in ascending doc_id order.
 
     Columns: doc_id, tokens (list of int, dictionary or delta encoded), n_tokens, part (number of the file's range of
@@ -217,27 +281,35 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = DEFAULT_TO
 
     A null text counts as empty (only the end id); null doc_ids come first; rows of one doc_id stand in order of their
     text's hash and may spread over parts, so that a doc_id with very many rows does not fill one task. Columns that are
-    not asked for are not read.
+    not asked for are not read; a column of ``keep`` whose name is written already is refused. An empty table gives an empty
+    folder with the schema. A part is about ``part_bytes`` of text: how many there are follows ``total_bytes`` (measured
+    where it is not given), and so memory and time of a task do not grow with the input.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c) for c in keep])
-    src = src.withColumn("tie", F.xxhash64("text")).withColumn("spread", F.rand(11))
-    ordered = src.repartitionByRange("doc_id", "tie", "spread").sortWithinPartitions("doc_id", "tie", "spread").drop("tie", "spread")
-    kept = [f for f in ordered.schema if f.name in keep]
+    names = ["doc_id", "tokens", "n_tokens", "part", "part_start"]
+    if clash := {*names, "text"} & set(keep):
+        raise ValueError(f"these columns are written already: {sorted(clash)}")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
+    if total_bytes is None:
+        total_bytes = src.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    parts = max(1, math.ceil(total_bytes / part_bytes))
+    tie, spread_ = free_names(src, "tie", "spread")
+    src = src.withColumn(tie, F.xxhash64("text")).withColumn(spread_, F.rand(11))
+    ordered = src.repartitionByRange(parts, "doc_id", tie, spread_).sortWithinPartitions("doc_id", tie, spread_).drop(tie, spread_)
+    kept = [ordered.schema[2 + i] for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, start = TaskContext.get().partitionId(), 0
         table = piece_table(tokenizer_path(tokenizer))
-        end = np.asarray([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches):
-            blobs = [b + end for b in table.encode(batch.column(1))]
-            sizes = np.fromiter((len(b) >> 2 for b in blobs), np.int64, len(blobs))
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            values = pa.array(np.frombuffer(b"".join(blobs), dtype="<i4"), pa.int32())
-            tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-            arrays = [batch.column(0), tokens, pa.array(sizes), pa.array(np.full(len(blobs), part, np.int32)), pa.array(offsets[:-1] + start)]
-            yield pa.RecordBatch.from_arrays(arrays + [batch.column(2 + i) for i in range(len(kept))], names=["doc_id", "tokens", "n_tokens", "part", "part_start", *[f.name for f in kept]])
+        for batch in text_slices(batches, 1):
+            ids, ends = table.encode(batch.column(1))
+            rows = batch.num_rows
+            ids = np.insert(ids, ends[1:], end_id).view("<i4")
+            offsets = ends + np.arange(rows + 1)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
+            arrays = [batch.column(0), tokens, pa.array(np.diff(offsets)), pa.array(np.full(rows, part, np.int32)), pa.array(offsets[:-1] + start)]
+            yield pa.RecordBatch.from_arrays(arrays + [batch.column(2 + i) for i in range(len(kept))], names=names + [f.name for f in kept])
             start += int(offsets[-1])
 
     schema = "doc_id long, tokens array<int>, n_tokens long, part int, part_start long" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)

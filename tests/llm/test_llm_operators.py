@@ -238,6 +238,10 @@ def test_token_files_round_trip(spark, odd, empty):
         at += r["n_tokens"]
     digest = {(r["start"], r["ids_crc32"]) for r in tokens.token_digest(spark, path).collect()}
     assert digest == {(r["start"], zlib.crc32(np.array(r["tokens"], "<u4").tobytes())) for r in rows}
+    with pytest.raises(ValueError):
+        tokens.encode_to_files(spark, odd, keep=("part",))
+    parts = tokens.encode_to_files(spark, odd.unionByName(odd), part_bytes=100_000, keep=("tie",))
+    assert sorted(r["start"] for r in tokens.token_digest(spark, parts).collect())[-1] > 2 * at - 200_000
     none = tokens.encode_to_files(spark, empty)
     assert tokens.token_digest(spark, none).count() == 0
 
