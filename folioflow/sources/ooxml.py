@@ -128,8 +128,8 @@ def diagram_nodes(points: list[dict], edges: list[dict]) -> list[dict]:
     return out or [{"text": p["text"], "level": 0} for p in real.values() if p["text"]]
 
 
-def chart(root) -> dict:
-    """Kind, title, categories and series of a chart part, from its cached values."""
+def chart(root, *, named_by_formula: bool = False) -> dict:
+    """Kind, title, categories and series of a chart part, from its cached values. A workbook's series goes by the formula of its name."""
     kinds = [x.tag.rpartition("}")[2].lower() for x in root.iter() if x.tag.endswith("Chart") and x.tag.startswith(f"{{{NS['c']}}}")]
     name = kinds[0] if kinds else ""
     direction = root.find(f".//{q('c:barDir')}")
@@ -141,7 +141,8 @@ def chart(root) -> dict:
         head = s.find(q("c:tx"))
         names = values(head) if head is not None else []
         numbers = s.find(q("c:val")) if s.find(q("c:val")) is not None else s.find(q("c:yVal"))
-        series.append({"name": names[0] if names else (head.findtext(f".//{q('c:f')}") if head is not None else None), "values": values(numbers)})
+        formula = head.findtext(f".//{q('c:f')}") if head is not None else None
+        series.append({"name": formula if formula and (named_by_formula or not names) else names[0] if names else None, "values": values(numbers)})
         categories = categories or values(s.find(q("c:cat")) if s.find(q("c:cat")) is not None else s.find(q("c:xVal")))
     text = "".join(t.text or "" for t in title.iter(q("a:t"))) if title is not None else None
     return {"chart_type": next((k for k in CHART_KINDS if k in name), "other"), "title": text or None, "categories": categories, "series": series}

@@ -201,8 +201,11 @@ def parse_pdf(content: bytes) -> Parsed:
                 links.append({"kind": "uri", "uri": text_of(uri[1])})
             elif dest := re.search(rb"/(?:Dest|D)\s*\[\s*(\d+)\s+\d+\s+R", body):
                 links.append({"kind": "goto", "target_page": f.numbers.get(int(dest[1]))})
+            elif re.search(rb"/S\s*/Launch", body):
+                target = re.search(rb"/F\s*(?:<<.*?/F\s*)?(\((?:[^()\\]|\\.)*\))", body, re.S)
+                links.append({"kind": "launch", "uri": text_of(target[1]) if target else None})
             elif b"/Link" in body:
-                links.append({"kind": "launch" if b"/Launch" in body else "named" if b"/Named" in body else "other"})
+                links.append({"kind": "named" if b"/Named" in body else "other"})
         if links:
             out.add(block("links", payload=pack({"links": links})), unit_kind="page", unit_index=n)
         if re.search(rb"/Subtype\s*/Type0", b"".join(f.objects.get(r, b"") for r in f.refs(page, b"F\\d+"))):

@@ -8,8 +8,23 @@ from .model import Parsed, block, is_svg, keep_image, run
 from .ooxml import Package, chart, diagram, pack, px, q
 
 
+def _paragraph(p) -> str:
+    """Texts and fields of a paragraph; a break is a vertical tab."""
+    parts = []
+    for x in p:
+        if x.tag in (q("a:r"), q("a:fld")):
+            parts.append(x.findtext(q("a:t")) or "")
+        elif x.tag == q("a:br"):
+            parts.append("\v")
+    return "".join(parts)
+
+
+def _lines(elem) -> str:
+    return "\n".join(map(_paragraph, elem.iter(q("a:p"))))
+
+
 def _text(elem) -> str:
-    return "\n".join("".join(t.text or "" for t in p.iter(q("a:t"))) for p in elem.iter(q("a:p"))).strip()
+    return _lines(elem).strip()
 
 
 class _Reader:
@@ -85,10 +100,8 @@ class _Reader:
                     link = rp.find(q("a:hlinkClick")) if rp is not None else None
                     on = lambda k: rp is not None and rp.get(k) not in (None, "0", "false", "none")
                     runs.append(run(r.findtext(q("a:t")) or "", bold=on("b"), italic=on("i"), underline=on("u"), hyperlink=self.rels.get(link.get(q("r:id"), "")) if link is not None else None))
-                elif r.tag == q("a:br"):
-                    runs.append(run("\n"))
-                elif r.tag == q("a:fld"):
-                    runs.append(run(r.findtext(q("a:t")) or ""))
+            if not runs and (whole := _paragraph(p)):
+                runs.append(run(whole))
             kind = None
             if props is not None:
                 kind = "bullet" if props.find(q("a:buChar")) is not None else "numbered" if props.find(q("a:buAutoNum")) is not None else None
@@ -142,7 +155,7 @@ class _Reader:
 
     @staticmethod
     def table(t) -> list[list[str]]:
-        return [[_text(c) for c in tr.findall(q("a:tc"))] for tr in t.findall(q("a:tr"))]
+        return [[_lines(c) for c in tr.findall(q("a:tc"))] for tr in t.findall(q("a:tr"))]
 
     @staticmethod
     def spans(t) -> list[dict]:

@@ -145,7 +145,7 @@ class _Reader:
                     if ids is not None:
                         self.add(block("smartart", payload=pack(diagram(self.package, rels, ids, f"sheet_{n}_{len(self.out.points)}", self.out, False) | {"anchor": where, "name": name})), n)
                     elif ref is not None and (c := self.package.xml(rels.get(ref.get(q("r:id")), ""))) is not None:
-                        self.add(block("chart", payload=pack(chart(c) | {"anchor": where})), n)
+                        self.add(block("chart", payload=pack(chart(c, named_by_formula=True) | {"anchor": where})), n)
                 elif x.tag == q("xdr:pic"):
                     self.picture(n, sheet, x, rels, where)
                 elif x.tag == q("xdr:sp"):
