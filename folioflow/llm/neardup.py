@@ -4,11 +4,13 @@ A sketch of a text takes the ``order`` k-mers with the smallest hashes, each lab
 keeps them in text order; texts with one equal sketch are candidates. Links are pairs of different texts whose word
 edit similarity (1 - distance / longer length) is ``similarity`` or more; classes are their connected components.
 
-Candidates are met without emitting all pairs of a group. Each bucket's members are aligned with its smallest member, and
-the links found so put most buckets into one component. A bucket that still holds several components is open: a small one
+Candidates are met without emitting all pairs of a group. Each text is aligned with one smallest member of its buckets, the
+one that it shares most of them with, then with those of its other buckets as far as they are in another component by then;
+that puts most buckets into one component. A bucket that still holds several components is open: a small one
 compares its members across components; the members of large ones (texts that share a passage) are compared whole: all
-that stand in different components and have fitting lengths meet in salted blocks, where the words they share rule most
-pairs out before any alignment. Nothing is dropped there; the cost grows with the square of such texts of like length.
+that large open buckets join, stand in different components and have fitting lengths meet in salted blocks, where the words
+they share rule most pairs out before any alignment. Nothing is dropped there; the cost grows with the square of the texts of
+like length in such a family.
 Texts of up to ``short`` words also meet by their rarest words, an exact way that leaves no pair of theirs out.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .align import banded_distance, edit_limit
-from .common import Scratch, plain_words, slices
+from .common import Scratch, free_names, plain_words, slices
 
 
 @dataclass(frozen=True)
@@ -301,11 +303,17 @@ class _Run:
         sizes = keyed.groupBy("key").agg(F.count("*").alias("held"), F.min("rid").alias("hub"), F.min_by("n_words", "rid").alias("hub_words")).filter("held > 1")
         return self.tables.save(keyed.join(sizes, "key"), name)
 
-    def star(self, members: DataFrame, tested: DataFrame | None) -> DataFrame:
-        """Pairs (a, b) of each member b and its bucket's smallest text a, as far as lengths fit and they are new."""
+    def star(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of each member b and its bucket's smallest text a, as far as lengths fit, and the ``keys`` they share so."""
         fits = _ratio_ok("n_words", "hub_words", self.p.similarity)
-        pairs = members.filter("rid <> hub").where(fits).select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-        return self.tables.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "star")
+        pairs = members.filter("rid <> hub").where(fits).groupBy(F.col("hub").alias("a"), F.col("rid").alias("b")).agg(F.count("*").alias("keys"))
+        return self.tables.save(pairs, "star")
+
+    def apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs (a, b) that do not stand in one component."""
+        known = lambda side: labels.select(F.col("rid").alias(side), F.col("label").alias(f"l{side}"))
+        named = pairs.select("a", "b").join(known("b"), "b", "left").join(known("a"), "a", "left")
+        return named.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
     def open_buckets(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of buckets that hold more than one component, with their component."""
@@ -360,18 +368,27 @@ class _Run:
         found = rows.join(wanted.withColumnRenamed("doc_id", "its_id"), F.col("doc_id").eqNullSafe(F.col("its_id")) & (rows["digest"] == wanted["digest"]))
         texts = tables.save(found.select("rid", "text").dropDuplicates(["rid"]), "texts")
 
-        star = self.star(members, None)
-        labels = self.joined(None, self.verified(star, texts, "links"))
-        rest = tables.save(self.open_buckets(members.drop("hub", "hub_words"), labels), "open")
+        # The text that shares most keys comes first; what is in one component by then is not aligned again.
+        star = self.star(members)
+        nearest = tables.save(star.groupBy("b").agg(F.max(F.struct("keys", (-F.col("a")).alias("low"))).alias("top")).select((-F.col("top.low")).alias("a"), "b"), "nearest")
+        labels = self.joined(None, self.verified(nearest, texts, "links"))
+        others = tables.save(self.apart(star, labels).join(nearest, ["a", "b"], "left_anti"), "others")
+        labels = self.joined(labels, self.verified(others, texts, "more-links"))
+        rest = tables.save(self.open_buckets(members.drop("hub_words"), labels), "open")
         small = tables.save(self.across(rest.filter(F.col("held") <= p.bucket)).join(star, ["a", "b"], "left_anti"), "pairs")
         if not small.isEmpty():
-            labels = self.joined(labels, self.verified(small, texts, "more-links"))
-        large = rest.filter(F.col("held") > p.bucket).select("rid", "n_words").distinct()
-        if not large.isEmpty():
+            labels = self.joined(labels, self.verified(small, texts, "small-links"))
+        wide = rest.filter(F.col("held") > p.bucket)
+        if not wide.isEmpty():
+            # Texts that large open buckets join, one by another, are a family: only its members meet, and in fitting lengths.
+            family = self.components(wide.filter("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()).withColumnRenamed("label", "family")
+            large = wide.select("rid", "n_words").distinct()
             worded = tables.save(texts.join(large.select("rid"), "rid").mapInArrow(_word_batches, "rid long, words array<long>"), "words")
             # Each text stands in its band of lengths and the next, so any two whose lengths fit share one.
             band = F.floor(F.log("n_words") / F.log(F.lit(1 / p.similarity)) + 1e-9).cast("long")
-            banded = large.join(labels, "rid", "left").select(F.explode(F.array(band, band + 1)).alias("key"), "rid", "n_words", F.coalesce("label", "rid").alias("label"))
+            named = large.join(family, "rid").join(labels, "rid", "left")
+            banded = named.select(F.explode(F.array(band, band + 1)).alias("band"), "family", "rid", "n_words", F.coalesce("label", "rid").alias("label"))
+            banded = banded.select(F.xxhash64("family", "band").alias("key"), "rid", "n_words", "label")
             labels = self.joined(labels, self.compared(banded, worded, "block-links"))
         # Short texts seldom share a sketch of unbroken k-mers; a short one meets all whose lengths fit by their rarest words.
         if not brief.isEmpty():
@@ -414,8 +431,9 @@ def keep_one_per_class(docs: DataFrame, params: NearDupParams = NearDupParams())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of().alias("digest")).filter("digest is not null")
     group = F.struct(F.col("label"), F.when(F.col("label").isNull(), F.col("digest")).alias("alone"))
     first = rows.join(classes, "digest", "left").groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first"))
-    chosen = run.tables.save(first.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest")), "chosen")
-    src = docs.withColumn("__d", digest_of()).withColumn("__k", F.col("doc_id").cast("long"))
-    kept = src.join(chosen, F.col("__k").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest")), "left_semi")
-    kept = kept.dropDuplicates(["__k", "__d"])
-    return kept.select(*docs.columns).unionByName(src.filter(F.col("__d").isNull()).select(*docs.columns))
+    chosen = run.tables.save(first.select(F.col("first.doc_id").alias("its_id"), F.col("first.digest").alias("its_digest")), "chosen")
+    digest, key = free_names(docs, "digest", "key")
+    src = docs.withColumn(digest, digest_of()).withColumn(key, F.col("doc_id").cast("long"))
+    kept = src.join(chosen, F.col(key).eqNullSafe(chosen["its_id"]) & (F.col(digest) == chosen["its_digest"]), "left_semi")
+    kept = kept.dropDuplicates([key, digest]).drop(key, digest)
+    return kept.unionByName(docs.filter(F.col("text").isNull()))
