@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def size_report(rows: DataFrame, key: str, raw: str, clean: str) -> DataFrame:
-    """Bytes before and after cleaning for each key, and a TOTAL row."""
-    out = rows.rollup(key).agg(F.sum(raw).alias("raw_bytes"), F.sum(clean).alias("clean_bytes"))
+    """Bytes before and after cleaning for each key (a null one stays null), and a TOTAL row."""
+    out = rows.rollup(key).agg(F.sum(raw).alias("raw_bytes"), F.sum(clean).alias("clean_bytes"), F.grouping(key).alias("is_total"))
     saved = F.when(F.col("raw_bytes") == 0, 0.0).otherwise(F.round(100.0 * (F.col("raw_bytes") - F.col("clean_bytes")) / F.col("raw_bytes"), 1))
-    return out.select(F.coalesce(key, F.lit("TOTAL")).alias("sample"), "raw_bytes", "clean_bytes", saved.alias("saved_pct"))
+    return out.select(F.when(F.col("is_total") == 1, "TOTAL").otherwise(F.col(key)).alias("sample"), "raw_bytes", "clean_bytes", saved.alias("saved_pct"))
 
 
 def coverage(raw: DataFrame, ir: DataFrame, key: str) -> DataFrame:
@@ -59,7 +59,8 @@ def audit(blocks: DataFrame, raw: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def audit_markdown(report: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The audit as one Markdown table."""
-    row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col(key).cast("string"), F.col("coverage_pct").cast("string"), "notes"), F.lit(" |"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), row.alias("r")))), lambda x: x["r"]), "\n")
-    return report.agg(F.concat(F.lit(f"| {key} | coverage % | notes |\n| --- | --- | --- |\n"), lines).alias("markdown"))
+    """The audit as the lines of a Markdown table, in order of ``n``: a head of two lines, then one for each key. To be written as it is, in sorted parts."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col(key).cast("string"), F.col("coverage_pct").cast("string"), "notes"), F.lit(" |"))
+    head = report.sparkSession.createDataFrame([(f"| {key} | coverage % | notes |",), ("| --- | --- | --- |",)], "line string")
+    first = head.select(F.lit(None).cast(report.schema[key].dataType).alias("n"), "line").sortWithinPartitions(F.desc("line"))
+    return first.unionByName(report.select(F.col(key).alias("n"), line.alias("line")).orderBy("n"))

@@ -9,25 +9,29 @@ from pyspark.sql import functions as F
 NODE_TYPES = ("doc", "node", "asst")
 
 
-def tree_levels(nodes: DataFrame, edges: DataFrame, key: str = "diagram", max_depth: int = 64) -> DataFrame:
+def roots(nodes: DataFrame, edges: DataFrame, key: str = "diagram") -> DataFrame:
+    """The nodes that no edge enters."""
+    return nodes.join(edges.select(key, F.col("child").alias("node")), [key, "node"], "left_anti")
+
+
+def tree_levels(nodes: DataFrame, edges: DataFrame, key: str = "diagram") -> DataFrame:
     """(key, node, text, level, path): the nodes of every diagram in the order of their paths.
 
     ``nodes`` has key, node, type, text, pos; ``edges`` key, parent, child, ord, pos. Only parent edges between real nodes
     count. Roots are the ``doc`` nodes, or without one the nodes that no edge enters. Children stand in order of ord, then
     of the edge. A node is taken once, where it is first met, so cycles end. A ``doc`` root without a text gives its
-    place to its children. Levels are joined one after the other, at most ``max_depth`` of them, as deep as the deepest
-    diagram: the number of joins follows the depth and never the number of diagrams.
+    place to its children. Levels are joined one after the other until none is left, since no path holds a node twice: the
+    number of joins follows the deepest diagram and never the number of diagrams.
     """
     real = nodes.filter(F.col("type").isin(*NODE_TYPES))
     ids = real.select(key, "node")
     live = edges.join(ids.withColumnRenamed("node", "parent"), [key, "parent"], "left_semi").join(ids.withColumnRenamed("node", "child"), [key, "child"], "left_semi")
     live = live.withColumn("rank", F.row_number().over(Window.partitionBy(key, "parent").orderBy("ord", "pos")))
     has_doc = real.filter("type = 'doc'").select(key).distinct()
-    free = real.join(live.select(key, F.col("child").alias("node")), [key, "node"], "left_anti").join(has_doc, key, "left_anti")
-    roots = real.filter("type = 'doc'").unionByName(free)
-    level = roots.select(key, "node", F.array(F.col("pos").cast("int")).alias("path"), F.array("node").alias("seen"))
+    free = roots(real, live, key).join(has_doc, key, "left_anti")
+    level = real.filter("type = 'doc'").unionByName(free).select(key, "node", F.array(F.col("pos").cast("int")).alias("path"), F.array("node").alias("seen"))
     out = level
-    for _ in range(max_depth):
+    while True:
         step = level.withColumnRenamed("node", "parent").join(live, [key, "parent"])
         step = step.filter(~F.array_contains("seen", F.col("child")))
         level = step.select(key, F.col("child").alias("node"), F.concat("path", F.array("rank")).alias("path"), F.concat("seen", F.array("child")).alias("seen"))

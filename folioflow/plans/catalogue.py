@@ -1,7 +1,7 @@
 """The query catalogue: every operator on the driver's tables, with the same result in SQL.
 
-Where a table lacks an operator's own input (slides, sheets), a table of like shape stands in. Texts with Markdown syntax
-are composed from ``documents`` by SQL expressions that both engines read alike.
+Where a table lacks an operator's own input, a table of like shape stands in, or files composed from one. Texts with Markdown
+syntax are composed around whole ``documents`` by SQL expressions that both engines read alike.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions import scalars as S
-from ..operators import clean, grids, layout, packing, refs, render, trees
+from ..operators import clean, grids, layout, packing, polish, refs, render, reports, trees
 from ..sources.files import blocks_of, extract, spread
-from .convert import convert
+from .convert import ConvertOptions, convert, image_refs
+from .fixtures import files
 from .registry import query, table
 
 def pages_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,22 +196,18 @@ def caption_semi_subset(spark, sf):
     return refs.captions_of(table(spark, sf, "labels"), table(spark, sf, "documents").filter("lang = 'fr'"), ["doc_id"]).select("doc_id", "quality")
 
 
-@query("SELECT c_custkey AS node FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT conv_id AS doc_id, role || ' ' || turn AS text FROM conversations WHERE turn = 0")
 def smartart_roots_anti(spark, sf):
-    nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
-    return nodes.join(table(spark, sf, "orders").select(F.col("o_custkey").alias("node")), "node", "left_anti")
+    docs = extract(files(spark, sf, "docx"))
+    points = docs.select("doc_id", F.explode("points").alias("x")).select("doc_id", "x.node", "x.type", "x.text").filter("type = 'node'")
+    edges = docs.select("doc_id", F.explode("edges").alias("x")).select("doc_id", "x.parent", "x.child").filter("parent <> '0'")
+    return trees.roots(points, edges, "doc_id").select("doc_id", "text")
 
 
-@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def rel_resolution_chain(spark, sf):
-    c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
-    return c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select("c_custkey", "n_name", "r_name")
-
-
-@query("SELECT l_orderkey AS sheet, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, l_returnflag AS value FROM (SELECT l_orderkey, l_returnflag, unnest(range(l_linenumber, l_linenumber + 2)) AS r, c FROM lineitem, (VALUES (1), (2), (3)) AS v(c) WHERE l_orderkey % 7 = 0)")
+@query("SELECT l_orderkey AS sheet, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, l_returnflag AS value FROM (SELECT l_orderkey, l_returnflag, unnest(range(l_linenumber, l_linenumber + 2)) AS r, c FROM lineitem, (VALUES (1), (2), (3)) AS v(c))")
 def merged_fill_range_join(spark, sf):
     n = F.col("l_linenumber").cast("int")
-    rows = table(spark, sf, "lineitem").filter("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("sheet"), n.alias("min_row"), (n + 1).alias("max_row"), F.lit(1).alias("min_col"), F.lit(3).alias("max_col"), F.col("l_returnflag").alias("value"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sheet"), n.alias("min_row"), (n + 1).alias("max_row"), F.lit(1).alias("min_col"), F.lit(3).alias("max_col"), F.col("l_returnflag").alias("value"))
     return grids.fill_merged(rows, ["sheet"]).select("sheet", "row", "col", "value")
 
 
@@ -302,9 +299,9 @@ def flowchart_hint(spark, sf):
 # ---- cleaning ----
 
 
-@query("SELECT doc_id, list_filter(string_split(left(text, 400), chr(10)), lambda x: regexp_matches(x, '\\S')) AS kept, CAST(len(list_filter(string_split(left(text, 400), chr(10)), lambda x: regexp_matches(x, '\\S'))) AS INTEGER) AS n FROM documents")
+@query("SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS kept, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) AS INTEGER) AS n FROM documents")
 def drop_empties_runs(spark, sf):
-    parts = F.split(F.substring("text", 1, 400), "\n")
+    parts = F.split("text", "\n")
     blank = F.lit(None).cast("boolean")
     runs = F.transform(parts, lambda t: F.struct(t.alias("text"), blank.alias("bold"), blank.alias("italic"), blank.alias("underline"), blank.alias("code"), F.lit(None).cast("string").alias("hyperlink")))
     kept = F.transform(F.coalesce(clean.clean_runs(runs), F.slice(runs, 1, 0)), lambda r: r["text"])
@@ -328,19 +325,19 @@ def frontmatter_kv(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(meta).alias("key", "value"))
 
 
-@query("SELECT doc_id, left(text, 50) AS text FROM documents WHERE text <> ''")
+@query("SELECT doc_id, text FROM documents WHERE text <> ''")
 def data_uri_decode(spark, sf):
-    src = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode(F.substring("text", 1, 50), "UTF-8")))
+    src = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode("text", "UTF-8")))
     return table(spark, sf, "documents").filter("text <> ''").select("doc_id", F.decode(S.data_uri_bytes(src), "UTF-8").alias("text"))
 
 
 # ---- Markdown passes ----
 
-# Composed alike in both engines: the first words of a text with markers, headings and captions around them.
-_W = "replace(split_part(text, ' ', {}), chr(10), '')"
-_MARKED = f"""'intro ' || {_W.format(1)} || chr(10) || '**[Image - pdf_page #' || (doc_id % 3) || ', "Page"]**' || chr(10) || {_W.format(2)} || chr(10) || chr(10) || chr(10) || 'mid' || chr(10) ||
-'**[Image - pptx_slide #1]**' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Logo: red' ELSE 'cap ' || {_W.format(3)} END || chr(10) || chr(10) || 'tail' || chr(10) || '**[Image - pptx_slide #1]**' || chr(10) ||
-CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE 'cap ' || {_W.format(3)} END || chr(10) || chr(10) || 'tail'"""
+# Composed alike in both engines: whole texts with markers, headings and captions before, between and after them.
+_FLAT = "replace(text, chr(10), ' ')"
+_MARKED = f"""'intro ' || text || chr(10) || '**[Image - pdf_page #' || (doc_id % 3) || ', "Page"]**' || chr(10) || {_FLAT} || chr(10) || chr(10) || chr(10) || 'mid ' || text || chr(10) ||
+'**[Image - pptx_slide #1]**' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Logo: ' ELSE 'cap ' END || {_FLAT} || chr(10) || chr(10) || 'tail' || chr(10) || '**[Image - pptx_slide #1]**' || chr(10) ||
+CASE WHEN doc_id % 2 = 0 THEN 'x ' ELSE 'cap ' END || {_FLAT} || chr(10) || chr(10) || 'tail'"""
 
 
 def _marked(spark, sf):
@@ -382,8 +379,8 @@ def dedupe_markers(spark, sf):
     return _marked(spark, sf).select("doc_id", M.dedupe_markers(F.col("md")).alias("md"))
 
 
-_HEADED = f"""'# ' || CASE WHEN doc_id % 2 = 0 THEN 'THE ART OF X' || (doc_id % 10) || ' AND MORE' ELSE 'Mixed Case' END || chr(10) || chr(10) || '## ' || {_W.format(1)} || chr(10) || chr(10) ||
-CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'between' || chr(10) END || '## ' || {_W.format(2)} || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '```' || chr(10) || '# Second' || chr(10) || 'end' || chr(10)"""
+_HEADED = f"""'# ' || CASE WHEN doc_id % 2 = 0 THEN 'THE ART OF X' || (doc_id % 10) || ' AND MORE' ELSE 'Mixed Case' END || chr(10) || chr(10) || '## ' || {_FLAT} || chr(10) || chr(10) ||
+CASE WHEN doc_id % 3 = 0 THEN '' ELSE text || chr(10) END || '## ' || {_FLAT} || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || text || chr(10) || '```' || chr(10) || '# Second' || chr(10) || text || chr(10) || '# Third' || chr(10) || 'end' || chr(10)"""
 
 
 def _headed(spark, sf):
@@ -400,7 +397,7 @@ def collapse_h1(spark, sf):
     return _headed(spark, sf).select("doc_id", M.keep_one_h1(F.col("md")).alias("md"))
 
 
-@query(f"""WITH {_LINES}, k AS (SELECT *, NOT fenced AND starts_with(line, '## ') AS h2, NOT fenced AND regexp_matches(line, '^[^#\\s]') AS content FROM f),
+@query(f"""WITH {_LINES}, k AS (SELECT *, NOT fenced AND starts_with(line, '## ') AS h2, NOT fenced AND regexp_matches(line, '\\S') AND NOT regexp_matches(line, '^\\s*#') AS content FROM f),
 g AS (SELECT *, sum(content::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM k),
 m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run, h2 ORDER BY i) AS n FROM g)
 SELECT doc_id, string_agg(CASE WHEN h2 AND n % 2 = 0 THEN '#' || line ELSE line END, chr(10) ORDER BY i) || chr(10) AS md FROM m GROUP BY doc_id""")
@@ -424,30 +421,28 @@ def emu_px_round(spark, sf):
 @query("""SELECT coalesce(source, 'TOTAL') AS sample, CAST(sum(strlen(text)) AS BIGINT) AS raw_bytes, CAST(sum(strlen(replace(text, chr(10), ''))) AS BIGINT) AS clean_bytes,
 round(100.0 * (sum(strlen(text)) - sum(strlen(replace(text, chr(10), '')))) / sum(strlen(text)), 1) AS saved_pct FROM documents GROUP BY ROLLUP(source)""")
 def size_report_rollup(spark, sf):
-    from ..operators.reports import size_report
-
     rows = table(spark, sf, "documents").select("source", F.octet_length("text").alias("raw"), F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))).alias("clean"))
-    return size_report(rows, "source", "raw", "clean")
+    return reports.size_report(rows, "source", "raw", "clean")
 
 
 @query(_PARAS + f""", ir AS (SELECT page_id, sum(length(text)) AS c FROM t WHERE regexp_matches(text, '\\S') GROUP BY page_id),
 raw AS (SELECT page_id, length({_sql_unescape("regexp_replace(" + _CLEAN_HTML + ", '<[^>]*>', '', 'g')")}) AS r FROM pages)
 SELECT page_id, CAST(coalesce(c, 0) AS BIGINT) AS ir_chars, CAST(r AS BIGINT) AS raw_chars, round(CASE WHEN r = 0 THEN 0 ELSE 100.0 * coalesce(c, 0) / r END, 1) AS coverage_pct, CASE WHEN coalesce(c, 0) * 2 < r THEN 'text under-capture' ELSE 'OK' END AS notes FROM raw LEFT JOIN ir USING (page_id)""")
 def coverage_audit(spark, sf):
-    from ..operators.reports import coverage
-
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", ""), r"(?s)<!--.*?-->", ""), "<[^>]*>", "")
     for a, b in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(a), F.lit(b))
     raw = table(spark, sf, "pages").select("page_id", F.length(bare).cast("long").alias("raw_chars"))
     b = blocks_of(pages_parsed(spark, sf)).filter("type = 'paragraph' and list_kind is null")
     ir = b.groupBy(F.col("doc_id").alias("page_id")).agg(F.sum(F.length(render.plain_text(F.col("runs")))).cast("long").alias("ir_chars"))
-    return coverage(raw, ir, "page_id")
+    return reports.coverage(raw, ir, "page_id")
 
 
-@query("SELECT conv_id AS doc_id, count(*) AS chunk_count, count(*) FILTER (WHERE role = 'user') AS image_count, count(*) FILTER (WHERE role = 'assistant') AS caption_count FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS doc_id, CAST(count(*) AS VARCHAR) AS chunk_count, CAST(count(*) FILTER (WHERE (turn + conv_id) % 8 = 5) AS VARCHAR) AS image_count FROM conversations GROUP BY conv_id")
 def convert_metadata(spark, sf):
-    return table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("chunk_count"), F.count_if(F.col("role") == "user").alias("image_count"), F.count_if(F.col("role") == "assistant").alias("caption_count"))
+    """Every slide is a chunk of its own under a cap of one token."""
+    done = convert(extract(files(spark, sf, "pptx")), ConvertOptions(max_chunk_tokens=1))
+    return done.select("doc_id", F.col("metadata")["chunk_count"].alias("chunk_count"), F.col("metadata")["image_count"].alias("image_count"))
 
 
 @query("SELECT doc_id AS ref, lang AS label, 'doc' AS kind FROM documents UNION ALL SELECT page_id, NULL, 'page' FROM pages")
@@ -456,39 +451,61 @@ def union_refs(spark, sf):
     return refs.union_refs(a, table(spark, sf, "pages").select(F.col("page_id").alias("ref"), F.lit("page").alias("kind")))
 
 
-@query("SELECT lang, left(text, 12) AS line, count(DISTINCT source) AS n_units FROM documents GROUP BY lang, left(text, 12) HAVING count(DISTINCT source) >= 2")
+@query("""WITH e AS (SELECT lang, doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+x AS (SELECT lang, doc_id, l[1] AS line FROM e UNION SELECT lang, doc_id, l[-1] FROM e)
+SELECT lang, line, count(DISTINCT doc_id) AS n_units FROM x GROUP BY lang, line HAVING count(DISTINCT doc_id) >= 2""")
 def repeated_edges(spark, sf):
-    from ..operators.reports import repeated_edges as f
+    """First and last lines that several documents of a language share."""
+    rows = table(spark, sf, "documents").select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return reports.repeated_edges(rows, "lang", "doc_id", "n", "line")
 
-    rows = table(spark, sf, "documents").select("lang", "source", F.col("doc_id").alias("n"), F.substring("text", 1, 12).alias("line"))
-    # The first words of every document stand in for its edge; a source is the unit.
-    edges = f(rows.withColumn("n", F.lit(0)), "lang", "source", "n", "line")
-    return edges.select("lang", "line", "n_units")
 
+_TITLED = "CASE WHEN doc_id % 4 = 0 THEN '# Own' || chr(10) ELSE '' END || text"
 
-@query(f"""SELECT page_id, CASE WHEN t = '' THEN b ELSE '# ' || t || chr(10) || chr(10) || b END AS md FROM (SELECT page_id, trim({_sql_unescape("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS t, 'body ' || page_id AS b FROM pages)""")
-def title_added(spark, sf):
-    from ..operators.polish import with_title
 
-    return pages_parsed(spark, sf).select(F.col("doc_id").alias("page_id"), with_title(F.concat(F.lit("body "), F.col("doc_id")), F.col("title")).alias("md"))
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(md, '^\\s*# ') OR trim(coalesce(source, '')) = '' THEN md ELSE '# ' || trim(source) || chr(10) || chr(10) || md END AS md FROM (SELECT doc_id, source, {_TITLED} AS md FROM documents)")
+def title_added(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", polish.with_title(F.expr(_TITLED), F.col("source")).alias("md"))
 
 
-@query("""WITH m AS (SELECT doc_id, doc_id % 3 AS k FROM documents)
-SELECT doc_id, CASE k WHEN 0 THEN 'is a data tool' WHEN 1 THEN 'an open base' ELSE 'the engine works' END AS md FROM m""")
+@query("SELECT doc_id, 'This is an open base, a data tool. ' || text || ' The engine, ' || text || ' works' AS md FROM documents")
 def fluff_removed(spark, sf):
-    from ..operators.polish import without_fluff
+    text = F.expr("'This is a robust, innovative open base, a powerful data tool. ' || text || ' The seamless engine, ' || text || ' rich works'")
+    return table(spark, sf, "documents").select("doc_id", polish.without_fluff(text).alias("md"))
+
+
+_BARE = "regexp_replace(trim({}), '[0-9]+', '0', 'g')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, regexp_replace(array_to_string(list_filter(l, lambda x: trim(x) = '' OR {_BARE.format('x')} <> {_BARE.format('l[1]')}), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g') AS md FROM d""")
+def edge_lines_removed(spark, sf):
+    """Every document without the lines that equal its first one, numbers aside."""
+    return table(spark, sf, "documents").select("doc_id", polish.without_lines(F.col("text"), F.slice(F.split("text", "\n"), 1, 1)).alias("md"))
+
+
+@query("""WITH t AS (SELECT conv_id AS doc_id, (turn + conv_id) % 8 AS k FROM conversations)
+SELECT doc_id, CAST(count(*) FILTER (WHERE k = 7) AS BIGINT) AS n_images, CAST(count(*) FILTER (WHERE k = 7) AS INTEGER) AS n_markers, 0 AS repeated_markers, CAST(count(*) FILTER (WHERE k = 0 AND doc_id % 6 > 0) AS INTEGER) AS skipped_levels, TRUE AS complete FROM t GROUP BY doc_id""")
+def review_markdown(spark, sf):
+    docs = extract(files(spark, sf, "markdown"))
+    return reports.review(blocks_of(docs), convert(docs, ConvertOptions(keep_image_markers=True)))
 
-    k = F.col("doc_id") % 3
-    text = F.when(k == 0, "is a powerful data tool").when(k == 1, "a robust, innovative open base").otherwise("the seamless engine works")
-    return table(spark, sf, "documents").select("doc_id", without_fluff(text).alias("md"))
 
+@query("""SELECT conv_id AS doc_id, 'img_0' AS image_id, 'md_section' AS container_kind, 1 AS container_index, 'alt ' || turn AS alt_text, left(trim(left(replace(text, chr(10), ' ') || ' ', 200) || ' last'), 500) AS context_text
+FROM conversations WHERE (turn + conv_id) % 8 = 7""")
+def image_references(spark, sf):
+    refs_ = image_refs(extract(files(spark, sf, "markdown")))
+    return refs_.select("doc_id", "image_id", "container_kind", "container_index", "alt_text", "context_text")
 
-@query(f"""SELECT page_id, 0 AS n_images, 0 AS n_markers, 0 AS repeated_markers, 0 AS skipped_levels, TRUE AS complete FROM pages""")
-def review_pages(spark, sf):
-    from ..operators.reports import review
 
-    parsed = pages_parsed(spark, sf)
-    return review(blocks_of(parsed), convert(parsed)).withColumnRenamed("doc_id", "page_id")
+@query("""SELECT conv_id AS doc_id, 'img_1' AS image_id, CASE WHEN conv_id % 2 = 0 THEN 'picture of ' || octets ELSE '' END AS said FROM (SELECT DISTINCT conv_id, CASE conv_id % 3 WHEN 0 THEN 'seen ' WHEN 1 THEN 'titled ' ELSE 'named ' END || conv_id AS octets FROM conversations)""")
+def captions_in_markdown(spark, sf):
+    """What stands under the image's marker in the whole conversion: the caption that a captioner gave, else the alt text."""
+    docs = extract(files(spark, sf, "docx"))
+    captioner = lambda refs_: refs_.filter("doc_id % 2 = 0 and content is not null").select("doc_id", "image_id", F.concat(F.lit("picture of "), F.col("alt_text")).alias("caption"))
+    done = convert(docs, ConvertOptions(captioner=captioner, keep_image_markers=True))
+    said = F.regexp_extract("markdown", r"(?m)^\*\*\[Image - docx_section #1\]\*\*\n(picture of .*)$", 1)
+    return done.select("doc_id", F.lit("img_1").alias("image_id"), said.alias("said"))
 
 
 @query()

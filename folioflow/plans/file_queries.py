@@ -283,6 +283,14 @@ def pdf_metadata(spark, sf):
     return _docs(spark, sf, "pdf").select("doc_id", F.explode("meta").alias("key", "value")).filter("key <> 'outline'")
 
 
+@query(f"""WITH {_T}, p AS (SELECT doc_id, i + 1 AS page, unnest(CASE k WHEN 5 THEN ['_1', '_2'] ELSE [''] END) AS occ, k, CAST(1 + c % 5 AS INTEGER) AS w FROM t WHERE k IN (5, 6))
+SELECT doc_id, page, 'img_p' || page || '_1' || occ AS id, 'raw_images/img_p' || page || '_1.png' AS path, w, 2 AS h, CASE occ WHEN '_1' THEN 120.0 WHEN '_2' THEN 8.0 ELSE 0.0 END::DOUBLE AS "left",
+CASE occ WHEN '_1' THEN 636.0 WHEN '_2' THEN 1012.0 ELSE 1016.0 END::DOUBLE AS top, CASE occ WHEN '_1' THEN 40.0 WHEN '_2' THEN 16.0 ELSE 80.0 END::DOUBLE AS width, CASE occ WHEN '_1' THEN 20.0 WHEN '_2' THEN 32.0 ELSE 40.0 END::DOUBLE AS height FROM p""")
+def pdf_images(spark, sf):
+    b = _blocks(spark, sf, "pdf").filter("type = 'image'")
+    return b.select("doc_id", F.col("unit_index").alias("page"), "image.id", F.col("image.relative_path").alias("path"), F.col("image.width_px").alias("w"), F.col("image.height_px").alias("h"), "bbox.left", "bbox.top", "bbox.width", "bbox.height")
+
+
 @query(f"""WITH {_T}, o AS (SELECT doc_id, i * 2 AS place, 1 AS level, role || ' ' || turn AS title, i + 1 AS page FROM t UNION ALL SELECT doc_id, 1, 2, 'inner', -1 FROM t WHERE i = 0)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS pos, level, title, page FROM o""")
 def pdf_outline(spark, sf):

@@ -7,7 +7,6 @@ is (turn + conv_id) % 8; it picks what the turn becomes in a file.
 from __future__ import annotations
 
 import io
-import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -17,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.model import write_png
 from ..sources.ooxml import NS
 
 _XMLNS = " ".join(f'xmlns:{k}="{v}"' for k, v in NS.items())
@@ -25,8 +25,7 @@ _MAIN = f'xmlns="{NS["s"]}" xmlns:r="{NS["r"]}"'
 
 def png(width: int, height: int) -> bytes:
     """A black picture."""
-    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress((b"\0" + b"\0" * width) * height)) + part(b"IEND", b"")
+    return write_png(width, height, 1, bytes(width * height))
 
 
 def _zip(members: dict[str, str | bytes]) -> bytes:
@@ -205,16 +204,22 @@ def xlsx(conv: int, turns: list[dict]) -> bytes:
 
 
 def pdf(conv: int, turns: list[dict]) -> bytes:
-    """A page for each turn: the role in large letters, the text's lines in small ones, a link of a kind by k; metadata and an outline."""
+    """A page for each turn: the role in large letters, the text's lines in small ones, a link of a kind or images by k; metadata and an outline."""
     shown = lambda x: b"(" + x.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b")"
     objects: dict[int, bytes] = {}
     pages = [10 + 10 * i for i in range(len(turns))]
     for i, (n, t) in enumerate(zip(pages, turns)):
         k = (t["turn"] + conv) % 8
         lines = b" ".join(b"0 -12 Td " + shown(x) + b" Tj" for x in t["text"].split("\n"))
-        body = zlib.compress(b"BT /F1 20 Tf 72 740 Td " + shown(f"{t['role']} {t['turn']}") + b" Tj ET BT /F1 10 Tf 72 700 Td " + lines + b" ET")
+        drawn = b"q 30 0 0 15 90 300 cm /Im Do Q q 1 0 0 1 6 9 cm 12 0 0 24 0 0 cm /Im Do Q " if k == 5 else b"q 60 0 0 30 0 0 cm /Im Do Q /Jp Do " if k == 6 else b""
+        body = zlib.compress(drawn + b"BT /F1 20 Tf 72 740 Td " + shown(f"{t['role']} {t['turn']}") + b" Tj ET BT /F1 10 Tf 72 700 Td " + lines + b" ET")
         target = {0: b"/A <</S /URI /URI " + shown(f"https://example.org/c/{conv}") + b">>", 1: b"/Dest [%d 0 R /Fit]" % pages[0], 2: b"/A <</S /GoTo /D [%d 0 R /Fit]>>" % pages[-1], 3: b"/A <</S /Launch /F (a.txt)>>", 4: b"/A <</S /Named /N /NextPage>>"}.get(k)
-        objects[n] = b"<</Type /Page /MediaBox [0 0 612 792] /Contents %d 0 R%s>>" % (n + 1, b" /Annots [%d 0 R]" % (n + 2) if target else b"")
+        objects[n] = b"<</Type /Page /MediaBox [0 0 612 792] /Contents %d 0 R%s%s>>" % (n + 1, b" /Annots [%d 0 R]" % (n + 2) if target else b"", b" /Resources <</Font <</F1 6 0 R>> /XObject <</Im %d 0 R /Jp %d 0 R>>>>" % (n + 4, n + 5) if drawn else b"")
+        if drawn:
+            wide = 1 + conv % 5
+            samples = zlib.compress(bytes(wide * 2 * (3 if k == 5 else 1)))
+            objects[n + 4] = b"<</Subtype /Image /Width %d /Height 2 /BitsPerComponent 8 /ColorSpace %s /Filter /FlateDecode /Length %d>>\nstream\n" % (wide, b"/DeviceRGB" if k == 5 else b"/DeviceGray", len(samples)) + samples + b"\nendstream"
+            objects[n + 5] = b"<</Subtype /Image /Width 1 /Height 1 /Filter /JPXDecode>>\nstream\nx\nendstream"
         objects[n + 1] = b"<</Length %d /Filter /FlateDecode>>\nstream\n" % len(body) + body + b"\nendstream"
         if target:
             objects[n + 2] = b"<</Subtype /Link " + target + b">>"

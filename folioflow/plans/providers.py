@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Protocol
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame
 
 from ..operators.refs import NO_CAPTION
 
+#: Characters of the chunk before that a renderer sees.
+TAIL = 1000
 #: What stands for an image whose bytes are missing, and for a drawing no vision model reads.
 NOT_FOUND, NO_SVG = "[Image: not found]", "[SVG diagram: caption unavailable]"
 
@@ -62,7 +65,8 @@ def with_retries(call: Callable[[], str], attempts: int, fallback: str, sleep=ti
         try:
             return call()
         except Exception:  # a model may fail in any way; a document must not be lost for it
-            sleep(2**k)
+            if k + 1 < attempts:
+                sleep(2**k)
     return fallback
 
 
@@ -82,14 +86,14 @@ def context_of(ref: dict, options: ModelOptions) -> str:
     return "\n".join([*lines, f"Language of generated words: {language}"])
 
 
-_WORKER: dict[int, object] = {}
+_WORKER: dict[str, object] = {}
 
 
-def _model(options: ModelOptions):
-    key = hash((options.make.__module__, options.make.__qualname__))
-    if key not in _WORKER:
-        _WORKER[key] = options.make()
-    return _WORKER[key]
+def _model(name: str, options: ModelOptions):
+    """The worker's model of one captioner or renderer, made when it is first needed."""
+    if name not in _WORKER:
+        _WORKER[name] = options.make()
+    return _WORKER[name]
 
 
 def captioner(options: ModelOptions) -> Callable[[DataFrame], DataFrame]:
@@ -100,6 +104,8 @@ def captioner(options: ModelOptions) -> Callable[[DataFrame], DataFrame]:
     """
     from ..sources.model import is_svg
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pacer = Pacer(options.requests_per_minute, options.tasks)
         for batch in batches:
@@ -112,7 +118,7 @@ def captioner(options: ModelOptions) -> Callable[[DataFrame], DataFrame]:
                     said.append(alt or NO_SVG)
                 else:
                     pacer.wait()
-                    said.append(with_retries(lambda r=ref, b=blob: join_content(_model(options).caption(context_of(r, options), b)).strip(), options.attempts, alt or NO_CAPTION))
+                    said.append(with_retries(lambda r=ref, b=blob: join_content(_model(name, options).caption(context_of(r, options), b)).strip(), options.attempts, alt or NO_CAPTION))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string())], names=["doc_id", "image_id", "caption"])
 
     wanted = ["doc_id", "image_id", "container_kind", "container_index", "label", "alt_text", "context_text", "content"]
@@ -120,16 +126,24 @@ def captioner(options: ModelOptions) -> Callable[[DataFrame], DataFrame]:
 
 
 def renderer(options: ModelOptions) -> Callable[[DataFrame], DataFrame]:
-    """A renderer for ``ConvertOptions``: rewrites each chunk, knowing the end of the one before; a chunk that fails stays as it was."""
+    """A renderer for ``ConvertOptions``: rewrites each chunk, knowing the end of the one before as it was rendered; a chunk that fails stays as it was.
+
+    The chunks of a document are rendered one after the other in one task, ``tasks`` documents at a time.
+    """
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pacer = Pacer(options.requests_per_minute, options.tasks)
+        doc, tail = object(), ""
         for batch in batches:
             at = batch.schema.get_field_index("markdown")
             out = []
-            for row in batch.select(["markdown", "previous_tail"]).to_pylist():
+            for row in batch.select(["doc_id", "markdown"]).to_pylist():
+                if row["doc_id"] != doc:
+                    doc, tail = row["doc_id"], ""
                 pacer.wait()
-                out.append(with_retries(lambda r=row: _model(options).render(r["markdown"], r["previous_tail"] or ""), options.attempts, row["markdown"]))
+                out.append(with_retries(lambda r=row, t=tail: _model(name, options).render(r["markdown"], t), options.attempts, row["markdown"]))
+                tail = out[-1][-TAIL:]
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.string()))
 
-    return lambda chunks: chunks.repartition(options.tasks).mapInArrow(run, chunks.schema)
+    return lambda chunks: chunks.repartition(options.tasks, "doc_id").sortWithinPartitions("doc_id", "chunk_index").mapInArrow(run, chunks.schema)

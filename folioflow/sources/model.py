@@ -6,6 +6,7 @@ import base64
 import binascii
 import re
 import struct
+import zlib
 from dataclasses import dataclass, field
 
 RUN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,code:boolean,hyperlink:string>"
@@ -86,6 +87,14 @@ def image_size(blob: bytes) -> tuple[int, int]:
     return 0, 0
 
 
+def write_png(width: int, height: int, bands: int, data: bytes) -> bytes:
+    """A PNG file of grey (one band) or RGB (three) samples of 8 bits."""
+    row = width * bands
+    lines = b"".join(b"\0" + data[k * row : (k + 1) * row] for k in range(height))
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2 if bands == 3 else 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
 def is_svg(blob: bytes) -> bool:
     head = blob[:512].lstrip().lower()
     return head.startswith(b"<svg") or head.startswith(b"<?xml") and b"<svg" in head

@@ -1,6 +1,7 @@
-"""PDF files, as far as the standard library goes: text operators of Flate-coded content streams, links, outline, metadata.
+"""PDF files, as far as the standard library goes: text and image operators of Flate-coded content streams, links, outline, metadata.
 
-No page is rendered, and fonts with their own encodings (CID fonts) are not decoded: both are noted in the warnings.
+No page is rendered, and fonts with their own encodings (CID fonts) are not decoded: both are noted in the warnings. Images
+are JPEG files as they are, or grey and RGB samples of 8 bits, which are written as PNG; others are noted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ import re
 import statistics
 import zlib
 
-from .model import Parsed, block, run
+from .model import Parsed, block, keep_image, run, write_png
 from .ooxml import pack
 
 _OBJ = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
@@ -61,6 +62,37 @@ class _File:
         for (num, a), b in zip(starts, [x for _, x in starts[1:]] + [len(data)]):
             self.objects.setdefault(num, data[a:b])
 
+    def inner(self, body: bytes, key: bytes) -> bytes:
+        """The dictionary under a key, in place or by reference; empty without one."""
+        m = re.search(rb"/" + key + rb"\s*(?:(\d+)\s+\d+\s+R|(?=<<))", body)
+        if not m:
+            return b""
+        if m[1]:
+            return self.objects.get(int(m[1]), b"")
+        depth, at = 0, m.end()
+        for x in re.finditer(rb"<<|>>", body[m.end() :]):
+            depth += 1 if x[0] == b"<<" else -1
+            if depth == 0:
+                at = m.end() + x.end()
+                break
+        return body[m.end() : at]
+
+    def image(self, n: int) -> bytes | None:
+        """An image object as a JPEG or PNG file; None where its coding is not known."""
+        body = self.objects.get(n, b"")
+        head = body[: body.find(b"stream")]
+        number = lambda key: int(m[1]) if (m := re.search(rb"/" + key + rb"\s+(\d+)", head)) else 0
+        if b"/DCTDecode" in head and b"/FlateDecode" not in head:
+            m = _STREAM.search(body)
+            return m[1] if m else None
+        kinds = {b"/DeviceGray": 1, b"/DeviceRGB": 3}
+        bands = next((v for k, v in kinds.items() if k in head), 0)
+        w, h = number(b"Width"), number(b"Height")
+        data = self.data(body)
+        if not bands or number(b"BitsPerComponent") != 8 or b"/Predictor" in head or re.search(rb"/(?:JPX|CCITTFax|JBIG2|LZW|RunLength)", head) or len(data) < w * h * bands:
+            return None
+        return write_png(w, h, bands, data)
+
     def refs(self, body: bytes, key: bytes) -> list[int]:
         m = re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
         return [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if m else []
@@ -150,6 +182,55 @@ def _spans(data: bytes) -> list[tuple[float, float, float, str]]:
     return out
 
 
+def _placed(data: bytes) -> list[tuple[bytes, tuple[float, float, float, float]]]:
+    """(name, x0, y0, x1, y1) of every XObject drawn, from the matrix operators."""
+    out, stack, saved, ctm = [], [], [], (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+    for m in _TOKEN.finditer(data):
+        t = m[0]
+        if t == b"q":
+            saved.append(ctm)
+        elif t == b"Q":
+            ctm = saved.pop() if saved else ctm
+        elif t == b"cm" and len(stack) >= 6 and all(isinstance(x, float) for x in stack[-6:]):
+            a, b, c, d, e, f = stack[-6:]
+            A, B, C, D, E, F_ = ctm
+            ctm = (a * A + b * C, a * B + b * D, c * A + d * C, c * B + d * D, e * A + f * C + E, e * B + f * D + F_)
+        elif t == b"Do" and stack and isinstance(stack[-1], bytes):
+            a, b, c, d, e, f = ctm
+            xs, ys = (e, e + a, e + c, e + a + c), (f, f + b, f + d, f + b + d)
+            out.append((stack[-1][1:], (min(xs), min(ys), max(xs), max(ys))))
+        if t[:1] in b"+-.0123456789":
+            stack.append(float(t))
+        elif t[:1] == b"/":
+            stack.append(t)
+        else:
+            stack.clear()
+    return out
+
+
+def _images(f: _File, page: bytes, data: bytes, n: int, height: float, out: Parsed) -> None:
+    """A block for every place of every image of a page; places of one image share its file."""
+    spots: dict[bytes, list] = {}
+    for name, box in _placed(data):
+        spots.setdefault(name, []).append(box)
+    count = 0
+    for name, num in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", f.inner(f.inner(page, b"Resources"), b"XObject")):
+        if not re.search(rb"/Subtype\s*/Image", f.objects.get(int(num), b"")):
+            continue
+        count += 1
+        blob = f.image(int(num))
+        if blob is None:
+            out.warnings.append(f"Page {n}: image #{count} extract failed: coding not known")
+            continue
+        name_, path = f"img_p{n}_{count}", f"raw_images/img_p{n}_{count}.png"
+        w, h = keep_image(out, path, blob)
+        boxes = spots.get(name) or [None]
+        for k, box in enumerate(boxes, 1):
+            image = {"id": name_ if len(boxes) == 1 else f"{name_}_{k}", "relative_path": path, "width_px": w, "height_px": h, "container_kind": "pdf_page", "container_index": n, "label": f"Page {n}", "fetch_status": "ok"}
+            place = {"left": round(box[0] * PX, 1), "top": round((height - box[3]) * PX, 1), "width": round((box[2] - box[0]) * PX, 1), "height": round((box[3] - box[1]) * PX, 1)} if box else None
+            out.add(block("image", image=image, bbox=place), unit_kind="page", unit_index=n)
+
+
 def _text_blocks(spans, height: float) -> list[dict]:
     """Lines of one height, then blocks of lines close to each other, top-down."""
     lines: list[list] = []
@@ -179,7 +260,7 @@ def _text_blocks(spans, height: float) -> list[dict]:
 
 
 def parse_pdf(content: bytes) -> Parsed:
-    """Pages with text blocks in reading order, link annotations, metadata, outline and whether the document is a scan."""
+    """Pages with text blocks in reading order, images, link annotations, metadata, outline and whether the document is a scan."""
     f, out = _File(content), Parsed("pdf")
     densities = []
     pages = f.pages()
@@ -194,6 +275,7 @@ def parse_pdf(content: bytes) -> Parsed:
         for b in blocks:
             likely = b["size"] > 1.15 * median
             out.add(block("text", runs=[run(b["text"])], content=b["text"], bbox=b["bbox"], payload=pack({"font_size": round(b["size"], 2), "likely_heading": likely})), unit_kind="page", unit_index=n)
+        _images(f, page, data, n, y1 - y0, out)
         links = []
         for r in f.refs(page, b"Annots"):
             body = f.objects.get(r, b"")

@@ -128,6 +128,7 @@ def test_tree_levels(spark):
     edges = [("d", "0", "1", 0, 0), ("d", "1", "2", 5, 1), ("d", "1", "3", 1, 2), ("d", "3", "1", 0, 3), ("d", "1", "9", 0, 4), ("e", "x", "y", 0, 0), ("e", "y", "y", 0, 1)]
     rows = trees.tree_levels(spark.createDataFrame(nodes, "diagram string, node string, type string, text string, pos int"), spark.createDataFrame(edges, "diagram string, parent string, child string, ord int, pos int")).orderBy("diagram", "path").collect()
     assert [(r["text"], r["level"]) for r in rows] == [("Root", 0), ("A", 1), ("B", 1), ("X", 0), ("Y", 1)]
+    assert {r["node"] for r in trees.roots(spark.createDataFrame([("d", "a"), ("d", "b")], "diagram string, node string"), spark.createDataFrame([("d", "a", "b")], "diagram string, parent string, child string")).collect()} == {"a"}
 
 
 def test_refs_and_captions(spark):

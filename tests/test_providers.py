@@ -27,7 +27,7 @@ def test_pacer_and_retries():
     for _ in range(3):
         p.wait()
     assert slept == [2.0, 2.0]
-    assert with_retries(lambda: 1 / 0, 3, "f", sleep=slept.append) == "f" and slept[2:] == [1, 2, 4]
+    assert with_retries(lambda: 1 / 0, 3, "f", sleep=slept.append) == "f" and slept[2:] == [1, 2]
     assert ModelOptions(Echo).paced(9).requests_per_minute == 9 and ModelOptions(Echo, requests_per_minute=3).paced(9).requests_per_minute == 3
     assert join_content("a") == "a" and "Label: L" in context_of({"container_kind": "k", "container_index": 1, "label": "L"}, ModelOptions(Echo))
 
@@ -41,7 +41,10 @@ def test_captioner(spark):
 
 def test_renderer(spark):
     chunks = spark.createDataFrame([(1, 0, "m", None), (1, 1, "n", "m")], "doc_id long, chunk_index int, markdown string, previous_tail string")
-    assert [r["markdown"] for r in renderer(ModelOptions(Echo))(chunks).orderBy("chunk_index").collect()] == ["m|", "n|m"]
+    assert [r["markdown"] for r in renderer(ModelOptions(Echo))(chunks).orderBy("chunk_index").collect()] == ["m|", "n|m|"]
+    # Two renderers of one function have a model each.
+    makes = [lambda k=k: type("Said", (), {"render": lambda self, md, tail: f"{k}{md}"})() for k in (1, 2)]
+    assert [renderer(ModelOptions(m, tasks=1))(chunks).orderBy("chunk_index").first()["markdown"] for m in makes] == ["1m", "2m"]
 
 
 def test_polish(spark):
@@ -60,4 +63,6 @@ def test_sinks_and_audit(spark, tmp_path):
     raw = spark.createDataFrame([(1, 1, 1, 0, 4), (2, 0, 0, 0, 0)], "doc_id long, n_headings int, n_images int, n_tables int, n_chars int")
     report = reports.audit(blocks_of(docs), raw)
     assert {r["doc_id"]: (r["coverage_pct"], r["notes"]) for r in report.collect()} == {1: (100.0, "img diff"), 2: (0.0, "OK")}
-    assert reports.audit_markdown(report).first()[0].endswith("| 1 | 100.0 | img diff |\n| 2 | 0.0 | OK |")
+    assert [r["line"] for r in reports.audit_markdown(report).collect()] == ["| doc_id | coverage % | notes |", "| --- | --- | --- |", "| 1 | 100.0 | img diff |", "| 2 | 0.0 | OK |"]
+    sizes = spark.createDataFrame([("a", 4, 2), (None, 2, 2)], "k string, raw long, clean long")
+    assert {r["sample"]: r["raw_bytes"] for r in reports.size_report(sizes, "k", "raw", "clean").collect()} == {"a": 4, None: 2, "TOTAL": 6}
