@@ -19,7 +19,12 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 @dataclass(frozen=True)
 class FtrlParams:
-    """``max_rows`` bounds the labelled rows that training reads: those with the smallest hashes of doc_id."""
+    """``max_rows`` bounds the labelled rows that training reads: those with the smallest hashes of doc_id.
+
+    ``epochs`` was chosen within the rows that labels may be learnt from: trained on those whose crc32 leaves 0 or 1 and
+    measured on those that leave 3, the accuracy grows up to 8 to 10 passes (0.960, 0.981, 0.997, 0.998, 0.998 after 1, 3, 5,
+    8, 10 over 300 rows; 0.997 and 0.999 after 1 and 2 over 2,033).
+    """
 
     bits: int = 18
     alpha: float = 0.3
@@ -48,8 +53,8 @@ def _token_hashes(tokens: list[str]) -> np.ndarray:
 def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a text: its word unigrams and bigrams, hashed, with damped counts of unit length. Slot 0 is the bias.
 
-    A word in capitals is marked, and one that repeats the word one or two before it becomes a repetition sign, so that
-    habits carry over to words never seen.
+    These are no plain n-grams: all words in capitals are one word, and a word that repeats the one or two before it becomes
+    a repetition sign, so that habits carry over to words never seen.
     """
     tokens = _TOKEN.findall(text or "")
     if tokens:
