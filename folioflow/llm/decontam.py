@@ -18,33 +18,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .align import banded_distance, edit_limit
-from .common import plain_words, slices
+from .common import SLICE_ROWS, plain_words, slices
 
 
 @dataclass(frozen=True)
 class DecontamParams:
-    """``walks`` random walks, each with ``repeats`` keys of ``bits`` sampled steps.
+    """``repeats`` keys of ``bits`` sampled steps for each random walk of an item; ``walks`` tells how many walks that are.
 
     Items whose lengths differ by less than ``band`` share their sampled steps, which lie in the first ``reach`` steps for
-    each word of the shortest. ``block_bytes`` bounds the items that one pass over the documents holds; a larger
-    benchmark takes several passes.
+    each word of the shortest, ``most_steps`` at most. Items under ``exact_words`` words have no walks: their unbroken parts
+    are looked up. Items under ``min_words`` words are left out. ``block_bytes`` bounds the items that one pass over the
+    documents holds; a larger benchmark takes several passes with the same result. ``cells`` bounds what is embedded at once.
     """
 
     similarity: float = 0.8
-    min_words: int = 8
-    walks: int = 5
+    min_words: int = 1
+    exact_words: int = 8
     repeats: int = 12
-    bits: int = 5
+    bits: int = 3
     band: float = 1.25
-    reach: float = 1.5
+    reach: float = 1.0
+    most_steps: int = 120
     seed: int = 41
     block_bytes: int = 8 << 20
+    cells: int = 1 << 17
+
+    def walks(self, words: int) -> int:
+        """Measured so that 0.95 and more of the windows at the similarity limit meet, and more below it."""
+        return 8 if words <= 32 else 12 if words <= 64 else 16
 
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _TABLE_BITS = 22
-#: Windows embedded at once.
-_CHUNK = 2048
 
 
 def _mix(x):
@@ -88,8 +93,18 @@ class ItemIndex:
             self.pairs[self._slot(a[:-1], a[1:])] = True
         self.items.sort(key=lambda x: (len(x[1]), x[0] is None, x[0] or 0, x[1]))
         self.longest = len(self.items[-1][1]) if self.items else 0
-        self.bands = []
         at = 0
+        #: Length of a part -> (its sorted hashes, the item and the part's place in it for each).
+        self.parts: dict[int, tuple[np.ndarray, list[tuple[int, int]]]] = {}
+        found: dict[int, list] = {}
+        while at < len(self.items) and len(self.items[at][1]) < p.exact_words:
+            for offset, part in self._split(self.items[at][1]):
+                found.setdefault(len(part), []).append((int(self._run(np.array(part, np.int64), len(part))[0]), at, offset))
+            at += 1
+        for size, rows in found.items():
+            rows.sort()
+            self.parts[size] = (np.array([h for h, _, _ in rows], np.uint64), [(k, o) for _, k, o in rows])
+        self.bands = []
         while at < len(self.items):
             low = len(self.items[at][1])
             stop = at
@@ -98,20 +113,36 @@ class ItemIndex:
             self.bands.append(self._band(at, stop))
             at = stop
 
+    def _split(self, ids: list[int]) -> list[tuple[int, list[int]]]:
+        """The item in one part more than it may have edits: one part at least stands unbroken in any window within the limit."""
+        n = edit_limit(len(ids), self.p.similarity) + 1
+        cuts = [len(ids) * k // n for k in range(n + 1)]
+        return [(a, ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+    @staticmethod
+    def _run(ids: np.ndarray, size: int) -> np.ndarray:
+        """A hash of every run of ``size`` ids."""
+        h = np.zeros(len(ids) - size + 1, np.uint64)
+        for k in range(size):
+            h = _mix(h * _A + ids[k : len(ids) - size + 1 + k].astype(np.uint64) + np.uint64(1))
+        return h
+
     def _band(self, at: int, stop: int) -> dict:
         """Items ``at`` to ``stop``: their key table, the pairs a window must hold, and the sampled steps."""
         p = self.p
         sizes = [len(ids) for _, ids in self.items[at:stop]]
-        steps = int(p.reach * sizes[0])
+        steps = max(p.bits, min(int(p.reach * sizes[0]), p.most_steps))
+        walks = p.walks(sizes[-1])
         rng = np.random.default_rng([p.seed, sizes[0]])
-        picked = [[np.sort(rng.choice(steps, min(p.bits, steps), replace=False)) for _ in range(p.repeats)] for _ in range(p.walks)]
-        strings = np.zeros((stop - at, max(sizes)), np.int64)
+        picked = [[np.sort(rng.choice(steps, p.bits, replace=False)) for _ in range(p.repeats)] for _ in range(walks)]
+        # A walk of so many steps reads no more words than it has steps.
+        strings = np.zeros((stop - at, steps), np.int64)
         for k, (_, ids) in enumerate(self.items[at:stop]):
-            strings[k, : len(ids)] = ids
-        keys = self._keys([cgk_walk(strings, steps, p.seed, w) for w in range(p.walks)], picked).reshape(-1)
+            strings[k, : len(ids[:steps])] = ids[:steps]
+        keys = self._keys([cgk_walk(strings, steps, p.seed, w) for w in range(walks)], picked).reshape(-1)
         order = np.argsort(keys, kind="stable")
-        owners = np.tile(np.arange(at, stop), p.walks * p.repeats)
-        return {"keys": keys[order], "owners": owners[order], "picked": picked, "steps": steps, "most": max(sizes), "needed": min(n - 1 - 2 * edit_limit(n, p.similarity) for n in sizes)}
+        owners = np.tile(np.arange(at, stop), walks * p.repeats)
+        return {"keys": keys[order], "owners": owners[order], "picked": picked, "steps": steps, "walks": walks, "most": max(sizes), "needed": min(n - 1 - 2 * edit_limit(n, p.similarity) for n in sizes)}
 
     @staticmethod
     def _keys(walks: list[np.ndarray], picked) -> np.ndarray:
@@ -129,6 +160,11 @@ class ItemIndex:
     def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (_mix(a.astype(np.uint64) * _A + b.astype(np.uint64)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
+    @property
+    def rows(self) -> int:
+        """Texts searched at once: each has a gap as long as the longest item."""
+        return max(1, min(SLICE_ROWS, (8 * self.p.cells) // max(1, self.longest)))
+
     def search(self, texts: list[str | None]) -> list[dict[int, tuple[int, int, int, int]]]:
         """For each text, item -> (distance, first word, words of the window, words of the item) of its best window.
 
@@ -137,7 +173,7 @@ class ItemIndex:
         texts stand in one array with a gap of unknown words after each, so that windows may hang over a text's end.
         """
         best: list[dict] = [{} for _ in texts]
-        if not self.bands:
+        if not self.items:
             return best
         get = self.vocabulary.get
         gap = [0] * self.longest
@@ -154,20 +190,32 @@ class ItemIndex:
         pair[at] = self.pairs[self._slot(ids[at], ids[at + 1])]
         total = np.concatenate([[0], np.cumsum(pair)])
         last = len(flat)
-        wanted = [np.flatnonzero(total[np.minimum(np.arange(last) + b["most"] - 1, last)] - total[:last] >= b["needed"]) for b in self.bands]
-        starts = np.unique(np.concatenate(wanted))
-        for chunk in range(0, len(starts), _CHUNK):
-            part = starts[chunk : chunk + _CHUNK]
-            strings = ids[part[:, None] + np.arange(self.longest)]
-            here = [np.searchsorted(part, w[(w >= part[0]) & (w <= part[-1])]) for w in wanted]
-            steps = max(b["steps"] for b, h in zip(self.bands, here) if len(h))
-            walks = [cgk_walk(strings, steps, self.p.seed, w) for w in range(self.p.walks)]
-            for band, rows in zip(self.bands, here):
-                if len(rows):
-                    found = self._keys([w[: band["steps"], rows] for w in walks], band["picked"])
-                    self._meet(band, found, part[rows], ids, begin, best)
+        self._look_up(ids, begin, best)
+        for band in self.bands:
+            most = np.minimum(np.arange(last) + band["most"] - 1, last)
+            starts = np.flatnonzero(total[most] - total[:last] >= band["needed"])
+            rows = max(1, self.p.cells // band["steps"])
+            for chunk in range(0, len(starts), rows):
+                part = starts[chunk : chunk + rows]
+                strings = ids[part[:, None] + np.arange(band["steps"])]
+                walks = [cgk_walk(strings, band["steps"], self.p.seed, w) for w in range(band["walks"])]
+                self._meet(band, self._keys(walks, band["picked"]), part, ids, begin, best)
         return best
 
+    def _look_up(self, ids: np.ndarray, begin: np.ndarray, best: list[dict]) -> None:
+        """Short items, by the parts of theirs that stand in the texts unbroken."""
+        met = set()
+        for size, (keys, places) in self.parts.items():
+            found = self._run(ids, size)
+            lo = np.searchsorted(keys, found, "left")
+            for at in np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == found).tolist():
+                for k in range(lo[at], np.searchsorted(keys, found[at], "right")):
+                    owner, offset = places[k]
+                    shift = edit_limit(len(self.items[owner][1]), self.p.similarity)
+                    met.update((owner, at - offset + d) for d in range(-shift, shift + 1) if at - offset + d >= 0)
+        for owner, start in sorted(met):
+            self._verify(owner, start, ids, begin, best)
+
     def _meet(self, band: dict, found: np.ndarray, starts: np.ndarray, ids: np.ndarray, begin: np.ndarray, best: list[dict]) -> None:
         flat = found.reshape(-1)
         lo = np.searchsorted(band["keys"], flat, "left")
@@ -177,16 +225,20 @@ class ItemIndex:
         hi = np.searchsorted(band["keys"], flat[hit], "right")
         met = {(int(o), int(k % len(starts))) for k, a, b in zip(hit, lo[hit], hi) for o in band["owners"][a:b]}
         for owner, k in sorted(met):
-            item_id, words = self.items[owner]
-            n, start = len(words), int(starts[k])
-            doc = int(np.searchsorted(begin, start, "right")) - 1
-            held = best[doc].get(item_id)
-            limit = edit_limit(n, self.p.similarity)
-            stop = int(begin[doc + 1]) - self.longest if doc + 1 < len(begin) else len(ids) - 2 * self.longest
-            window = ids[start : min(start + n, stop)].tolist()
-            d = banded_distance(window, words, limit if held is None else min(limit, held[0]))
-            if d is not None and (held is None or (d, start - int(begin[doc])) < held[:2]):
-                best[doc][item_id] = (d, start - int(begin[doc]), len(window), n)
+            self._verify(owner, int(starts[k]), ids, begin, best)
+
+    def _verify(self, owner: int, start: int, ids: np.ndarray, begin: np.ndarray, best: list[dict]) -> None:
+        """Align an item with the window of its size at ``start``; the best window of its text is kept."""
+        item_id, words = self.items[owner]
+        n = len(words)
+        doc = int(np.searchsorted(begin, start, "right")) - 1
+        held = best[doc].get(item_id)
+        limit = edit_limit(n, self.p.similarity)
+        stop = int(begin[doc + 1]) - self.longest if doc + 1 < len(begin) else len(ids) - 2 * self.longest
+        window = ids[start : min(start + n, stop)].tolist()
+        d = banded_distance(window, words, limit if held is None else min(limit, held[0]))
+        if d is not None and (held is None or (d, start - int(begin[doc])) < held[:2]):
+            best[doc][item_id] = (d, start - int(begin[doc]), len(window), n)
 
 
 _INDEXES: dict = {}
@@ -199,19 +251,19 @@ def _hit_batches(handle, p: DecontamParams):
             _INDEXES.clear()
             _INDEXES[key] = ItemIndex(handle.value[1], p)
         index = _INDEXES[key]
-        for batch in slices(batches):
+        for batch in slices(batches, index.rows):
             rows = []
-            for doc_id, found in zip(batch.column(0).to_pylist(), index.search(batch.column(1).to_pylist())):
+            for row, doc_id, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), index.search(batch.column(2).to_pylist())):
                 for item_id, (d, start, n, size) in found.items():
-                    rows.append((doc_id, item_id, start, n, d, 1 - d / size))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"])
+                    rows.append((row, doc_id, item_id, start, n, d, 1 - d / size))
+            cols = list(zip(*rows)) if rows else [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["row", "doc_id", "item_id", "first_word", "n_words", "distance", "similarity"])
 
     return run
 
 
-HITS = "doc_id long, item_id long, first_word int, n_words int, distance int, similarity double"
+HITS = "row long, doc_id long, item_id long, first_word int, n_words int, distance int, similarity double"
 
 
 def _item_blocks(items: DataFrame, p: DecontamParams):
@@ -230,22 +282,29 @@ def contamination_hits(docs: DataFrame, items: DataFrame, params: DecontamParams
     Columns: doc_id, item_id, first_word and n_words (the window, in words), distance (words inserted, deleted or
     replaced) and similarity (1 - distance / longer length), at least ``similarity``. Words are compared in lower case
     without punctuation. Items under ``min_words`` words, null and empty items match nothing; null and empty texts have no
-    hits. Items that repeat an item_id with other texts each search; of one item_id and block the best window is given. Null
-    doc_ids and item_ids stay null. Whole texts are searched, however long; other columns are not read; an empty table on either side
-    gives no rows. Documents are not shuffled: each block of items is sent to the workers whole, its size bounded.
+    hits. Items that repeat an item_id with other texts each search, and the best window of all is given. Null
+    doc_ids and item_ids stay null; rows of ``docs`` that repeat each have their hits. Whole texts are searched, however long; other
+    columns are not read; an empty table on either side gives no rows. Documents are not shuffled: each block of items is sent
+    to the workers whole, its size bounded. Only the hits of a benchmark of several blocks are, to find the best.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out, blocks = None, 0
     for part in _item_blocks(items, params):
         handle = spark.sparkContext.broadcast((uuid.uuid4().hex, part))
         hits = src.mapInArrow(_hit_batches(handle, params), HITS)
-        out = hits if out is None else out.unionByName(hits)
-    return out
+        out, blocks = hits if out is None else out.unionByName(hits), blocks + 1
+    if blocks > 1:
+        best = F.min(F.struct("distance", "first_word", "n_words", "similarity")).alias("best")
+        out = out.groupBy("row", "doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.first_word", "best.n_words", "best.distance", "best.similarity")
+    return out.select("doc_id", "item_id", "first_word", "n_words", "distance", "similarity")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, params: DecontamParams = DecontamParams()) -> DataFrame:
-    """The documents that hold no passage of an item, with all their columns."""
+    """The documents that hold no passage of an item, with all their columns.
+
+    Null and empty texts stay, as do all rows where there are no items; rows that repeat are each judged alike.
+    """
     at, spark = docs.columns.index("text"), docs.sparkSession
     out = docs
     for part in _item_blocks(items, params):
@@ -256,7 +315,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, params: DecontamParams
             if key not in _INDEXES:
                 _INDEXES.clear()
                 _INDEXES[key] = ItemIndex(handle.value[1], params)
-            for batch in slices(batches):
+            for batch in slices(batches, _INDEXES[key].rows):
                 clean = [not found for found in _INDEXES[key].search(batch.column(at).to_pylist())]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
