@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 #: Bits of the uniform number drawn from a row's hash.
 UNIFORM_BITS = 52
 #: The largest mean of one draw; a larger one is the sum of several.
@@ -65,13 +67,13 @@ def mean_rates(docs: DataFrame, weights: dict[str, float], *, rows: int | None =
     return {s: w / scale * total / counts[s] for s, w in live.items()} if scale else {}
 
 
-def mix(docs: DataFrame, weights: dict[str, float], *, seed: int = 7, rows: int | None = None, rates: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], *, seed: int = 7, rows: int | None = None, rates: dict[str, float] | None = None, named: tuple[str, str] = ("copy", "n_copies")) -> DataFrame:
     """Repeat each document by a Poisson count and shuffle all copies.
 
     The count inverts the Poisson distribution of the source's mean rate at a number hashed from seed and doc_id (over
     a mean of ``MOST_AT_ONCE``, it is the sum of several such draws, so a rare source may have any rate); the same
     document always gets the same count, and rows that repeat a doc_id get the same one (so do all null ids).
-    Columns of ``docs`` stay and two come on: ``copy`` (0 up) and ``n_copies``; a column of either name is replaced.
+    Columns of ``docs`` stay and two come on, ``named``: the copy's number (0 up) and the count; a column of either name is replaced.
     A document with count 0 has no row: that is the method's way to weigh a source down. Rows of a source that
     ``weights`` lacks count under ``*``. An empty table gives no rows. Copies are dealt out by a seeded hash of doc_id, copy
     and position and sorted by another within each task, which neither a large source nor a repeated document can skew.
@@ -88,11 +90,11 @@ def mix(docs: DataFrame, weights: dict[str, float], *, seed: int = 7, rows: int
     if chain is not None:
         unnamed = ~F.coalesce(F.col("source").isin([s for s in weights if s != "*"]), F.lit(False))
         chain = chain.when(unnamed, count).otherwise(F.lit(0))
-    names = [c for c in docs.columns if c not in ("copy", "n_copies")]
-    counted = docs.select(*[F.col(f"`{c}`") for c in names], (chain if chain is not None else count).alias("n_copies")).filter("n_copies > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    place = "__place"
-    while place in docs.columns:
-        place += "_"
-    placed = copies.withColumn(place, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"), F.monotonically_increasing_id()))
-    return placed.repartition(F.col(place)).sortWithinPartitions(F.xxhash64(F.lit(seed + 1), place)).drop(place).select(*names, "copy", "n_copies")
+    number, total = named
+    names = [c for c in docs.columns if c.lower() not in (number.lower(), total.lower())]
+    plain = [F.col(f"`{c}`") for c in names]
+    counted = docs.select(*plain, (chain if chain is not None else count).alias(total)).filter(F.col(total) > 0)
+    copies = counted.withColumn(number, F.explode(F.sequence(F.lit(0), F.col(total) - 1)))
+    (place,) = free_names(copies, "place")
+    placed = copies.withColumn(place, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(number), F.monotonically_increasing_id()))
+    return placed.repartition(F.col(place)).sortWithinPartitions(F.xxhash64(F.lit(seed + 1), place)).select(*plain, number, total)
