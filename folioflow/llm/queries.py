@@ -77,7 +77,7 @@ c AS (SELECT label, count(*) AS n FROM d GROUP BY label),
 r AS (SELECT c.label, weight / (SELECT sum(weight) FROM w JOIN c USING (label)) * (SELECT count(*) FROM d) / c.n AS mean FROM c JOIN w USING (label)),
 k(label, mean, i, p, total) AS (
   SELECT label, mean, 0, exp(-mean), exp(-mean) FROM r
-  UNION ALL SELECT label, mean, i + 1, p * mean / (i + 1), total + p * mean / (i + 1) FROM k WHERE i < 60),
+  UNION ALL SELECT label, mean, i + 1, p * mean / (i + 1), total + p * mean / (i + 1) FROM k WHERE i < mean OR total + p * mean / (i + 1) <> total),
 u AS (SELECT *, (('0x' || substr(md5('{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS x FROM d),
 n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, CAST(count(*) FILTER (WHERE u.x >= k.total) AS INTEGER) AS n_copies, row_number() OVER () AS rid
       FROM (SELECT *, row_number() OVER () AS rid FROM u) u JOIN k ON k.label = u.label GROUP BY u.rid, u.doc_id, u.text, u.lang, u.source, u.n_chars)
@@ -87,7 +87,8 @@ SELECT doc_id, text, lang, source, n_chars, CAST(c AS INTEGER) AS copy, n_copies
 
 def _urls_sql() -> str:
     rules = ", ".join(f"({i}, '{v}', '{h}', '{p}')" for i, (v, h, p) in enumerate(url_rules.RULES))
-    globs = " OR ".join("host || path LIKE '" + g.replace("*", "%").replace("?", "_") + "'" for g in url_rules.GLOBS)
+    like = lambda g: "'" + g.replace("_", "\\_").replace("*", "%").replace("?", "_") + "' ESCAPE '\\'"
+    globs = " OR ".join(f"(host LIKE {like(h)} AND path LIKE {like(p)})" for h, p in url_rules.GLOBS)
     return f"""
 WITH p AS (
   SELECT page_id, position('://' IN coalesce(url, '')) AS mark, url FROM pages),

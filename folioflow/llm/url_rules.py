@@ -18,8 +18,32 @@ Rule = tuple[str, str, str]
 
 RULES: tuple[Rule, ...] = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: What decides where no rule of the list fits: hosts blocked by wildcard.
-GLOBS: tuple[str, ...] = ("*spam-farm.*/*", "*spam-farm.*", "*cheap-pills.*/*", "*cheap-pills.*")
+#: A wildcard rule: a glob for the whole host and one for the whole path.
+Glob = tuple[str, str]
+
+# Parameters: words that mark a host's label, and paths that hold no prose.
+HOST_WORDS = (
+    "adult-cam", "betting", "bitcoin-double", "bonus-code", "casino", "cheap-pills", "clickbait", "coupon-codes", "crack-keygen", "credit-repair", "dating-site", "diet-pills", "doorway", "download-free", "escort", "essay-writer", "forex-signal",
+    "free-ringtones", "gambling", "hot-singles", "keygen", "link-farm", "loan-fast", "lottery-win", "miracle-cure", "nulled", "online-pharmacy", "parked-domain", "payday-loan", "poker", "replica-watch", "seo-backlinks", "slot-win", "spam-farm",
+    "spyware", "survey-reward", "torrent", "viagra", "warez", "xxx",
+)
+BLOCKED_PATHS = (
+    "/ads/*", "*/adclick*", "*/affiliate/*", "/cart/*", "/cgi-bin/*", "/checkout/*", "/login*", "/logout*", "/register*", "/signup*", "/wp-admin/*", "/wp-login.php", "/xmlrpc.php", "*/feed/", "*/print/", "*/trackback/", "*/captcha/*",
+    "*.apk", "*.avi", "*.bin", "*.css", "*.dmg", "*.exe", "*.gif", "*.gz", "*.iso", "*.jpg", "*.js", "*.mp3", "*.mp4", "*.png", "*.rar", "*.zip",
+)
+
+
+def wildcard_rules(words: tuple[str, ...] = HOST_WORDS, paths: tuple[str, ...] = BLOCKED_PATHS) -> tuple[Glob, ...]:
+    """A host with a label that is one of the words or begins with it and a hyphen, at any place but the last; and the paths on any host."""
+    shapes = ("{}.*", "{}-*.*", "*.{}.*", "*.{}-*.*")
+    return tuple((shape.format(w), "*") for w in words for shape in shapes) + tuple(("*", p) for p in paths)
+
+
+#: What decides where no rule of the list fits.
+GLOBS: tuple[Glob, ...] = wildcard_rules()
+
+#: What stands between host and path in the automaton; no wildcard reads it.
+_BETWEEN = "\0"
 
 _URL = re.compile(r"(?s)://([^/?#]*)([^?#]*)")
 _LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
@@ -36,7 +60,8 @@ class GlobAutomaton:
     """All globs at once. ``*`` stands for any run of bytes, ``?`` for one byte; other bytes for themselves.
 
     A pattern of m letters takes m + 1 bits: bit 0 is its start, bit i says that its first i letters are read. A ``*``
-    lets the bit before it stay. A step is ``D = ((D << 1) & B[byte]) | (D & S)`` on all words of all URLs of a batch.
+    lets the bit before it stay. A step is ``D = ((D << 1) & B[byte]) | (D & S[byte])`` on all words of all URLs of a batch.
+    A zero byte is read by a zero byte only, not by a wildcard.
     """
 
     masks: np.ndarray
@@ -59,15 +84,15 @@ class GlobAutomaton:
             ends.append(at)
             at += 1
         words = max(1, (at + 63) // 64)
-        masks, stay, start = np.zeros((256, words), np.uint64), np.zeros(words, np.uint64), np.zeros(words, np.uint64)
+        masks, stay, start = np.zeros((256, words), np.uint64), np.zeros((256, words), np.uint64), np.zeros(words, np.uint64)
         bit = lambda i: np.uint64(1 << (i % 64))
         for i, byte in letters:
             if byte == ord("?"):
-                masks[:, i // 64] |= bit(i)
+                masks[1:, i // 64] |= bit(i)
             else:
                 masks[byte, i // 64] |= bit(i)
         for i in loops:
-            stay[i // 64] |= bit(i)
+            stay[1:, i // 64] |= bit(i)
         for i in starts:
             start[i // 64] |= bit(i)
         return cls(masks, stay, start, [(i // 64, i % 64) for i in ends])
@@ -86,7 +111,8 @@ class GlobAutomaton:
             d = state[:live]
             moved = d << np.uint64(1)
             moved[:, 1:] |= d[:, :-1] >> np.uint64(63)
-            state[:live] = (moved & self.masks[joined[begin[:live] + step]]) | (d & self.stay)
+            byte = joined[begin[:live] + step]
+            state[:live] = (moved & self.masks[byte]) | (d & self.stay[byte])
         out = np.zeros((len(texts), len(self.ends)), bool)
         back = np.array(order, np.int64)
         for k, (word, shift) in enumerate(self.ends):
@@ -101,12 +127,12 @@ def _literal(text: str) -> str:
 
 
 def rule_globs(rules) -> list[str]:
-    """Two globs for each rule: its own host, and every subdomain. A space ends the host: it keeps host and path apart."""
-    return [g for _, host, path in rules for g in (f"{_literal(host)} {_literal(path)}*", f"*.{host} {path}*")]
+    """Two globs for each rule: its own host, and every subdomain."""
+    return [g for _, host, path in rules for g in (f"{_literal(host)}{_BETWEEN}{_literal(path)}*", f"*.{host}{_BETWEEN}{path}*")]
 
 
 def filter_urls(pages: DataFrame, rules=RULES, globs=GLOBS, *, default: str = "allow") -> DataFrame:
-    """The verdict on every url: the longest fitting rule's; without one ``block`` where a glob matches, else ``default``.
+    """The verdict on every url: the longest fitting rule's; without one ``block`` where both globs of a pair match, else ``default``.
 
     Columns: page_id, host, path, rule (host and path prefix, null without one), verdict, glob (whether one matches). A rule's host fits itself and all its
     subdomains. Null urls and urls without ``://`` have an empty host and path and get what the globs or the default
@@ -118,12 +144,12 @@ def filter_urls(pages: DataFrame, rules=RULES, globs=GLOBS, *, default: str = "a
     names = ["page_id", "host", "path", "rule", "verdict", "glob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A zero byte stands for the space between host and path.
-        machine = GlobAutomaton.build([g.replace(" ", "\0") for g in rule_globs(rules)] + [g for g in globs])
-        for batch in slices(batches, 4096):
+        machine = GlobAutomaton.build(rule_globs(rules) + [f"{host}{_BETWEEN}{path}" for host, path in globs])
+        for batch in slices(batches, 2048):
             parts = [canonical(u) for u in batch.column(1).to_pylist()]
-            hit = machine.matches([f"{h}\0{p}".encode() for h, p in parts])
-            whole = machine.matches([f"{h}{p}".encode() for h, p in parts])[:, 2 * len(rules) :].any(axis=1)
+            # A zero byte in a url would read as the end of its host.
+            hit = machine.matches([f"{h.replace(_BETWEEN, ' ')}{_BETWEEN}{p.replace(_BETWEEN, ' ')}".encode() for h, p in parts])
+            whole = hit[:, 2 * len(rules) :].any(axis=1)
             rule, verdict = [], []
             for k in range(len(parts)):
                 best = next((i for i in by_length if hit[k, 2 * i] or hit[k, 2 * i + 1]), None)
