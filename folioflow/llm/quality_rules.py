@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,6 +17,7 @@ from .common import slices
 #: The characters of the symbol count, and the white space that ends a word.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
 @dataclass(frozen=True)
@@ -30,7 +32,10 @@ class LineRules:
     separators: str = "|»›·•"
     max_separator_share: float = 0.2
     #: Boilerplate: a line of at most ``boilerplate_words`` words that holds one of these, in any case.
-    boilerplate: tuple[str, ...] = ("lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "all rights reserved", "read more", "click here", "sign up", "log in")
+    boilerplate: tuple[str, ...] = (
+        "lorem ipsum", "enable javascript", "javascript is", "requires javascript", "cookie policy", "uses cookies", "privacy policy", "terms of use", "terms of service", "all rights reserved", "read more", "click here", "sign up", "log in",
+        "mentions légales", "tous droits réservés", "en savoir plus", "cliquez ici", "política de cookies", "todos los derechos reservados", "leer más", "haga clic aquí", "datenschutzerklärung", "alle rechte vorbehalten", "weiterlesen", "hier klicken",
+    )
     boilerplate_words: int = 20
     #: Punctuation: some word of a line must have an ending mark, unless the line is short enough for a heading.
     endings: str = ".!?…:;\"'”’)]»"
@@ -47,7 +52,7 @@ DEFAULT_RULES = LineRules()
 
 def line_fails(line: str, rules: LineRules = DEFAULT_RULES) -> bool:
     """Whether a line goes. Lines without a word neither fail nor count."""
-    words = line.split()
+    words = _WORDS(line)
     n = len(words)
     if not n:
         return False
@@ -136,16 +141,26 @@ def clean_text(text: str | None, rules: LineRules = DEFAULT_RULES) -> str | None
     return text and "\n".join(line for line in text.split("\n") if not line_fails(line, rules))
 
 
-def keep_good(docs: DataFrame, rules: LineRules = DEFAULT_RULES, *, remove_lines: bool = False) -> DataFrame:
-    """Only the documents whose verdict is kept, with all their columns; ``remove_lines`` also takes failed lines out of ``text``."""
+def keep_good(docs: DataFrame, rules: LineRules = DEFAULT_RULES, *, remove_lines: bool = True) -> DataFrame:
+    """Only the documents whose verdict is kept, with all their columns, and without their failed lines.
+
+    The figures are those of the text as it came. Null and empty texts are rejected, each of rows that repeat is judged by
+    itself, other columns stay as they are but for a whole-number column ``n_chars``, which counts the text that is left; an empty table stays empty.
+    With ``remove_lines`` false texts are left alone.
+    """
     at = docs.columns.index("text")
+    count = next((i for i, f in enumerate(docs.schema) if f.name == "n_chars" and f.dataType.typeName() in ("long", "integer")), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column(at).to_pylist()
-            out = batch.filter(pa.array([judge(t, rules)["kept"] for t in texts], pa.bool_()))
-            if remove_lines:
-                out = out.set_column(at, batch.schema.field(at), pa.array([clean_text(t, rules) for t in out.column(at).to_pylist()], pa.string()))
+            judged = [judge(t, rules) for t in texts]
+            out = batch.filter(pa.array([j["kept"] for j in judged], pa.bool_()))
+            if remove_lines and any(j["kept"] and j["n_failed_lines"] for j in judged):
+                left = [clean_text(t, rules) if j["n_failed_lines"] else t for t, j in zip(texts, judged) if j["kept"]]
+                out = out.set_column(at, batch.schema.field(at), pa.array(left, batch.schema.field(at).type))
+                if count is not None:
+                    out = out.set_column(count, batch.schema.field(count), pa.array([len(t) for t in left], batch.schema.field(count).type))
             yield out
 
     return docs.mapInArrow(run, docs.schema)
