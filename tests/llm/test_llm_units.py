@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -120,38 +121,65 @@ def test_token_table_keeps_its_bound(monkeypatch):
         assert len(table) <= 70 and len(table.older) <= 70
 
 
-def _edited(words, rate, rng, pool):
-    out = []
-    for w in words:
-        if rng.random() < rate:
-            out += rng.choice([[rng.choice(pool)], [], [w, rng.choice(pool)]])
+def _edit(words, edits, rng, pool):
+    out = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        kind = rng.randrange(3)
+        if kind == 0:
+            out[at] = rng.choice(pool)
+        elif kind == 1 and len(out) > 1:
+            del out[at]
         else:
-            out.append(w)
+            out.insert(at, rng.choice(pool))
     return out
 
 
-def test_decontamination_recall_against_brute_force():
-    rng = random.Random(9)
-    pool = [f"w{i}" for i in range(400)]
-    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(12, 50)))) for i in range(60)]
+@pytest.mark.parametrize("size", [8, 12, 20, 40, 59, 100, 200])
+def test_decontamination_recall_by_length(size):
+    """Of passages edited as often as the limit allows, 0.9 and more are found at every rate; distances are right."""
+    rng = random.Random(size)
+    pool = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(size))) for i in range(60)]
     p = decontam.DecontamParams()
     index = decontam.ItemIndex(items, p)
-    found = wanted = 0
-    for i, text in items:
-        words = text.split()
-        doc = [rng.choice(pool) for _ in range(80)] + _edited(words, 0.05, rng, pool) + [rng.choice(pool) for _ in range(80)]
-        n = len(words)
-        limit = align.edit_limit(n, p.similarity)
-        best = min(plain_distance(doc[s : s + n], words) for s in range(70, 90))
-        hits = index.search([" ".join(doc), None, ""])
-        assert hits[1] == hits[2] == {}
-        for item, (d, start, size, full) in hits[0].items():
-            target = items[item][1].split()
-            assert d == plain_distance(doc[start : start + size], target) <= align.edit_limit(full, p.similarity)
-        if best <= limit:
-            wanted += 1
-            found += i in hits[0]
-    assert wanted > 50 and found >= 0.95 * wanted
+    limit = align.edit_limit(size, p.similarity)
+    for rate in (0.05, 0.1, 0.15, 0.2):
+        found = wanted = 0
+        texts = [[rng.choice(pool) for _ in range(30)] + _edit(t.split(), max(1, round(rate * size)), rng, pool) + [rng.choice(pool) for _ in range(30)] for _, t in items]
+        for (i, text), words, hits in zip(items, texts, index.search([" ".join(t) for t in texts])):
+            target = text.split()
+            for item, (d, start, n, full) in hits.items():
+                assert (n, full) == (size, size) and align.banded_distance(words[start : start + n], items[item][1].split(), limit) == d
+            if any(align.banded_distance(words[s : s + size], target, limit) is not None for s in range(28, 33)):
+                wanted += 1
+                found += i in hits
+        assert wanted >= 5 and found >= 0.9 * wanted, (size, rate, found, wanted)
+
+
+def test_short_items_are_found_exactly():
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(40)]
+    p = decontam.DecontamParams()
+    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 7)))) for i in range(50)]
+    texts = [" ".join(rng.choice(pool) for _ in range(60)) for _ in range(60)] + ["", None]
+    got = decontam.ItemIndex(items, p).search(texts)
+    for text, hits in zip(texts, got):
+        words = (text or "").split()
+        for i, target in items:
+            target = target.split()
+            n, limit = len(target), align.edit_limit(len(target), p.similarity)
+            found = [d for s in range(len(words)) if (d := align.banded_distance(words[s : s + n], target, limit)) is not None]
+            assert (hits[i][0] if i in hits else None) == min(found, default=None)
+
+
+def test_long_items_are_searched_in_bounded_pieces():
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(5000)]
+    long = [rng.choice(pool) for _ in range(20_000)]
+    index = decontam.ItemIndex([(1, " ".join(long)), (2, " ".join(long[:30]))], decontam.DecontamParams())
+    hits = index.search([" ".join(["x"] + [w if rng.random() > 0.03 else "y" for w in long] + ["z"]), " ".join(long[:40])])
+    assert 1 in hits[0] and 2 in hits[1] and 1 not in hits[1] and index.rows < 100
 
 
 def test_exact_passages_are_always_found():
@@ -175,6 +203,33 @@ def test_classifier_learns_and_ignores_empty_texts():
     assert 0 < classifier.score(None, w, 12) == classifier.score("", w, 12) < 1
 
 
+def test_ftrl_equals_a_plain_version():
+    """Per-coordinate updates written out one by one, over dictionaries."""
+    import math
+
+    rng = random.Random(3)
+    p = classifier.FtrlParams(bits=8, epochs=2)
+    rows = [(*classifier.features(" ".join(rng.choice(["a", "b", "C", "d!", "EE", "f"]) for _ in range(rng.randint(0, 12))), p.bits), rng.randrange(2)) for _ in range(40)]
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= p.l1:
+            return 0.0
+        return -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n.get(i, 0.0))) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for slots, values, label in rows:
+            w = [weight(i) for i in slots.tolist()]
+            guess = 1 / (1 + math.exp(-sum(a * float(v) for a, v in zip(w, values))))
+            for i, v, a in zip(slots.tolist(), values.tolist(), w):
+                g = (guess - label) * v
+                step = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / p.alpha
+                z[i], n[i] = z.get(i, 0.0) + g - step * a, n.get(i, 0.0) + g * g
+    got = classifier.train_ftrl(rows, p)
+    assert np.count_nonzero(got) > 5
+    assert all(abs(got[i] - weight(i)) < 1e-4 for i in range(len(got)))
+
+
 def test_plain_words():
     assert plain_words("A b, C-d!") == ["a", "b", "c", "d"]
     assert plain_words("!!! ???") == ["!!!", "???"]
