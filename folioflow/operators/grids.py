@@ -27,13 +27,16 @@ def full_cells(cells: DataFrame, ranges: DataFrame, extents: DataFrame, keys: li
 
 
 def row_stats(cells: DataFrame, keys: list[str], row: str = "row", value: str = "value", bold: str | None = "bold") -> DataFrame:
-    """Per row: non-empty cells, distinct values, bold cells, blank or not, and whether one value fills the whole row."""
+    """Per row: non-empty cells, distinct values, bold cells, blank or not, and whether one value fills the whole row.
+
+    A row's distinct values are gathered as a set, so that its cells are shuffled once and not again for each count.
+    """
     v = F.col(value).cast("string")
-    full = F.when(v != "", v)
-    return cells.groupBy(*keys, row).agg(
-        F.count(full).alias("non_null"), F.countDistinct(full).alias("distinct_values"), (F.count_if(F.col(bold)) if bold else F.lit(0).cast("long")).alias("bold_count"),
-        (F.count(full) == 0).alias("is_blank"), ((F.count(full) > 0) & (F.countDistinct(v) == 1) & F.bool_and(v.isNotNull())).alias("is_title"),
-    )
+    bolds = F.count_if(F.col(bold)) if bold else F.lit(0).cast("long")
+    figures = cells.groupBy(*keys, row).agg(F.count(F.when(v != "", v)).alias("non_null"), F.collect_set(v).alias("vals"), F.count(v).alias("held"), F.count("*").alias("cells"), bolds.alias("bold_count"))
+    distinct = (F.size("vals") - F.array_contains("vals", F.lit("")).cast("int")).cast("long")
+    full = (F.col("non_null") > 0) & (F.size("vals") == 1) & (F.col("held") == F.col("cells"))
+    return figures.select(*keys, row, "non_null", distinct.alias("distinct_values"), "bold_count", (F.col("non_null") == 0).alias("is_blank"), full.alias("is_title"))
 
 
 def row_clusters(stats: DataFrame, keys: list[str], row: str = "row") -> DataFrame:

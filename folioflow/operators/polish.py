@@ -25,6 +25,6 @@ def without_lines(md: Column, lines: Column) -> Column:
 def without_fluff(md: Column) -> Column:
     """Drop the adjectives before a noun and keep the sentence; ``an``/``a`` is set right where one follows."""
     words = "|".join(FLUFF)
-    text = F.regexp_replace(md, rf"(?i)\b(a|an) (?:(?:{words}),? )+(?=[aeiou])", "an ")
-    text = F.regexp_replace(text, rf"(?i)\b(a|an) (?:(?:{words}),? )+", "a ")
+    text = F.regexp_replace(md, rf"\b([Aa])n? (?i:(?:(?:{words}),? )+)(?=[aeiouAEIOU])", "$1n ")
+    text = F.regexp_replace(text, rf"\b([Aa])n? (?i:(?:(?:{words}),? )+)", "$1 ")
     return F.regexp_replace(text, rf"(?i)\b(?:(?:{words}),? )+(?=\w)", "")

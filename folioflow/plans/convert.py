@@ -14,6 +14,7 @@ from ..functions.scalars import stem
 from ..operators.clean import clean_array, clean_blocks, clean_meta
 from ..operators.layout import with_neighbors
 from ..operators.packing import MAX_IMAGES, MAX_TOKENS, Packer, previous_tail
+from ..operators.polish import with_title, without_fluff, without_lines
 from ..operators.refs import captions_of, collect_refs, first_refs
 from ..operators.render import block_text, plain_text, runs_text
 from ..sources.files import blocks_of
@@ -37,6 +38,13 @@ class ConvertOptions:
     keep_image_markers: bool = False
     captioner: Captioner | None = None
     renderer: Renderer | None = None
+    #: A title where none leads, no running heads and feet (lines that ``repeated`` names: doc_id, lines), no praising adjectives.
+    polish: bool = False
+    repeated: DataFrame | None = None
+    #: Give the cleaned blocks as a column ``blocks``.
+    return_blocks: bool = False
+    #: A folder for the chunks as they were before the passes, for looking into them.
+    debug_workspace: str | None = None
     write_to: str | None = None
 
 
@@ -178,6 +186,9 @@ def convert(docs: DataFrame, options: ConvertOptions = ConvertOptions()) -> Data
     chunks = pack_and_join(rows, options.max_chunk_tokens, options.max_chunk_images)
     if options.renderer:
         chunks = options.renderer(previous_tail(chunks)).select("doc_id", "chunk_index", "markdown", "truncated", "images", "info")
+    if options.debug_workspace:
+        chunks.write.mode("overwrite").parquet(options.debug_workspace)
+        chunks = docs.sparkSession.read.schema(chunks.schema).parquet(options.debug_workspace)
     whole = chunks.withColumn("info", F.from_json("info", INFO))
     if not options.keep_image_markers:
         whole = postprocess(whole, "markdown", F.col("info.scans"))
@@ -187,6 +198,12 @@ def convert(docs: DataFrame, options: ConvertOptions = ConvertOptions()) -> Data
     meta = F.map_concat(F.coalesce(clean_meta(F.col("info.meta")), empty), facts)
     md = F.when(F.col("n") > 1, keep_one_h1(F.col("markdown"))).otherwise(F.col("markdown"))
     result = whole.select("doc_id", "info.format", "info.title", md.alias("markdown"), "info.warnings", meta.alias("metadata"))
+    if options.polish:
+        if options.repeated is not None:
+            result = result.join(options.repeated.select("doc_id", F.col("lines").alias("repeated_lines")), "doc_id", "left").withColumn("markdown", F.regexp_replace(without_lines(F.col("markdown"), F.col("repeated_lines")), r"\A\n+|\n+\z", "")).drop("repeated_lines")
+        result = result.withColumn("markdown", without_fluff(F.col("markdown"))).withColumn("markdown", with_title(F.col("markdown"), F.col("title")))
+    if options.return_blocks:
+        result = result.join(docs.select("doc_id", clean_array(F.col("blocks"), F.col("format")).alias("blocks")), "doc_id", "left")
     if options.write_to:
         result.write.mode("overwrite").parquet(options.write_to)
         return docs.sparkSession.read.schema(result.schema).parquet(options.write_to)

@@ -66,3 +66,67 @@ def test_sinks_and_audit(spark, tmp_path):
     assert [r["line"] for r in reports.audit_markdown(report).collect()] == ["| doc_id | coverage % | notes |", "| --- | --- | --- |", "| 1 | 100.0 | img diff |", "| 2 | 0.0 | OK |"]
     sizes = spark.createDataFrame([("a", 4, 2), (None, 2, 2)], "k string, raw long, clean long")
     assert {r["sample"]: r["raw_bytes"] for r in reports.size_report(sizes, "k", "raw", "clean").collect()} == {"a": 4, None: 2, "TOTAL": 6}
+
+
+def test_providers_speak_their_interfaces(monkeypatch):
+    """Each provider against a small server on this machine."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    import pytest
+
+    from folioflow.plans.providers import HttpChat, ModelConfig, PromptedModel, build_chat
+
+    seen = []
+    answers = {"/chat/completions": {"choices": [{"message": {"content": "said"}}]}, "/serving-endpoints/m/invocations": {"choices": [{"message": {"content": "said"}}]}, "/v1/messages": {"content": [{"type": "text", "text": "said"}]}, "/v1beta/models/m:generateContent": {"candidates": [{"content": {"parts": [{"text": "said"}]}}]}}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"]))), dict(self.headers)))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(answers[self.path]).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("A_KEY", "k1")
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        for provider in ("openai", "databricks", "anthropic", "google"):
+            chat = build_chat(ModelConfig(provider, "m", base, "A_KEY", extra=(("seed", 3),)))
+            assert chat.ask("be brief", "what", b"png") == "said"
+            path, body, headers = seen[-1]
+            assert path in answers and body["seed"] == 3 and "k1" in str(headers) and "cG5n" in json.dumps(body) and "be brief" in json.dumps(body)
+    finally:
+        server.shutdown()
+    for bad in (ModelConfig("custom"), ModelConfig("nobody"), ModelConfig("databricks", "m")):
+        with pytest.raises(ValueError):
+            build_chat(bad)
+    assert HttpChat(ModelConfig("openai", "m")).base.startswith("https://")
+
+    class Chat:
+        def __init__(self):
+            self.asked = []
+
+        def ask(self, system, text, image=None):
+            self.asked.append((system, text, image))
+            return f"out{len(self.asked)}"
+
+    for review, clean, calls in ((False, False, 1), (True, False, 2), (False, True, 2), (True, True, 3)):
+        own = PromptedModel(ModelConfig("custom", instance=(chat := Chat())), review=review, clean=clean, caption_language="en")
+        assert own.render("draft", "tail") == f"out{calls}" and len(chat.asked) == calls and "tail" in chat.asked[0][1] and all("draft" in t for _, t, _ in chat.asked)
+        assert own.caption("ctx", b"i") == f"out{calls + 1}" and "English" in chat.asked[-1][0] and "Decorative image" in chat.asked[-1][0]
+
+
+def test_convert_options(spark, tmp_path):
+    from folioflow.plans.convert import ConvertOptions, convert
+
+    docs = extract(spark.createDataFrame([(1, "html", "<title>T</title><p>head 1</p><p>A powerful tool.</p><p>head 2</p>")], "doc_id long, format string, content string"))
+    lines = spark.createDataFrame([(1, ["head 9"])], "doc_id long, lines array<string>")
+    row = convert(docs, ConvertOptions(polish=True, repeated=lines, return_blocks=True, debug_workspace=f"{tmp_path}/w")).first()
+    assert row["markdown"] == "# T\n\nA tool.\n" or row["markdown"].strip() == "# T\n\nA tool.", row["markdown"]
+    assert len(row["blocks"]) == 3 and spark.read.parquet(f"{tmp_path}/w").count() == 1
