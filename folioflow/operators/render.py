@@ -15,6 +15,10 @@ def _wrap(text: Column, mark: str) -> Column:
     return F.regexp_replace(text, r"(?s)\A(\s*)(.*?)(\s*)\z", f"$1{mark}$2{mark}$3")
 
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def run_text(r: Column) -> Column:
     """A run with its marks; line ends within a text become spaces, a run that is one line end breaks the line."""
     flat = F.when(F.trim(r["text"]) == "\n", F.lit("\n")).otherwise(F.regexp_replace(r["text"], r"[ \t\r]*\n[ \t\r\n]*", " "))
@@ -26,7 +30,7 @@ def run_text(r: Column) -> Column:
 
 
 def runs_text(runs: Column) -> Column:
-    return F.coalesce(F.trim(F.array_join(F.transform(runs, run_text), "")), F.lit(""))
+    return F.coalesce(_strip(F.array_join(F.transform(runs, run_text), "")), F.lit(""))
 
 
 def plain_text(runs: Column) -> Column:
@@ -98,7 +102,7 @@ def block_text(get, caption: Column, kind_of_place: Column, place: Column) -> Co
     text = (
         F.when(kind == "heading", F.concat(hashes, F.lit(" "), F.regexp_replace(runs, r"\s*\n\s*", " ")))
         .when((kind == "paragraph") & get("list_kind").isNotNull(), bullet).when(kind.isin("paragraph", "text"), runs)
-        .when(kind == "table", gfm_table(get("rows"))).when(kind == "code", code).when(kind == "divider", F.lit("---")).when(kind == "raw_html", F.trim(get("content")))
+        .when(kind == "table", gfm_table(get("rows"))).when(kind == "code", code).when(kind == "divider", F.lit("---")).when(kind == "raw_html", _strip(get("content")))
         .when(kind == "image", image).when(kind == "figure", F.concat_ws("\n\n", image, F.when(runs != "", runs)))
         .when(kind == "chart", chart_text(get("payload"))).when(kind == "smartart", smartart_text(get("payload")))
         .when(kind == "group", F.when(flow.isNotNull(), mermaid(F.from_json(flow, _FLOW)["edges"])).otherwise(F.lit("")))

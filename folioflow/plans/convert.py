@@ -82,8 +82,9 @@ def rendered_blocks(docs: DataFrame) -> DataFrame:
     ``info`` (JSON of ``INFO``) comes with a document's first row only.
     """
     fmt = F.col("format")
-    out = docs.withColumn("b", clean_array(F.coalesce("blocks", F.array().cast(docs.schema["blocks"].dataType)), fmt))
-    out = out.withColumn("b", F.transform("b", lambda x: x.withField("md_runs", runs_text(x["runs"]))))
+    # A run of white space goes from the blocks where it stands without a style, but it keeps words and lines apart in the text.
+    out = docs.withColumn("b", F.transform(F.coalesce("blocks", F.array().cast(docs.schema["blocks"].dataType)), lambda x: x.withField("md_runs", runs_text(x["runs"]))))
+    out = out.withColumn("b", clean_array(F.col("b"), fmt))
 
     def row(x: Column, i: Column) -> Column:
         img = x["image"]

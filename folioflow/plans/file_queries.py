@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.render import plain_text
 from ..sources.files import blocks_of, extract
+from .convert import ConvertOptions, convert
 from .fixtures import files
 from .registry import query
 
@@ -332,6 +333,33 @@ def markdown_documents(spark, sf):
     return docs.select("doc_id", "title", F.size("images").cast("long").alias("images"), image["alt_text"].alias("alt"), image["fetch_status"].alias("fetch_status"))
 
 
+_RENDERED = f"""CASE k WHEN 0 THEN repeat('#', CAST(1 + c % 6 AS INTEGER)) || ' ' || {_FLAT} WHEN 1 THEN '- ' || {_FLAT} || chr(10) || '  - inner ' || turn
+WHEN 2 THEN '**' || role || '** *' || turn || '* `' || {_FLAT} || '` [far](https://example.org/c/' || c || ')' || chr(10) || 'second line' WHEN 3 THEN '```py' || chr(10) || text || chr(10) || '```' WHEN 4 THEN '> ' || {_FLAT}
+WHEN 5 THEN '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || role || ' | ' || {_FLAT} || ' |' || chr(10) || '| ' || turn || ' |  |' WHEN 6 THEN '---' || chr(10) || chr(10) || '<div>' || chr(10) || {_FLAT} || chr(10) || '</div>'
+ELSE '1. ' || {_FLAT} || chr(10) || chr(10) || '**[Image - md_section #1]**' || chr(10) || 'alt ' || turn || chr(10) || chr(10) || '1. last' END"""
+
+
+@query(f"WITH {_T} SELECT doc_id, string_agg({_RENDERED}, chr(10) || chr(10) ORDER BY turn) AS markdown FROM t GROUP BY doc_id")
+def rendered_markdown(spark, sf):
+    """The whole way from files to Markdown: parsed, cleaned, rendered, packed and joined."""
+    return convert(_docs(spark, sf, "markdown"), ConvertOptions(keep_image_markers=True)).select("doc_id", "markdown")
+
+
+_SLIDE = f"""'## ' || role || ' ' || turn || chr(10) || chr(10) || CASE k WHEN 0 THEN '  - ' WHEN 1 THEN '    1. ' ELSE '' END || replace(text, chr(10), '') || chr(10) || chr(10) || 'left' || chr(10) || chr(10) || 'right' ||
+CASE k WHEN 2 THEN chr(10) || chr(10) || '[**far**](https://example.org/c/' || c || ')' WHEN 3 THEN chr(10) || chr(10) || '| ' || role || ' |  |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c || ' | ' || replace(text, chr(10), chr(11)) || ' |'
+WHEN 5 THEN chr(10) || chr(10) || '**[Image - pptx_slide #' || (i + 1) || ']**' || chr(10) || '[Image: caption unavailable]'
+WHEN 6 THEN chr(10) || chr(10) || '```mermaid' || chr(10) || 'flowchart LR' || chr(10) || '  S11["' || role || '"] --> S12["end"]' || chr(10) || '  S12["end"] --> S11["' || role || '"]' || chr(10) || '```' || chr(10) || chr(10) || role || chr(10) || chr(10) || 'end' ELSE '' END ||
+CASE WHEN turn % 2 = 1 THEN chr(10) || chr(10) || 'Note: ' || replace(text, chr(10), chr(11)) ELSE chr(10) || chr(10) || CASE c % 3 WHEN 0 THEN 'Ann' WHEN 1 THEN 'BB' ELSE 'Unknown' END || ': ' || {_FLAT} END"""
+
+
+@query(f"WITH {_T}, s AS (SELECT doc_id, turn, k, {_SLIDE} AS md FROM t) SELECT doc_id, string_agg(md, chr(10) || chr(10) ORDER BY turn) AS markdown FROM s GROUP BY doc_id HAVING count(*) FILTER (WHERE k IN (4, 7)) = 0")
+def rendered_slides(spark, sf):
+    """Presentations without charts and diagrams, whose texts have queries of their own: the same whole way; the picture's alt text is a path and goes."""
+    docs = _docs(spark, sf, "pptx")
+    plain = docs.filter(~F.exists("blocks", lambda b: b["type"].isin("chart", "smartart")))
+    return convert(plain, ConvertOptions(keep_image_markers=True)).select("doc_id", "markdown")
+
+
 # ---- HTML ----
 
 
