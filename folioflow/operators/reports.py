@@ -46,13 +46,18 @@ def repeated_edges(lines: DataFrame, key: str, unit: str, order: str, text: str,
     return edge.groupBy(key, text).agg(F.countDistinct(unit).alias("n_units")).filter(F.col("n_units") >= least)
 
 
-def audit(blocks: DataFrame, raw: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts of a source (n_headings, n_images, n_tables, n_chars) against its blocks', with what differs."""
+def audit(blocks: DataFrame, raw: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
+    """Counts of a source (n_headings, n_images, n_tables, n_chars) against its blocks', with what differs.
+
+    ``key`` may be several columns: with ``unit_index`` it is a row for each slide, page or sheet.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
     text = F.coalesce(F.array_join(F.transform("runs", lambda r: r["text"]), ""), F.lit(""))
-    have = blocks.groupBy(key).agg(
+    have = blocks.groupBy(*keys).agg(
         F.count_if(F.col("type") == "heading").alias("ir_headings"), F.count_if(F.col("image").isNotNull()).alias("ir_images"), F.count_if(F.col("type") == "table").alias("ir_tables"), F.sum(F.length(text)).alias("ir_chars")
     )
-    both = raw.join(have, key, "left").na.fill(0)
+    counted = ["ir_headings", "ir_images", "ir_tables", "ir_chars", "n_headings", "n_images", "n_tables", "n_chars"]
+    both = raw.join(have, keys, "left").na.fill(0, counted)
     pct = F.when(F.col("n_chars") == 0, 0.0).otherwise(F.round(100.0 * F.col("ir_chars") / F.col("n_chars"), 1))
     differs = [F.when(F.col("ir_chars") * 2 < F.col("n_chars"), "text under-capture"), F.when(F.col("ir_images") != F.col("n_images"), "img diff"), F.when(F.col("ir_tables") != F.col("n_tables"), "table diff")]
     return both.withColumn("coverage_pct", pct).withColumn("notes", F.coalesce(F.nullif(F.concat_ws(", ", *differs), F.lit("")), F.lit("OK")))

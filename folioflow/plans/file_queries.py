@@ -198,6 +198,21 @@ def pptx_documents(spark, sf):
     return _docs(spark, sf, "pptx").select("doc_id", "title", F.col("meta")["slide_count"].alias("slides"))
 
 
+@query(f"""WITH {_T}, x AS (SELECT doc_id, i + 1 AS unit_index, CASE WHEN k IN (5, 6) THEN 1 ELSE 0 END AS n_images, CASE k WHEN 3 THEN 1 ELSE 0 END AS n_tables, CASE k WHEN 5 THEN 1 ELSE 0 END AS ir_images, length(text) * 4 AS n_chars,
+length(role || ' ' || turn) + length(replace(text, chr(10), '')) + 9 + CASE k WHEN 2 THEN 3 WHEN 6 THEN length(role) + 3 ELSE 0 END
++ CASE WHEN turn % 2 = 1 THEN length('Note: ' || text) ELSE length(CASE c % 3 WHEN 0 THEN 'Ann' WHEN 1 THEN 'BB' ELSE 'Unknown' END || ': ' || text) END AS ir_chars FROM t)
+SELECT doc_id, unit_index, ir_images, CAST(ir_chars AS BIGINT) AS ir_chars, round(100.0 * ir_chars / n_chars, 1) AS coverage_pct,
+coalesce(nullif(concat_ws(', ', CASE WHEN ir_chars * 2 < n_chars THEN 'text under-capture' END, CASE WHEN ir_images <> n_images THEN 'img diff' END), ''), 'OK') AS notes FROM x""")
+def audit_slides(spark, sf):
+    """Counts of every slide against what the source is said to hold: an image too many on slides of k 6, four times the text."""
+    from ..operators.reports import audit
+
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("k", (F.col("turn") + F.col("conv_id")) % 8)
+    raw = rows.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("unit_index"), F.lit(1).alias("n_headings"), F.col("k").isin(5, 6).cast("int").alias("n_images"), (F.col("k") == 3).cast("int").alias("n_tables"), (F.length("text") * 4).alias("n_chars"))
+    done = audit(_blocks(spark, sf, "pptx"), raw, ["doc_id", "unit_index"])
+    return done.select("doc_id", "unit_index", F.col("ir_images").cast("int").alias("ir_images"), F.col("ir_chars").cast("long").alias("ir_chars"), "coverage_pct", "notes")
+
+
 # ---- workbooks ----
 
 

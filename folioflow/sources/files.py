@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import extension, source_format
-from .model import DOCUMENT, Parsed
+from .model import DOCUMENT, LOCAL, Parsed, image_size
 
 #: Documents parsed before their rows leave a worker.
 ROWS = 32
@@ -106,3 +106,45 @@ def extract(files: DataFrame, *, key: str = "doc_id", content: str = "content",
 def blocks_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The block table: one row per block, nested ones by their path."""
     return docs.select(key, "format", F.inline("blocks"))
+
+
+def resolve_source(path, base=None):
+    """A path made absolute against the folder ``base`` and freed of ``.`` and ``..``, as Columns; URLs keep their scheme and host."""
+    absolute = path.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:)?/")
+    whole = path if base is None else F.when(absolute, path).otherwise(F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), path))
+    root = F.regexp_extract(whole, r"^([A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/?", 0)
+    parts = F.filter(F.split(F.substring(whole, F.length(root) + 1, F.length(whole)), "/"), lambda x: ~x.isin("", "."))
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.concat(root, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
+def with_local_images(docs: DataFrame, files: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """Documents whose images that are files beside them are filled in from ``files`` (path, content).
+
+    ``docs`` is what ``extract`` gives with ``keep=("path",)``. A source is taken from the document's folder; what no file
+    has stays failed. Only paths are shuffled with the references, and the bytes of the files that are referred to.
+    """
+    refs = docs.select(key, "path", F.posexplode("blocks").alias("at", "b")).filter(F.startswith("b.image.fetch_error", F.lit(LOCAL)))
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    source = F.regexp_replace(F.substring("b.image.fetch_error", len(LOCAL) + 1, 1 << 30), r"[?#].*$", "")
+    refs = refs.select(key, "at", F.col("b.image.id").alias("id"), resolve_source(source, folder).alias("wanted"))
+    found = refs.join(files.select(resolve_source(F.col("path")).alias("wanted"), "content"), "wanted").select(key, "at", "id", "content")
+    kind = found.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            sizes = [image_size(c) for c in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([w for w, _ in sizes], pa.int32()), pa.array([h for _, h in sizes], pa.int32())], names=[key, "at", "id", "content", "w", "h"])
+
+    sized = found.mapInArrow(run, f"`{key}` {kind}, at int, id string, content binary, w int, h int")
+    lists = sized.groupBy(key).agg(F.collect_list(F.struct("at", "id", "content", "w", "h")).alias("found_images"))
+    place = lambda i: F.concat(F.lit("raw_images/"), i, F.lit(".png"))
+
+    def filled(b, i):
+        hit = F.get(F.filter("found_images", lambda x: x["at"] == i), F.lit(0))
+        image = b["image"].withField("relative_path", place(hit["id"])).withField("width_px", hit["w"]).withField("height_px", hit["h"]).withField("fetch_status", F.lit("ok")).withField("fetch_error", F.lit(None).cast("string"))
+        return F.when(hit.isNotNull(), b.withField("image", image)).otherwise(b)
+
+    more = F.transform("found_images", lambda x: F.struct(place(x["id"]).alias("relative_path"), x["content"].alias("content"), x["w"].alias("width_px"), x["h"].alias("height_px")))
+    joined = docs.join(lists, key, "left").withColumn("found_images", F.coalesce("found_images", F.array().cast(lists.schema["found_images"].dataType)))
+    return joined.withColumn("blocks", F.transform("blocks", filled)).withColumn("images", F.concat(F.coalesce("images", F.array().cast(docs.schema["images"].dataType)), more)).drop("found_images")

@@ -59,6 +59,10 @@ class Parsed:
         return {k: getattr(self, k) for k in ("format", "title", "meta", "blocks", "cells", "merged", "extents", "points", "edges", "images", "warnings")}
 
 
+#: What stands before the source of an image that is a file beside the document.
+LOCAL = "local file: "
+
+
 def run(text: str, **styles) -> dict:
     return {"text": text, **{k: v for k, v in styles.items() if v}}
 
@@ -110,7 +114,7 @@ def keep_image(out: Parsed, path: str, blob: bytes) -> tuple[int, int]:
 
 
 def load_image(src: str, alt: str, image_id: str, container: str, out: Parsed, index: int = 1) -> dict:
-    """An image by its source: data URIs are decoded; remote ones are skipped; local files are joined later, by path."""
+    """An image by its source: data URIs are decoded; remote ones are skipped; local files fail here and can be joined by path (``files.with_local_images``)."""
     image = {"id": image_id, "relative_path": "", "width_px": 0, "height_px": 0, "alt_text": alt or None, "container_kind": container, "container_index": index}
     m = re.match(r"(?s)data:[^;]+;base64,(.+)$", src or "")
     error, status = None, "failed"
@@ -127,7 +131,6 @@ def load_image(src: str, alt: str, image_id: str, container: str, out: Parsed, i
     elif re.match(r"(?i)https?://", src):
         status, error = "skipped", "remote fetch disabled"
     else:
-        error = "local file"
-        image["label"] = None
+        error = f"{LOCAL}{src}"
     out.warnings.append(f"Image {src[:200]!r}: {error}")
     return image | {"fetch_status": status, "fetch_error": error}

@@ -151,7 +151,7 @@ def test_convert_all_formats(spark):
     docs = all_formats(spark)
     got = {r["doc_id"]: r for r in convert(docs).collect()}
     assert set(got) == {1, 2, 3, 4, 5, 6, 7}
-    assert got[1]["markdown"] == "# Head\n\nab **c**\n\n| x\\|y | 2 |\n| --- | --- |\n\nPic\n\ncap" and got[1]["metadata"]["image_count"] == "1"
+    assert got[1]["markdown"] == "# Head\n\na\nb **c**\n\n| x\\|y | 2 |\n| --- | --- |\n\nPic\n\ncap" and got[1]["metadata"]["image_count"] == "1"
     assert got[2]["markdown"] == "# H\n\n> q *i*\n\n- a\n- b\n\n```py\nx\n```" and got[2]["title"] == "M"
     assert "# **Head**" in got[3]["markdown"] and "> quoted" in got[3]["markdown"] and "- Root\n  - A\n  - B" in got[3]["markdown"] and "  1. item" in got[3]["markdown"]
     assert "**Chart: Sales**\n\n|  | Y |\n| --- | --- |\n| Q1 | 4 |" in got[4]["markdown"] and 'S1["S"] --> S2["T"]' in got[4]["markdown"]
@@ -209,3 +209,17 @@ def test_render_details(spark):
     df = spark.createDataFrame([(table,)], "rows array<array<string>>")
     lines = df.select(render.gfm_table(F.col("rows"))).first()[0].split("\n")
     assert len(lines) == 4 and len({line.replace("\\|", "").count("|") for line in lines}) == 1
+
+
+def test_local_images_are_joined_by_path(spark):
+    from folioflow.sources.files import resolve_source, with_local_images
+
+    paths = [("a/./b/../c.png", "/x/y/"), ("/r/s.png", "/x"), ("../../../up.png", "/x/y"), ("http://h/p/../q.png", "/x"), ("i.png", "file:/d/")]
+    got = [r[0] for r in spark.createDataFrame(paths, "p string, b string").select(resolve_source(F.col("p"), F.col("b"))).collect()]
+    assert got == ["/x/y/a/c.png", "/r/s.png", "/up.png", "http://h/q.png", "file:/d/i.png"]
+    page = "<p>t</p><img src='img/a.png' alt='A'><img src='gone.png'><img src='../d/img/a.png?x=1'>"
+    docs = extract(spark.createDataFrame([(1, "/d/p.html", "html", page), (2, "/d/q.md", "markdown", "no image")], "doc_id long, path string, format string, content string"), keep=("path",))
+    done = {r["doc_id"]: r for r in with_local_images(docs, spark.createDataFrame([("/d/img/a.png", bytearray(PNG)), ("/d/z.png", bytearray(b"z"))], "path string, content binary")).collect()}
+    images = [b["image"] for b in done[1]["blocks"] if b["image"]]
+    assert [(i["fetch_status"], i["width_px"], i["height_px"]) for i in images] == [("ok", 2, 3), ("failed", 0, 0), ("ok", 2, 3)]
+    assert sorted(i["relative_path"] for i in done[1]["images"]) == ["raw_images/img_0.png", "raw_images/img_2.png"] and done[2]["images"] == []
