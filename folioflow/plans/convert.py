@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.markdown import keep_one_h1, postprocess, scan_pages
+from ..functions.markdown import keep_one_h1, scan_pages
+from ..functions.passes import postprocess
 from ..functions.scalars import stem
 from ..operators.clean import clean_array, clean_blocks, clean_meta
 from ..operators.layout import with_neighbors
@@ -107,11 +109,28 @@ def rendered_blocks(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce("x.ord", F.lit(0)).alias("ord"), "x.pos", "x.md", "x.item", "x.tokens", "x.images", F.when(F.coalesce("i", F.lit(0)) == 0, F.to_json("info")).alias("info"))
 
 
-def pack_and_join(rows: DataFrame, max_tokens: int, max_images: int) -> DataFrame:
+def _scans(info: str | None) -> list[int] | None:
+    return (json.loads(info).get("scans") or None) if info else None
+
+
+def postprocessed(chunks: DataFrame) -> DataFrame:
+    """The passes over chunks that come from elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, about = batch.schema.get_field_index("markdown"), batch.schema.get_field_index("info")
+            done = [None if md is None else postprocess(md, _scans(info)) for md, info in zip(batch.column(at).to_pylist(), batch.column(about).to_pylist())]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(done, pa.string()))
+
+    return chunks.mapInArrow(run, chunks.schema)
+
+
+def pack_and_join(rows: DataFrame, max_tokens: int, max_images: int, passes: bool = False) -> DataFrame:
     """Chunks (doc_id, chunk_index, markdown, truncated, images, info) of rows (doc_id, ord, pos, md, item, tokens, images, info).
 
     Rows are dealt by doc_id and sorted; a task folds them as a stream and holds one unit and one open chunk. Blocks are
-    joined by a blank line, items of one list by a line end.
+    joined by a blank line, items of one list by a line end. With ``passes`` a chunk goes through the Markdown passes where
+    it is made.
     """
     dealt = rows.select("doc_id", "info", "ord", F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("md", F.lit("")).alias("md"), F.coalesce("item", F.lit(False)).alias("item"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("images", F.lit(0)).alias("images"))
     dealt = dealt.repartition("doc_id").sortWithinPartitions("doc_id", "ord")
@@ -119,12 +138,13 @@ def pack_and_join(rows: DataFrame, max_tokens: int, max_images: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "chunk_index", "markdown", "truncated", "images", "info"]
         kinds = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.string()]
-        doc, about, unit, packer, chunk, done, held = object(), None, None, None, None, [], 0
+        doc, about, unit, packer, chunk, done, held, scans = object(), None, None, None, None, [], 0, None
 
         def close_chunk():
             nonlocal chunk, held
             if chunk is not None:
                 text = "".join(chunk["parts"])
+                text = postprocess(text, scans) if passes else text
                 done.append((doc, chunk["index"], text, chunk["big"], chunk["images"], about))
                 held += len(text)
             chunk = None
@@ -150,7 +170,7 @@ def pack_and_join(rows: DataFrame, max_tokens: int, max_images: int) -> DataFram
                 if packer is None or d != doc:
                     close_unit()
                     close_chunk()
-                    doc, about, packer = d, info, Packer(max_tokens, max_images)
+                    doc, about, packer, scans = d, info, Packer(max_tokens, max_images), _scans(info)
                 if unit is not None and unit["pos"] != pos:
                     close_unit()
                 if unit is None:
@@ -184,15 +204,16 @@ def convert(docs: DataFrame, options: ConvertOptions = ConvertOptions()) -> Data
         docs = docs.withColumn("captions", empty)
     narrow = docs.drop("images", "cells", "merged", "extents", "points", "edges")
     rows = rendered_blocks(narrow)
-    chunks = pack_and_join(rows, options.max_chunk_tokens, options.max_chunk_images)
+    at_once = not (options.keep_image_markers or options.renderer or options.debug_workspace)
+    chunks = pack_and_join(rows, options.max_chunk_tokens, options.max_chunk_images, at_once)
     if options.renderer:
         chunks = options.renderer(previous_tail(chunks)).select("doc_id", "chunk_index", "markdown", "truncated", "images", "info")
     if options.debug_workspace:
         chunks.write.mode("overwrite").parquet(options.debug_workspace)
         chunks = docs.sparkSession.read.schema(chunks.schema).parquet(options.debug_workspace)
+    if not (at_once or options.keep_image_markers):
+        chunks = postprocessed(chunks)
     whole = chunks.withColumn("info", F.from_json("info", INFO))
-    if not options.keep_image_markers:
-        whole = postprocess(whole, "markdown", F.col("info.scans"))
     parts = F.transform(F.array_sort(F.collect_list(F.when(F.trim("markdown") != "", F.struct("chunk_index", "markdown")))), lambda p: p["markdown"])
     whole = whole.groupBy("doc_id").agg(F.first("info").alias("info"), F.array_join(parts, "\n\n").alias("markdown"), F.count("*").alias("n"), F.sum("images").alias("n_images"))
     facts = F.create_map(F.lit("image_count"), F.col("n_images").cast("string"), F.lit("chunk_count"), F.col("n").cast("string"))

@@ -30,6 +30,11 @@ def rejects(files: DataFrame) -> DataFrame:
     return files.filter("format is null").select("doc_id", "path", F.concat(F.lit("unsupported format: "), F.col("ext")).alias("reason"))
 
 
+def colliding_ids(files: DataFrame) -> DataFrame:
+    """doc_ids that stand for several paths: hashes of 64 bits collide from some 10^9 files on. Empty for most collections."""
+    return files.groupBy("doc_id").agg(F.count_distinct("path").alias("paths")).filter("paths > 1")
+
+
 def _parser(fmt: str):
     if fmt == "html":
         from .html import parse_html as f

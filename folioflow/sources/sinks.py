@@ -19,8 +19,8 @@ def write_dump(docs: DataFrame, path: str) -> None:
 
 
 def write_debug(chunks: DataFrame, path: str) -> None:
-    """What each chunk was rendered from, as JSON lines by document and chunk."""
-    chunks.write.mode("overwrite").partitionBy("doc_id", "chunk_index").json(path)
+    """What each chunk was rendered from, as JSON lines; a document's chunks stand in one file, in their order."""
+    chunks.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index").write.mode("overwrite").json(path)
 
 
 def save_table(results: DataFrame, name: str, *, buckets: int | None = None) -> None:

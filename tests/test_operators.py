@@ -223,3 +223,22 @@ def test_local_images_are_joined_by_path(spark):
     images = [b["image"] for b in done[1]["blocks"] if b["image"]]
     assert [(i["fetch_status"], i["width_px"], i["height_px"]) for i in images] == [("ok", 2, 3), ("failed", 0, 0), ("ok", 2, 3)]
     assert sorted(i["relative_path"] for i in done[1]["images"]) == ["raw_images/img_0.png", "raw_images/img_2.png"] and done[2]["images"] == []
+
+
+LINES = ["# ONE TWO OF", "# Mixed", "## A", "## B", "text here", "", "  indented", "### C", "```", "~~~ x", "**[Image - pdf_page #1]**", '**[Image - pdf_page #2, "P"]**', "**[Image - pptx_slide #1]**", "Logo: x", "brand logo", "a caption", "#x", "\t", "**[Image - bad]**"]
+
+
+def test_passes_over_texts_equal_those_over_columns(spark):
+    """Both forms of every pass on many random texts."""
+    from folioflow.functions import passes
+
+    rng = random.Random(7)
+    texts = ["", "\n", "x"] + ["\n".join(rng.choice(LINES) for _ in range(rng.randint(1, 14))) + "\n" * rng.randrange(3) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for name in ("strip_decorative", "dedupe_markers", "strip_markers", "demote_second_h2", "keep_one_h1", "titlecase_h1"):
+        got = [r[0] for r in df.select(getattr(M, name)(F.col("t"))).collect()]
+        for text, column in zip(texts, got):
+            assert getattr(passes, name)(text) == column, (name, text)
+    for pages in ([], [1], [1, 2]):
+        got = [r[0] for r in df.select(M.strip_scan_markers(F.col("t"), F.array(*map(F.lit, pages)).cast("array<int>"))).collect()]
+        assert [passes.strip_scan_markers(t, pages) for t in texts] == got
