@@ -48,7 +48,7 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Elements of the matrix of sketch hashes held at once.
 _CELLS = 1 << 21
 #: A block of texts compared with another one: so many words at most, and so many texts.
-_BLOCK_WORDS, _BLOCK_TEXTS = 1 << 19, 512
+_BLOCK_WORDS, _BLOCK_TEXTS = 1 << 20, 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -284,10 +284,21 @@ class _Run:
                 self.tables.drop(both)
                 return labels.select("rid", "label")
 
-    def joined(self, labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    def forest(self, links: DataFrame) -> DataFrame:
+        """(rid, label) of links (a, b) in which every b stands once and after its a: each text takes its label's label until none changes."""
+        tops = links.select(F.col("a").alias("rid")).distinct().join(links.select(F.col("b").alias("rid")), "rid", "left_anti")
+        labels = self.tables.save(links.select(F.col("b").alias("rid"), F.col("a").alias("label")).unionByName(tops.select("rid", F.col("rid").alias("label"))), "labels")
+        while True:
+            up = labels.select(F.col("rid").alias("label"), F.col("label").alias("above"))
+            after = self.tables.save(labels.join(up, "label").select("rid", F.col("label").alias("was"), F.col("above").alias("label")), "labels")
+            changed = not after.filter("was <> label").isEmpty()
+            self.tables.drop(labels)
+            labels = after
+            if not changed:
+                return labels.select("rid", "label")
+
+    def joined(self, labels: DataFrame, found: DataFrame) -> DataFrame:
         """Labels after further links: only those between different components are followed, each component as one point."""
-        if labels is None:
-            return self.components(found)
         known = lambda side: labels.select(F.col("rid").alias(side), F.col("label").alias(f"l{side}"))
         named = found.join(known("a"), "a", "left").join(known("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
         bridges = self.tables.save(named.filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "bridges")
@@ -371,7 +382,7 @@ class _Run:
         # The text that shares most keys comes first; what is in one component by then is not aligned again.
         star = self.star(members)
         nearest = tables.save(star.groupBy("b").agg(F.max(F.struct("keys", (-F.col("a")).alias("low"))).alias("top")).select((-F.col("top.low")).alias("a"), "b"), "nearest")
-        labels = self.joined(None, self.verified(nearest, texts, "links"))
+        labels = self.forest(self.verified(nearest, texts, "links"))
         others = tables.save(self.apart(star, labels).join(nearest, ["a", "b"], "left_anti"), "others")
         labels = self.joined(labels, self.verified(others, texts, "more-links"))
         rest = tables.save(self.open_buckets(members.drop("hub_words"), labels), "open")
