@@ -42,6 +42,12 @@ class NearDupParams:
     seed: int = 97
     #: Texts of up to so many words have exact candidate keys beside the sketches.
     short: int = 30
+    #: Texts of up to ``dense_words`` words have ``dense`` sketches: theirs hold fewer unbroken k-mers at the same similarity.
+    dense: int = 96
+    dense_words: int = 75
+
+    def sketches_of(self, words: int) -> int:
+        return max(self.dense, self.sketches) if words <= self.dense_words else self.sketches
 
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -76,15 +82,16 @@ def kmer_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def order_sketches(h: np.ndarray, p: NearDupParams) -> np.ndarray:
-    """One 64-bit key per sketch: its smallest labelled k-mers, in text order, folded together with the sketch's number."""
+def order_sketches(h: np.ndarray, p: NearDupParams, count: int | None = None) -> np.ndarray:
+    """One 64-bit key per sketch (``count`` of them): its smallest labelled k-mers, in text order, folded together with the sketch's number."""
     rng = np.random.default_rng(p.seed)
-    mul = rng.integers(1, 1 << 63, p.sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, p.sketches, dtype=np.uint64)
-    keys = np.zeros(p.sketches, np.uint64)
+    count, most = count or p.sketches, max(p.dense, p.sketches)
+    mul = rng.integers(1, 1 << 63, most, dtype=np.uint64)[:count] * np.uint64(2) + np.uint64(1)
+    add = rng.integers(0, 1 << 63, most, dtype=np.uint64)[:count]
+    keys = np.zeros(count, np.uint64)
     take = min(p.order, len(h))
     step = max(1, _CELLS // len(h))
-    for at in range(0, p.sketches, step):
+    for at in range(0, count, step):
         m, a = mul[at : at + step, None], add[at : at + step, None]
         v = h[None, :] * m + a
         v ^= v >> np.uint64(29)
@@ -108,7 +115,7 @@ def _sketch_batches(p: NearDupParams):
             sizes = [len(x) for x in lists]
             hashes = pd.util.hash_array(np.array(list(itertools.chain.from_iterable(lists)), dtype=object), categorize=True) if sum(sizes) else np.zeros(0, np.uint64)
             ends = np.cumsum(sizes)
-            keys = [order_sketches(kmer_hashes(hashes[e - n : e], p.k), p).view(np.int64) if n else None for n, e in zip(sizes, ends)]
+            keys = [order_sketches(kmer_hashes(hashes[e - n : e], p.k), p, p.sketches_of(n)).view(np.int64) if n else None for n, e in zip(sizes, ends)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_words", "keys"])
 
     return run
