@@ -28,8 +28,10 @@ from .common import Scratch, free_names, slices, text_slices
 CACHE_BYTES, ENTRY_BYTES = 40 << 20, 160
 #: Longer pre-tokens are encoded each time and not kept; nor are they broadcast.
 CACHE_PIECE_CHARS = 64
-#: The pre-tokens that most texts hold, so many at most, meet the frequencies by broadcast; the others by shuffle.
-HEAD_PIECES = 100_000
+#: The pre-tokens that most texts hold, so many at most, meet the frequencies in the workers; the others by shuffle.
+HEAD_PIECES = 250_000
+#: Distinct pre-tokens that a task adds up before it gives them away.
+HELD_PIECES = 300_000
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
 # The byte-level BPE splitting pattern, written for the blocks named in _OUTSIDE.
@@ -210,26 +212,29 @@ def piece_table(path: str) -> PieceTable:
     return _TABLES[path]
 
 
-def pretoken_frequencies(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, its distinct pre-tokens (``pieces``) and how often each stands in it (``counts``).
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    ``special`` counts the tokens of a text with an added token's string; it has no pieces.
-    """
-    names = ["doc_id", "n_bytes", "special", "pieces", "counts"]
+
+def pretokens(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+    """(piece, held): every distinct pre-token and how many texts hold it. A task adds up what it has before it gives rows away."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = splitter(tokenizer_path(tokenizer))
+        own, held = splitter(tokenizer_path(tokenizer)), Counter()
+
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["piece", "held"])
+            held.clear()
+            return out
+
         for batch in slices(batches):
-            special, found, sizes = [], [], []
-            for text, pieces in own.cut(batch.column(1)):
-                special.append(0 if pieces is not None else len(own.whole(text)))
-                found.append(Counter(pieces or ()))
-                sizes.append(len(text.encode()))
-            cols = [pa.array(sizes, pa.int64()), pa.array(special, pa.int64()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
+            for _, pieces in own.cut(batch.column(1)):
+                held.update(set(pieces or ()))
+            if len(held) > HELD_PIECES:
+                yield rows()
+        yield rows()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, special long, pieces array<string>, counts array<int>")
+    return _plain(docs).mapInArrow(run, "piece string, held long").groupBy("piece").agg(F.sum("held").alias("held"))
 
 
 def piece_sizes(pieces: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
@@ -244,6 +249,12 @@ def piece_sizes(pieces: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER) -> Dat
     return pieces.select("piece", "held").mapInArrow(run, "piece string, held long, size long")
 
 
+def _head(sizes: DataFrame, most: int) -> tuple[dict[str, int], int]:
+    """The sizes of the pre-tokens that most texts hold, ``most`` of them and none over ``CACHE_PIECE_CHARS`` characters; and the fewest texts that hold one."""
+    top = sizes.filter(F.length("piece") <= CACHE_PIECE_CHARS).orderBy(F.desc("held"), "piece").limit(most).select("piece", "size", "held").toArrow()
+    return dict(zip(top.column("piece").to_pylist(), top.column("size").to_pylist())), pc.min(top.column("held")).as_py() or 0
+
+
 def count_tokens(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, limit: int = 1024, head: int = HEAD_PIECES) -> DataFrame:
     """Tokens of every whole text: the sizes of all distinct pre-tokens, each counted once, joined to the texts' frequencies and summed.
 
@@ -251,23 +262,40 @@ def count_tokens(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, limit:
     0 bytes, 0 tokens. Null and repeated doc_ids stay as they are; other columns of ``docs`` are not read; an empty
     table gives no rows. Texts with an added token's string are counted by the library whole.
 
-    The frequencies are written once to the shared folder. Their distinct pre-tokens are gathered by partial aggregation,
-    so a common one is shuffled once per task. The ``head`` pre-tokens that most texts hold (of bounded number and length)
-    are broadcast to the frequencies; only rows of rarer ones are shuffled, and each of those stands in few texts.
+    A first pass gathers the distinct pre-tokens, a common one once per task, and counts each. A second pass makes every
+    text's frequencies. The sizes of the ``head`` pre-tokens that most texts hold (bounded in number and length; the driver
+    and each worker hold them) meet them there; the frequencies of all others are shuffled to their sizes, and each of those
+    pre-tokens stands in few texts.
     """
-    tables = Scratch(docs.sparkSession, "token-counts")
-    texts = tables.save(pretoken_frequencies(docs, tokenizer=tokenizer).withColumn("rid", F.monotonically_increasing_id()), "frequencies", compression="zstd")
-    held = texts.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("held"))
-    sizes = tables.save(piece_sizes(held, tokenizer=tokenizer), "sizes")
-    common = sizes.filter(F.length("piece") <= CACHE_PIECE_CHARS).orderBy(F.desc("held"), "piece").limit(head).select("piece", "size")
-    common = tables.save(common, "common")
-    pairs = texts.select("rid", F.explode(F.arrays_zip("pieces", "counts")).alias("p")).select("rid", F.col("p.pieces").alias("piece"), F.col("p.counts").alias("n"))
-    near = pairs.join(F.broadcast(common), "piece")
-    rare = pairs.join(F.broadcast(common.select("piece")), "piece", "left_anti").join(sizes.join(F.broadcast(common.select("piece")), "piece", "left_anti"), "piece")
-    totals = [x.groupBy("rid").agg(F.sum(F.col("n") * F.col("size")).alias("n")) for x in (near, rare)]
-    summed = totals[0].unionByName(totals[1]).groupBy("rid").agg(F.sum("n").alias("n"))
-    counted = texts.select("rid", "doc_id", "n_bytes", "special").join(summed, "rid", "left")
-    n = F.col("special") + F.coalesce("n", F.lit(0))
+    spark = docs.sparkSession
+    tables = Scratch(spark, "token-counts")
+    sizes = tables.save(piece_sizes(pretokens(docs, tokenizer=tokenizer), tokenizer=tokenizer), "sizes")
+    common, cut = _head(sizes, head)
+    handle = spark.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size_of = splitter(tokenizer_path(tokenizer)), handle.value.get
+        for batch in slices(batches):
+            known, n_bytes, rare, counts = [], [], [], []
+            for text, pieces in own.cut(batch.column(1)):
+                n_bytes.append(len(text.encode()))
+                seen = Counter(pieces or ())
+                found = list(map(size_of, seen))
+                known.append(len(own.whole(text)) if pieces is None else sum(n * size for n, size in zip(seen.values(), found) if size is not None))
+                others = [(p, n) for (p, n), size in zip(seen.items(), found) if size is None]
+                rare.append([p for p, _ in others])
+                counts.append([n for _, n in others])
+            cols = [pa.array(n_bytes, pa.int64()), pa.array(known, pa.int64()), pa.array(rare, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "known", "rare", "counts"])
+
+    texts = _plain(docs).mapInArrow(run, "doc_id long, n_bytes long, known long, rare array<string>, counts array<int>")
+    texts = tables.save(texts.withColumn("rid", F.monotonically_increasing_id()), "frequencies", compression="zstd")
+    pairs = texts.select("rid", F.explode(F.arrays_zip("rare", "counts")).alias("p")).select("rid", F.col("p.rare").alias("piece"), F.col("p.counts").alias("n"))
+    # A pre-token outside of the head stands in no more texts than the head's rarest, unless it is long.
+    others = sizes.filter((F.col("held") <= cut) | (F.length("piece") > CACHE_PIECE_CHARS)).select("piece", "size")
+    summed = pairs.join(others, "piece").groupBy("rid").agg(F.sum(F.col("n") * F.col("size")).alias("more"))
+    counted = texts.select("rid", "doc_id", "n_bytes", "known").join(summed, "rid", "left")
+    n = F.col("known") + F.coalesce("more", F.lit(0))
     return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
