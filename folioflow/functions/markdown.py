@@ -139,12 +139,14 @@ def titlecase_h1(md: Column) -> Column:
     lines = lines_of(md)
     letters = lambda line: F.regexp_replace(F.substring(line, 3, 1 << 30), r"\P{L}", "")
     hit = lambda line: F.startswith(line, F.lit("# ")) & (letters(line) != "") & ~letters(line).rlike(r"[^\p{Lu}]")
-    hits = F.transform(F.slice(lines, 1, TITLE_LINES), hit)
-    at = F.array_position(hits, F.lit(True))
+    top = F.slice(lines, 1, TITLE_LINES)
+    at = F.array_position(F.transform(top, hit), F.lit(True))
     words = lambda line: F.filter(F.split(strip_space(F.substring(line, 3, 1 << 30)), r"(?U)\s+"), lambda w: w != "")
     capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))
     cased = lambda line: F.concat(F.lit("# "), F.array_join(F.transform(words(line), lambda w, j: F.when((j > 0) & F.lower(w).isin(*SMALL_WORDS), F.lower(w)).otherwise(capital(w))), " "))
-    return F.array_join(F.transform(lines, lambda line, i: F.when(i + 1 == at, cased(line)).otherwise(line)), "\n")
+    # Only the first lines are looked at; what a lambda refers to is computed again for each element.
+    first = F.transform(top, lambda line, i: F.when(i + 1 == at, cased(line)).otherwise(line))
+    return F.array_join(F.concat(first, F.slice(lines, TITLE_LINES + 1, 1 << 30)), "\n")
 
 
 def postprocess(df: DataFrame, column: str = "markdown", scans: Column | None = None) -> DataFrame:
