@@ -91,6 +91,14 @@ def test_html_details():
     assert image["image"]["fetch_status"] == "skipped" and len(p.images) == 1
 
 
+def test_entities_in_blocks_need_their_semicolon():
+    (heading,) = parse_html("<h1>a&amp;&amp</h1>").blocks
+    assert texts(heading) == "a&&amp"
+    link, note = parse_html("<p><a href='?a=1&copy=2&amp;lt'>&ampfoo; &lt;&copy; &#65; &am &</a><p><!--x&amp y--></p>").blocks
+    assert link["runs"][0] == {"text": "&ampfoo; <© A &am &", "hyperlink": "?a=1&copy=2&lt"} and texts(note) == "x&amp y"
+    assert texts(parse_html("<h1>\ufdd0&amp \ufdd1</h1>").blocks[0]) == "\ufdd0&amp \ufdd1"
+
+
 def test_frontmatter_and_inline():
     assert frontmatter('---\ntitle: "T"\n# c\n- x\nk: \'v\'\n---\n# H') == ({"title": "T", "k": "v"}, "# H")
     assert frontmatter("no") == ({}, "no")
