@@ -99,6 +99,10 @@ def test_entities_in_blocks_need_their_semicolon():
     assert texts(parse_html("<h1>\ufdd0&amp \ufdd1</h1>").blocks[0]) == "\ufdd0&amp \ufdd1"
 
 
+def test_entities_in_titles_need_their_semicolon():
+    assert [parse_html(f"<title> x{a} </title><p>y").title for a in ("&amp;&amp", "&lt", "&quot;", "&#38;")] == ["x&&amp", "x&lt", 'x"', "x&"]
+
+
 def test_frontmatter_and_inline():
     assert frontmatter('---\ntitle: "T"\n# c\n- x\nk: \'v\'\n---\n# H') == ({"title": "T", "k": "v"}, "# H")
     assert frontmatter("no") == ({}, "no")
