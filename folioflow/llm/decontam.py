@@ -11,6 +11,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,8 @@ class ItemIndex:
             self.pairs[self._slot(a[:-1], a[1:])] = True
         self.items.sort(key=lambda x: (len(x[1]), x[0] is None, x[0] or 0, x[1]))
         self.longest = len(self.items[-1][1]) if self.items else 0
+        #: Of each word, its place among those of the item in hand; -1 for all others.
+        self.places = np.full(len(self.vocabulary) + 1, -1, np.int64)
         at = 0
         #: Length of a part -> (its sorted hashes, the item and the part's place in it for each).
         self.parts: dict[int, tuple[np.ndarray, list[tuple[int, int]]]] = {}
@@ -142,7 +145,11 @@ class ItemIndex:
         keys = self._keys([cgk_walk(strings, steps, p.seed, w) for w in range(walks)], picked).reshape(-1)
         order = np.argsort(keys, kind="stable")
         owners = np.tile(np.arange(at, stop), walks * p.repeats)
-        return {"keys": keys[order], "owners": owners[order], "picked": picked, "steps": steps, "walks": walks, "most": max(sizes), "needed": min(n - 1 - 2 * edit_limit(n, p.similarity) for n in sizes)}
+        # Whether any key has these first bits; most found ones have none and need no search.
+        shift = np.uint64(64 - min(22, max(16, len(keys).bit_length() + 5)))
+        held = np.zeros(1 << (64 - int(shift)), bool)
+        held[(keys >> shift).astype(np.int64)] = True
+        return {"keys": keys[order], "owners": owners[order], "shift": shift, "held": held, "picked": picked, "steps": steps, "walks": walks, "most": max(sizes), "needed": min(n - 1 - 2 * edit_limit(n, p.similarity) for n in sizes)}
 
     @staticmethod
     def _keys(walks: list[np.ndarray], picked) -> np.ndarray:
@@ -181,19 +188,21 @@ class ItemIndex:
         begins = []
         for text in texts:
             begins.append(len(flat))
-            flat += [get(w, 0) for w in plain_words(text)] if text else ()
+            flat.extend(map(get, plain_words(text), repeat(0)) if text else ())
             flat += gap
         begin = np.array(begins)
         ids = np.array(flat + gap, np.int64)
         pair = np.zeros(len(ids), bool)
         at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
         pair[at] = self.pairs[self._slot(ids[at], ids[at + 1])]
-        total = np.concatenate([[0], np.cumsum(pair)])
         last = len(flat)
+        total = np.zeros(last + self.longest + 1, np.int32)
+        np.cumsum(pair[:last], out=total[1 : last + 1])
+        total[last + 1 :] = total[last]
         self._look_up(ids, begin, best)
         for band in self.bands:
-            most = np.minimum(np.arange(last) + band["most"] - 1, last)
-            starts = np.flatnonzero(total[most] - total[:last] >= band["needed"])
+            most = band["most"] - 1
+            starts = np.flatnonzero(total[most : most + last] - total[:last] >= band["needed"])
             rows = max(1, self.p.cells // band["steps"])
             for chunk in range(0, len(starts), rows):
                 part = starts[chunk : chunk + rows]
@@ -218,14 +227,35 @@ class ItemIndex:
 
     def _meet(self, band: dict, found: np.ndarray, starts: np.ndarray, ids: np.ndarray, begin: np.ndarray, best: list[dict]) -> None:
         flat = found.reshape(-1)
-        lo = np.searchsorted(band["keys"], flat, "left")
-        hit = np.flatnonzero(band["keys"][np.minimum(lo, len(band["keys"]) - 1)] == flat)
-        if not len(hit):
-            return
-        hi = np.searchsorted(band["keys"], flat[hit], "right")
-        met = {(int(o), int(k % len(starts))) for k, a, b in zip(hit, lo[hit], hi) for o in band["owners"][a:b]}
-        for owner, k in sorted(met):
-            self._verify(owner, int(starts[k]), ids, begin, best)
+        hit = np.flatnonzero(band["held"][(flat >> band["shift"]).astype(np.int64)])
+        lo, hi = (np.searchsorted(band["keys"], flat[hit], side) for side in ("left", "right"))
+        times = hi - lo
+        first = np.repeat(lo - np.cumsum(times) + times, times)
+        owners = band["owners"][first + np.arange(len(first))]
+        met = np.unique(owners * len(starts) + np.repeat(hit % len(starts), times))
+        at = 0
+        while at < len(met):
+            owner = int(met[at] // len(starts))
+            stop = int(np.searchsorted(met, (owner + 1) * len(starts)))
+            for start in self._fitting(owner, starts[met[at:stop] % len(starts)], ids).tolist():
+                self._verify(owner, start, ids, begin, best)
+            at = stop
+
+    def _fitting(self, owner: int, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The starts whose windows share so many words with the item, each as often as both have it, as any window within its edit limit does."""
+        names, counts = np.unique(self.items[owner][1], return_counts=True)
+        n, m = len(self.items[owner][1]), len(names)
+        place = self.places
+        place[names] = np.arange(m)
+        out = []
+        for at in range(0, len(starts), rows := max(1, self.p.cells // n)):
+            part = starts[at : at + rows]
+            cells = place[ids[part[:, None] + np.arange(n)]]
+            row, _ = np.nonzero(cells >= 0)
+            held = np.bincount(row * m + cells[cells >= 0], minlength=len(part) * m).reshape(-1, m)
+            out.append(part[np.minimum(held, counts).sum(axis=1) >= n - edit_limit(n, self.p.similarity)])
+        place[names] = -1
+        return np.concatenate(out)
 
     def _verify(self, owner: int, start: int, ids: np.ndarray, begin: np.ndarray, best: list[dict]) -> None:
         """Align an item with the window of its size at ``start``; the best window of its text is kept."""

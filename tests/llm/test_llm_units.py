@@ -204,6 +204,16 @@ def test_long_items_are_searched_in_bounded_pieces():
     assert 1 in hits[0] and 2 in hits[1] and 1 not in hits[1] and index.rows < 100
 
 
+def test_windows_that_lack_words_of_an_item_are_not_aligned(monkeypatch):
+    item = [f"w{i}" for i in range(40)]
+    aligned = []
+    monkeypatch.setattr(decontam, "banded_distance", lambda a, b, limit, f=decontam.banded_distance: aligned.append(len(a)) or f(a, b, limit))
+    index = decontam.ItemIndex([(1, " ".join(item))], decontam.DecontamParams())
+    assert index.search([" ".join(item[:25] * 8), "x " * 9 + " ".join([*item[:39], "y"])]) == [{}, {1: (1, 9, 40, 40)}]
+    # Only windows of the second text, and at most twice the edit limit of them.
+    assert 1 <= len(aligned) <= 17
+
+
 def test_exact_passages_are_always_found():
     rng = random.Random(2)
     pool = [f"w{i}" for i in range(300)]
