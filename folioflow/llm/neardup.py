@@ -271,25 +271,26 @@ class _Run:
     def components(self, edges: DataFrame) -> DataFrame:
         """(rid, label): the smallest rid of its component, for every text with a link.
 
-        Each round takes the smallest label among the neighbours and then that label's own label, so labels cross long
-        chains in few rounds; the driver only learns whether any changed.
+        Each round hangs every text on its smallest neighbour before it, follows these to their tops (``forest``) and makes
+        each tree one point. Only links between different points go on, each once, so they grow few in few rounds and no
+        round reads all links again.
         """
-        back = edges.select(F.col("b").alias("rid"), F.col("a").alias("other"))
-        both = self.tables.save(edges.select(F.col("a").alias("rid"), F.col("b").alias("other")).unionByName(back).distinct(), "edges")
-        labels = self.tables.save(both.groupBy("rid").agg(F.min("other").alias("low")).select("rid", F.least("rid", "low").alias("label")), "labels")
-        while True:
-            near = both.join(labels.select(F.col("rid").alias("other"), "label"), "other").select("rid", "label", F.lit(None).cast("long").alias("was"))
-            own = labels.select("rid", "label", F.col("label").alias("was"))
-            low = near.unionByName(own).groupBy("rid").agg(F.min("label").alias("label"), F.max("was").alias("was"))
-            up = labels.select(F.col("rid").alias("label"), F.col("label").alias("above"))
-            step = low.join(up, "label", "left").select("rid", "was", F.least("label", F.coalesce("above", "label")).alias("label"))
-            after = self.tables.save(step, "labels")
-            changed = not after.filter("was <> label").isEmpty()
-            self.tables.drop(labels)
-            labels = after
-            if not changed:
-                self.tables.drop(both)
-                return labels.select("rid", "label")
+        links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+        links = self.tables.save(links, "edges")
+        ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).distinct()
+        done = self.tables.save(ends.select("rid", F.col("rid").alias("label")), "labels")
+        while not links.isEmpty():
+            tops = self.forest(links.groupBy("b").agg(F.min("a").alias("a")))
+            moved = tops.select(F.col("rid").alias("label"), F.col("label").alias("to"))
+            after = self.tables.save(done.join(moved, "label", "left").select("rid", F.coalesce("to", "label").alias("label")), "labels")
+            known = lambda side: tops.select(F.col("rid").alias(side), F.col("label").alias(f"l{side}"))  # noqa: B023, E731
+            named = links.join(known("a"), "a", "left").select("b", F.coalesce("la", "a").alias("la")).distinct()
+            named = named.join(known("b"), "b", "left").select("la", F.coalesce("lb", "b").alias("lb")).filter("la <> lb")
+            fewer = self.tables.save(named.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
+            self.tables.drop(links, done)
+            links, done = fewer, after
+        self.tables.drop(links)
+        return done.select("rid", "label")
 
     def forest(self, links: DataFrame) -> DataFrame:
         """(rid, label) of links (a, b) in which every b stands once and after its a: each text takes its label's label until none changes."""

@@ -132,6 +132,20 @@ def test_short_texts_are_all_linked(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(rows)
 
 
+def test_components_read_all_links_in_one_round_only(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = {(h, b) for b in range(20, 400) for h in rng.sample(range(20), 6) if h % 2 == b % 2} | {(k, k + 1) for k in range(500, 560)} | {(900, 700), (700, 800)}
+    run, seen = neardup._Run(spark, neardup.NearDupParams()), []
+    monkeypatch.setattr(run.tables, "save", lambda df, name, f=run.tables.save, **o: seen.append((name, (out := f(df, name, **o)).count())) or out)
+    got = {r["rid"]: r["label"] for r in run.components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    want = {x: x for p in pairs for x in p}
+    while (step := {x: min([want[x], *(want[a] for a, b in pairs if b == x), *(want[b] for a, b in pairs if a == x)]) for x in want}) != want:
+        want = step
+    assert got == want
+    links = [n for name, n in seen if name == "edges"]
+    assert links[0] == len(pairs) and links[-1] == 0 and sum(links[1:]) < len(pairs) / 2
+
+
 def test_block_links_lose_nothing():
     """Blocks of one group, met two by two, join the same texts as all pairs do."""
     rng = random.Random(2)
