@@ -54,7 +54,9 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Elements of the matrix of sketch hashes held at once.
 _CELLS = 1 << 21
 #: A block of texts compared with another one: so many words at most, and so many texts.
-_BLOCK_WORDS, _BLOCK_TEXTS = 1 << 20, 1024
+_BLOCK_WORDS, _BLOCK_TEXTS = 1 << 20, 2048
+#: A pair that meets by a rare word costs as much as so many that are counted all together.
+_DENSE = 12
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -193,6 +195,38 @@ def shared_words(bags: list[np.ndarray], first: slice, second: slice) -> np.ndar
     return out
 
 
+def rare_meetings(bags: list[np.ndarray], split: int, similarity: float, most: int) -> np.ndarray | None:
+    """Pairs (first, second) of texts that meet by a word among their rarest, as many as the edit limit and one; None if words give over ``most`` pairs.
+
+    In any common order of words no pair within the limit is missed (prefix filter); here it is the order of how many texts hold them.
+    """
+    sizes = np.array([len(b) for b in bags])
+    _, ids, held = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+    texts = np.repeat(np.arange(len(bags)), sizes)
+    order = np.lexsort((ids, held[ids], texts))
+    ids = ids[order]
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rare = (place < np.repeat([prefix_size(int(n), similarity) for n in sizes], sizes)) & (held[ids] > 1)
+    ids, texts = ids[rare], texts[rare]
+    order = np.argsort(ids, kind="stable")  # texts of a word stay in order
+    ids, texts = ids[order], texts[order]
+    # Each text meets those after it in its word, from the second block only if there are two.
+    stop = np.searchsorted(ids, ids, "right")
+    begin = np.arange(len(ids)) + 1
+    if split:
+        second = np.cumsum(np.concatenate([[0], texts < split]))
+        first_of = np.searchsorted(ids, ids, "left")
+        begin = first_of + second[stop] - second[first_of]
+        begin[texts >= split] = stop[texts >= split]
+    times = stop - begin
+    total = int(times.sum())
+    if total > most:
+        return None
+    at = np.repeat(begin - np.cumsum(times) + times, times) + np.arange(total)
+    pairs = np.unique(np.repeat(texts, times) * len(bags) + texts[at])
+    return np.stack([pairs // len(bags), pairs % len(bags)], axis=1)
+
+
 def block_links(rids: list[int], labels: list[int], words: list[np.ndarray], split: int, similarity: float) -> list[tuple[int, int]]:
     """Links that join all components which links between texts before ``split`` and texts from it on join; within one block if it is 0.
 
@@ -204,12 +238,22 @@ def block_links(rids: list[int], labels: list[int], words: list[np.ndarray], spl
         return []
     sizes = np.array([len(w) for w in words])
     bags = [kmer_hashes(w.view(np.uint64), 1) for w in words]
-    longer = np.maximum(sizes[first, None], sizes[None, second])
-    limit = np.floor((1 - similarity) * longer + 1e-9)
     same = np.array(labels)
-    ok = (shared_words(bags, first, second) >= longer - limit) & (same[first, None] != same[None, second])
-    if not split:
-        ok = np.triu(ok, 1)
+    met = rare_meetings(bags, split, similarity, (first.stop - first.start) * (second.stop - second.start) // _DENSE)
+    if met is not None:
+        a, b = met[same[met[:, 0]] != same[met[:, 1]]].T
+        longer = np.maximum(sizes[a], sizes[b])
+        needed = longer - np.floor((1 - similarity) * longer + 1e-9)
+        fits = np.minimum(sizes[a], sizes[b]) >= needed
+        pairs = ((i, j) for i, j, n in zip(a[fits].tolist(), b[fits].tolist(), needed[fits].tolist()) if len(np.intersect1d(bags[i], bags[j], assume_unique=True)) >= n)
+    else:
+        # Rare words rule too little out: all shared words are counted.
+        longer = np.maximum(sizes[first, None], sizes[None, second])
+        limit = np.floor((1 - similarity) * longer + 1e-9)
+        ok = (shared_words(bags, first, second) >= longer - limit) & (same[first, None] != same[None, second])
+        if not split:
+            ok = np.triu(ok, 1)
+        pairs = ((i, j + second.start) for i, j in zip(*(x.tolist() for x in np.nonzero(ok))))
     parent = {x: x for x in labels}
 
     def root(x):
@@ -219,8 +263,7 @@ def block_links(rids: list[int], labels: list[int], words: list[np.ndarray], spl
         return x
 
     out, lists = [], {}
-    for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
-        j += second.start
+    for i, j in pairs:
         a, b = root(labels[i]), root(labels[j])
         if a == b:
             continue

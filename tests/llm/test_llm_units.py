@@ -273,3 +273,23 @@ def test_line_rules():
     assert r["n_failed_lines"] == 3 and r["base_failed"]
     assert quality_rules.clean_text("ok.\nhome | a | b | c\n") == "ok.\n"
     assert quality_rules.judge(None) == quality_rules.judge("") and not quality_rules.judge("")["kept"]
+
+
+def test_blocks_meet_by_rare_words_alike(monkeypatch):
+    """Texts around one passage: the links are those of counting all shared words, without counting them."""
+    rng = random.Random(12)
+    words = [np.array([*range(60), *rng.sample(range(1000, 90_000), 60)]) for _ in range(150)]
+    for k in range(60):
+        near = words[k].copy()
+        near[rng.sample(range(120), rng.choice([3, 20, 24]))] = [rng.randrange(100_000, 200_000) for _ in range(1)][0]
+        words.append(near[: rng.choice([100, 118, 120])])
+    order = rng.sample(range(len(words)), len(words))
+    words = [words[k].astype(np.int64) for k in order]
+    for split in (0, 90):
+        args = (list(range(len(words))), list(range(len(words))), words, split, 0.8)
+        monkeypatch.setattr(neardup, "_DENSE", 1 << 40)
+        dense = neardup.block_links(*args)
+        monkeypatch.setattr(neardup, "_DENSE", 12)
+        with monkeypatch.context() as m:
+            m.setattr(neardup, "shared_words", None)
+            assert neardup.block_links(*args) == dense and len(dense) >= 10
