@@ -225,6 +225,21 @@ def test_local_images_are_joined_by_path(spark):
     assert sorted(i["relative_path"] for i in done[1]["images"]) == ["raw_images/img_0.png", "raw_images/img_2.png"] and done[2]["images"] == []
 
 
+def test_html_title_equals_its_sql(spark, tmp_path):
+    """A row for every page, also null ones, those without a title and those that share an id."""
+    duckdb = pytest.importorskip("duckdb")
+    from folioflow.plans import catalogue, registry
+
+    inside = ["x", " x ", "\n x \n", "\tx", "x\u00a0", "\u3000x", "x\u2028", "", " ", "\n", "a\nb", "a &lt; b", "a < b", "a<b>c</b> d", "a <!-- c --> d", "<!-- z", "<script>q</script>z", "x</titl>", "a</", "&amp;lt;", "a&&amp", "&copy;&middot;&quot;&gt;", "&copy"]
+    pages = [f"<html><head><title>{t}</title></head><body><h1>h</h1></body></html>" for t in inside] + [None, "", " ", "no page", "<p>x</p>", "<title>a</title><title>b</title>", "<svg><title>s</title></svg>"]
+    rows = [(i, p) for i, p in enumerate(pages)] + [(0, "<title>again</title>"), (None, "<title>n</title>")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = [tuple(r) for r in catalogue.html_title(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(db.execute(registry.ORACLE_SQL["html_title"]).fetchall(), key=repr)
+
+
 LINES = ["# ONE TWO OF", "# Mixed", "## A", "## B", "text here", "", "  indented", "### C", "```", "~~~ x", "**[Image - pdf_page #1]**", '**[Image - pdf_page #2, "P"]**', "**[Image - pptx_slide #1]**", "Logo: x", "brand logo", "a caption", "#x", "\t", "**[Image - bad]**"]
 
 

@@ -103,6 +103,19 @@ def test_entities_in_titles_need_their_semicolon():
     assert [parse_html(f"<title> x{a} </title><p>y").title for a in ("&amp;&amp", "&lt", "&quot;", "&#38;")] == ["x&&amp", "x&lt", 'x"', "x&"]
 
 
+def test_titles_hold_text_only():
+    """No element or comment begins inside of a title that is closed; one left open does not take the page with it."""
+    cases = {"a < b": "a < b", "a<b>c</b> d": "a<b>c</b> d", "a <!-- c --> d": "a <!-- c --> d", "<!-- z": "<!-- z", "<script>q</script>z": "<script>q</script>z", "x</titl>": "x</titl>", "\n a\nb &lt;\n": "a\nb <", "&lt;/title>": "</title>"}
+    for source, want in cases.items():
+        p = parse_html(f"<title>{source}</title><p>y")
+        assert (p.title, [texts(b) for b in p.blocks]) == (want, ["y"]), source
+    for page in ("<title>x<p>y", "<title><p>y", "<title/><p>y", "<title>a</title><title>x<p>y", "<noscript><title></noscript><p>y</title>"):
+        assert [texts(b) for b in parse_html(page).blocks] == ["y"], page
+    assert parse_html("<title>x\n<p>y</p><p>z").title == "x"
+    every = "".join(map(chr, range(0xFDD0, 0xFDF0)))
+    assert parse_html(f"<title>x&amp</title><p>{every}").title == "x&amp"
+
+
 def test_frontmatter_and_inline():
     assert frontmatter('---\ntitle: "T"\n# c\n- x\nk: \'v\'\n---\n# H') == ({"title": "T", "k": "v"}, "# H")
     assert frontmatter("no") == ({}, "no")
