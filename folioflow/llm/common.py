@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of Python objects held at once inside a worker, whatever the Arrow batch size is.
 SLICE_ROWS = 256
+#: Bytes of an Arrow batch between Spark and a worker inside of ``small_batches``; the row that reaches them is the batch's last, however long.
+BATCH_BYTES = 2 << 20
 
 _WORD = re.compile(r"\w+")
 
@@ -65,6 +68,19 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What runs inside gets Arrow batches of about ``size`` bytes. Spark's own bound of 64 MB holds for each task in the executor and again in its worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, held = spark.conf.get(name), spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < held <= size:
+        spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

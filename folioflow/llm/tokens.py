@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_names, slices, text_slices
+from .common import Scratch, free_names, slices, small_batches, text_slices
 
 #: Bytes of pre-tokens and ids kept per worker and generation, and what an entry takes besides its strings.
 CACHE_BYTES, ENTRY_BYTES = 40 << 20, 160
@@ -311,7 +311,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = DEFAULT_TO
     text's hash and may spread over parts, so that a doc_id with very many rows does not fill one task. Columns that are
     not asked for are not read; a column of ``keep`` whose name is written already is refused. An empty table gives an empty
     folder with the schema. A part is about ``part_bytes`` of text: how many there are follows ``total_bytes`` (measured
-    where it is not given), and so memory and time of a task do not grow with the input.
+    where it is not given), and so memory and time of a task do not grow with the input; the worker gets it in small batches.
     """
     names = ["doc_id", "tokens", "n_tokens", "part", "part_start"]
     if clash := {*names, "text"} & set(keep):
@@ -342,7 +342,8 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = DEFAULT_TO
 
     schema = "doc_id long, tokens array<int>, n_tokens long, part int, part_start long" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "compression": "zstd"}
-    ordered.mapInArrow(run, schema).write.options(**options).mode("overwrite").parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(run, schema).write.options(**options).mode("overwrite").parquet(path)
 
 
 def part_bases(spark: SparkSession, path: str) -> DataFrame:
@@ -361,7 +362,10 @@ def with_start(rows: DataFrame, bases: DataFrame) -> DataFrame:
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files' own ids."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files' own ids.
+
+    The digests are a table of their own, written here, so that the ids come to the workers in small batches.
+    """
     names = ["doc_id", "part", "part_start", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,6 +378,8 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
 
     rows = spark.read.parquet(path).select("doc_id", "part", "part_start", "tokens")
     digests = rows.mapInArrow(run, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    with small_batches(spark):
+        digests = Scratch(spark, "token-digest").save(digests, "digests")
     return with_start(digests, part_bases(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -272,6 +272,29 @@ def test_token_files_round_trip(spark, odd, empty):
     assert tokens.token_digest(spark, none).count() == 0
 
 
+def test_token_files_reach_workers_in_small_batches(spark, monkeypatch):
+    kind, held = type(spark.range(0)), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def bounded(self, run, *args, plain=kind.mapInArrow, **options):
+        def checked(batches):
+            def seen():
+                for b in batches:
+                    assert b.slice(0, b.num_rows - 1).nbytes < 3 << 20, b.nbytes  # the last row may be longer than a batch
+                    yield b
+
+            return run(seen())
+
+        return plain(self, checked, *args, **options)
+
+    monkeypatch.setattr(kind, "mapInArrow", bounded)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" a b"), 1000)).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(3000, " a" * 2000000)], "doc_id long, text string"))
+    rows = tokens.token_digest(spark, tokens.encode_to_files(spark, docs)).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in rows] == list(range(3001)) and min(r["n_tokens"] for r in rows) > 2000 and rows[-1]["n_tokens"] == 2000001
+    assert [r["start"] for r in rows] == [0, *itertools.accumulate(r["n_tokens"] for r in rows[:-1])]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == held
+
+
 def test_token_file_format(spark):
     import pyarrow.parquet as pq
 
