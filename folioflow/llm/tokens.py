@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import os
 import re
+import string
 import struct
 import zlib
 from collections import Counter
@@ -40,6 +41,9 @@ _SPLIT = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+
 #: superscripts and fractions, and common dashes and quotes.
 _OUTSIDE = "[^\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ƺƼ-ƿǄ-ɏ–—‘-„•…€]"
 
+#: A word and a run of these that ends a chunk are two pre-tokens.
+_MARKS = string.punctuation
+
 #: White space of other kinds than single spaces and line ends, in runs, or at an end; and empty texts.
 _RUNS = r"\n\n[\n ]|\n\n\z|  | \n|\A | \z|[\t\r]|\A\z"
 
@@ -143,19 +147,23 @@ class PieceTable(dict):
         return b"".join(map(self.__getitem__, _SPLIT.findall(text)))
 
     def chunks(self, names: list[str]) -> list[bytes]:
-        """The ids of chunks that have lost the space before them, but for those that begin with a line end."""
-        found = list(map(self.get, map(" ".__add__, names)))
-        for k, value in enumerate(found):
-            if value is None:
-                name = names[k]
-                if not name:
-                    found[k] = b""
-                elif name.isalpha():
-                    found[k] = self[" " + name]
-                elif name[-1] in ",." and name[:-1].isalpha():
-                    found[k] = self[" " + name[:-1]] + self[name[-1]]
-                else:
-                    found[k] = self.chunk(name if name[0] == "\n" else " " + name)
+        """The ids of chunks with the space before them; those that begin with a line end have it too, though no text does."""
+        found = list(map(self.get, names))
+        for k in [k for k, value in enumerate(found) if value is None]:
+            name = names[k]
+            bare = name[1:]
+            word = bare.rstrip(_MARKS)
+            marks = bare[len(word):]
+            if word.isalpha():
+                found[k] = self[" " + word] + self[marks] if marks else self[name]
+            elif not bare:
+                found[k] = b""
+            elif bare[0] != "\n":
+                found[k] = self.chunk(name)
+            elif word[1:].isalpha():
+                found[k] = self["\n"] + self[word[1:]] + (self[marks] if marks else b"")
+            else:
+                found[k] = self.chunk(bare)
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +181,9 @@ class PieceTable(dict):
         begins -= begins[0]
         codes = chunks.indices.to_numpy().astype(np.int64)
         held = chunks.dictionary
-        names = pc.binary_join(pa.array([held], pa.list_(held.type)), "\0")[0].as_py().split("\0") if len(held) else []
+        names = (" " + pc.binary_join(pa.array([held], pa.list_(held.type)), "\0 ")[0].as_py()).split("\0") if len(held) else []
         firsts = begins[:-1]
-        heads = [names[c] for c in codes[firsts].tolist()]
+        heads = [names[c][1:] for c in codes[firsts].tolist()]
         codes[firsts] = np.arange(len(heads)) + len(names)
         blobs = self.chunks(names) + list(map(self.chunk, heads))
         ids, bounds = spread(np.frombuffer(b"".join(blobs), "<u4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2, codes)

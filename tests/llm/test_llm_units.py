@@ -118,6 +118,12 @@ def test_token_table_equals_the_library():
     assert all(encoded([t]) == [library(t)] for t in TEXTS) and encoded([]) == []
 
 
+def test_words_with_marks_after_them_are_cut_as_the_library_cuts_them():
+    words = ["ab", "Ä", "1", "a1", "a'b", "ª", ""]
+    texts = [f"x{gap}{w}{marks} y{gap}{w}{marks}" for gap in (" ", "\n", "\n\n") for w in words for marks in ["", "_", "'", "''", "'s", "...", "$$$", '.")', "-a", "_!", "***1", "." * 80]]
+    assert encoded(texts) == [library(t) for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(max_size=60), st.text(alphabet="ab'1 \n.,-\tÄ", max_size=40)), max_size=6))
 def test_token_table_on_any_texts(texts):
