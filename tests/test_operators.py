@@ -240,6 +240,28 @@ def test_html_title_equals_its_sql(spark, tmp_path):
     assert sorted(got, key=repr) == sorted(db.execute(registry.ORACLE_SQL["html_title"]).fetchall(), key=repr)
 
 
+def test_html_title_of_odd_pages(spark, tmp_path):
+    """Marked sections and long numbers leave a page its title; bytes are read as texts are; a failure does not look like a page without a title."""
+    duckdb = pytest.importorskip("duckdb")
+    from folioflow.plans import catalogue, registry
+    from folioflow.sources import files, html
+
+    odd = ["<![x[y]]>", "<![>", "<![1>", "<![if-x]>", "<![if x]>", "<![endif]-->", "<![CDATA[y]]>", "&#" + "9" * 5000 + ";", "<a href='&#" + "0" * 5000 + "65;'>"]
+    pages = [form.format(x) for x in odd for form in ("{}<title>t</title><p>y", "<title>t</title><p>{}y", "<p>{}y")] + ["<title>\u00e9</title>", "", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(db.execute(registry.ORACLE_SQL["html_title"]).fetchall())
+    assert sorted(map(tuple, catalogue.html_title(spark, str(tmp_path)).collect())) == want
+    as_bytes = spark.createDataFrame([(i, p if p is None else bytearray(p.encode())) for i, p in enumerate(pages)], "doc_id long, content binary")
+    assert sorted(map(tuple, files.titles(as_bytes).collect())) == want
+    no_utf8 = spark.sql("SELECT 1 AS doc_id, CAST(concat(CAST('<title>a' AS BINARY), X'FF', CAST('b</title>' AS BINARY)) AS STRING) AS content")
+    assert files.titles(no_utf8).first()["title"] == "a\ufffdb"
+    with pytest.MonkeyPatch.context() as m, pytest.raises(RuntimeError, match="page 7"):
+        m.setattr(html, "parse_tree", lambda page: 1 / 0)
+        files.title_of(7, "<title>t</title>")
+
+
 LINES = ["# ONE TWO OF", "# Mixed", "## A", "## B", "text here", "", "  indented", "### C", "```", "~~~ x", "**[Image - pdf_page #1]**", '**[Image - pdf_page #2, "P"]**', "**[Image - pptx_slide #1]**", "Logo: x", "brand logo", "a caption", "#x", "\t", "**[Image - bad]**"]
 
 

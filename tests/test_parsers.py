@@ -116,6 +116,22 @@ def test_titles_hold_text_only():
     assert parse_html(f"<title>x&amp</title><p>{every}").title == "x&amp"
 
 
+def test_any_page_can_be_parsed():
+    """Marked sections of any name, and numbers too long for Python, once ended the page."""
+    for odd in ("<![x[y]]>", "<![>", "<![1>", "<![^a]>", "<![[>", "<![el\u017fe]>", "<![if-x]>", "<!['\">", "<![if x]>", "<![CDATA[y]]>", "<![endif]-->", f"&#{'9' * 5000};", f"<i a='&#{'9' * 5000}'>"):
+        for page in (f"<title>t</title><h1>h</h1>{odd}", f"{odd}<title>t</title><h1>h</h1>", f"<title>t</title>{odd}<h1>h</h1>"):
+            p = parse_html(page)
+            assert (p.title, [texts(b) for b in p.blocks], p.warnings) == ("t", ["h"], []), page
+    for odd in ("<![", "<![x y", "<![x y>"):
+        p = parse_html(f"<title>t</title><h1>h</h1>{odd}")
+        assert (p.title, [texts(b) for b in p.blocks]) == ("t", ["h"]), odd
+    zeros = "0" * 5000
+    page = f"<title>a&#{zeros}65;&#{'9' * 5000};&#{zeros};&amp;#{zeros}65;</title><p><a href='?&#{zeros}38x'>&#{zeros}128;b</a>c&#{zeros}</p><h1><!--&#{zeros}65;--></h1>"
+    p = parse_html(page)
+    assert p.title == f"aA\ufffd\ufffd&#{zeros}65;"
+    assert [(r["text"], r.get("hyperlink")) for r in p.blocks[0]["runs"]] == [("\u20acb", "?&x"), ("c\ufffd", None)] and texts(p.blocks[1]) == f"&#{zeros}65;"
+
+
 def test_frontmatter_and_inline():
     assert frontmatter('---\ntitle: "T"\n# c\n- x\nk: \'v\'\n---\n# H') == ({"title": "T", "k": "v"}, "# H")
     assert frontmatter("no") == ({}, "no")
