@@ -124,6 +124,27 @@ def test_words_with_marks_after_them_are_cut_as_the_library_cuts_them():
     assert encoded(texts) == [library(t) for t in texts]
 
 
+def test_commas_and_full_stops_are_cut_as_the_library_cuts_them():
+    words = ["ab", "Ä", "1", "a's", "_", ")", "(a", "", ",", "\n", "½", "\x01", "ª"]
+    texts = [f"{before}{w}{mark}{after}" for before in ("", "x ", "x\n") for w in words for mark in (",", ".", ".,", ",\x01") for after in (" y", "\ny", ", y", "y", "", " ", "\n", " , y.")]
+    assert encoded(texts) == [library(t) for t in texts]
+    assert all(encoded([t]) == [library(t)] for t in texts[::7])
+
+
+def test_unknown_words_are_encoded_together(monkeypatch):
+    """As the model encodes each; no word's ids depend on the words beside it, in the same call or not."""
+    rng = random.Random(3)
+    words = list(dict.fromkeys(rng.choice(["", " "]) + "".join(rng.choice("abcdeÄßñłé") for _ in range(rng.choice([1, 4, 9, 70]))) for _ in range(700)))
+    own = tokens.Splitter(tokens.tokenizer_path())
+    want = [np.array([t.id for t in own.tokens(w)], "<u4").tobytes() for w in words]
+    calls = []
+    tokenize = own.model.tokenize
+    own.model = type("Counted", (), {"tokenize": lambda self, text: calls.append(text) or tokenize(text), "__getattr__": lambda self, name: getattr(own.tok.model, name)})()
+    assert own.words(words) == want and own.words([]) == [] and len(calls) == -(-len(words) // tokens.TOGETHER)
+    own.between = None
+    assert own.words(words) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(max_size=60), st.text(alphabet="ab'1 \n.,-\tÄ", max_size=40)), max_size=6))
 def test_token_table_on_any_texts(texts):
